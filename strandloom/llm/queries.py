@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import mixing, packing, token_counts, token_files
-from strandloom.llm.common import table
+from strandloom.llm import language_id, license_scan, mixing, packing, token_counts, token_files
+from strandloom.llm.common import crc32_text, table
 from strandloom.session import shipped
 
 
@@ -15,6 +15,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = language_id.predict(docs, language_id.fit(docs))
+    return predicted.select("doc_id", (crc32_text(F.col("doc_id")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op4_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -30,8 +40,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_mix_sources, op5_pack_documents, op6_count_tokens, op10_token_files)}
+    return {f.__name__: shipped(f) for f in (op1_mix_sources, op3_identify_languages, op4_scan_licenses, op5_pack_documents, op6_count_tokens, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_scan_licenses": license_scan.scan_sql()}
