@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import language_id, license_scan, mixing, packing, token_counts, token_files
+from strandloom.llm import fingerprints, language_id, license_scan, mixing, packing, token_counts, token_files
 from strandloom.llm.common import crc32_text, table
 from strandloom.session import shipped
 
@@ -34,13 +34,17 @@ def op6_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_token_files(table(spark, sf_dir, "documents"))
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_mix_sources, op3_identify_languages, op4_scan_licenses, op5_pack_documents, op6_count_tokens, op10_token_files)}
+    return {f.__name__: shipped(f) for f in (op1_mix_sources, op3_identify_languages, op4_scan_licenses, op5_pack_documents, op6_count_tokens, op9_fingerprint_documents, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
