@@ -42,7 +42,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str,
     """A zstandard dictionary from the bounded sample; empty where the sample is too small for one."""
     import zstandard
 
-    rows = docs.where(F.col(text_col) != "").select(id_col, F.substring(text_col, 1, SAMPLE_CHARS).alias("__t")).orderBy(F.xxhash64(id_col), id_col, "__t").limit(SAMPLE_DOCS).collect()
+    some = docs.where(F.col(text_col) != "")
+    chosen = some.select(id_col, F.xxhash64(id_col).alias("__h")).orderBy("__h", id_col).limit(SAMPLE_DOCS).select(id_col).distinct()  # ids alone are sorted
+    rows = some.join(F.broadcast(chosen), id_col, "left_semi").select(F.substring(text_col, 1, SAMPLE_CHARS).alias("__t")).limit(SAMPLE_DOCS).collect()
+    rows.sort(key=lambda r: r["__t"])  # the same dictionary whatever the order of rows
     enc = encoder(tokenizer)
     flat, borders = enc.batch(pa.array([r["__t"] for r in rows], pa.string())) if rows else (np.empty(0, "<u4"), np.zeros(1, int))
     samples = [np.append(flat[a:b], np.uint32(end_id)).astype("<u4").tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]

@@ -31,7 +31,7 @@ LINE_RE2 = f"([^{SPACE_RE2}])\\n([^{SPACE_RE2}])"
 #: Begins a chunk that no blank stands before.
 JOINED = "\x01"
 #: Entries of each of the two generations of a worker's cache.
-GENERATION = 450_000
+GENERATION = 150_000
 
 
 def tokenizer_path(name_or_path: str) -> str:
