@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import fingerprints, language_id, license_scan, mixing, packing, token_counts, token_files, topk
+from strandloom.llm import fingerprints, language_id, license_scan, lm_scoring, mixing, packing, token_counts, token_files, topk
 from strandloom.llm.common import crc32_text, table
 from strandloom.session import shipped
 
@@ -34,6 +34,10 @@ def op6_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op7_score_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
     return found.select("query_id", "rank", "vec_id", "score")
@@ -49,7 +53,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_mix_sources, op3_identify_languages, op4_scan_licenses, op5_pack_documents, op6_count_tokens, op8_top_k, op9_fingerprint_documents, op10_token_files)}
+    return {f.__name__: shipped(f) for f in (op1_mix_sources, op3_identify_languages, op4_scan_licenses, op5_pack_documents, op6_count_tokens, op7_score_lm, op8_top_k, op9_fingerprint_documents, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
