@@ -1,2 +1,54 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline from four operators: languages told, near duplicates out, sources mixed, sequences packed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandloom.llm import language_id, mixing, near_dedup, packing
+from strandloom.llm.common import new_path, table
+from strandloom.session import ship
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter go."""
+    ship(spark)
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one of least doc_id."""
+    ship(spark)
+    return near_dedup.deduplicate(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at their target weights: a row for each document and epoch, with the words taken."""
+    ship(spark)
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    ship(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("identify_languages", identify_languages),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+
+#: Tokenisation, the sketches and the drawn mix are beyond SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = new_path(spark, f"stage{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import fingerprints, language_id, license_scan, lm_scoring, mixing, packing, token_counts, token_files, topk
+import corpus_pipeline
+from strandloom.llm import fingerprints, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, token_counts, token_files, topk
 from strandloom.llm.common import crc32_text, table
 from strandloom.session import shipped
 
@@ -15,6 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op3_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     predicted = language_id.predict(docs, language_id.fit(docs))
@@ -53,7 +58,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_mix_sources, op3_identify_languages, op4_scan_licenses, op5_pack_documents, op6_count_tokens, op7_score_lm, op8_top_k, op9_fingerprint_documents, op10_token_files)}
+    found = {f.__name__: shipped(f) for f in (op1_mix_sources, op2_near_duplicates, op3_identify_languages, op4_scan_licenses, op5_pack_documents, op6_count_tokens, op7_score_lm, op8_top_k, op9_fingerprint_documents, op10_token_files)}
+    return found | {"pipeline": shipped(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:

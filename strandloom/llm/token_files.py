@@ -32,7 +32,7 @@ MAGIC = b"TID1"
 #: Bounds of the sample that the dictionary is trained on, and its size.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1000, 8192, 64 << 10
 #: A block ends at this many bytes of frames or documents.
-BLOCK_BYTES, BLOCK_DOCS = 512 << 10, 4096
+BLOCK_BYTES, BLOCK_DOCS = 128 << 10, 4096
 #: Documents of a bucket, and the most buckets.
 BUCKET_DOCS, MOST_BUCKETS = 20_000, 4096
 BLOCK_SCHEMA = "bucket int, block int, first_id long, last_id long, n_docs int, n_ids long, ids_before long, doc_ids array<long>, image binary"
