@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.plans import hit_queries
+from strandloom.session import shipped
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["class_coverage"](spark, sf_dir)
 
 
+def _all() -> dict[str, tuple[Callable, str | None]]:
+    return {**hit_queries.QUERIES}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: shipped(f) for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}

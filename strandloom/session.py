@@ -1,4 +1,4 @@
-"""Getting this package to the executors."""
+"""What a session needs before it runs this package: its code on the executors, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -12,11 +12,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: texts and blocks are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python this package, once an application, through Spark's own file server."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
@@ -33,7 +37,7 @@ def ship(spark: SparkSession) -> None:
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, with the package on the executors before it runs."""
 
-    @functools.wraps(query)
+    @functools.wraps(query, assigned=("__doc__",))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
         return query(spark, sf_dir)
