@@ -47,11 +47,11 @@ HITS = """hits AS (SELECT event_id AS hit_id, 'chr' || user_id AS query_name, 1
   event_id % 9 * 5 + 35 AS stage FROM events)"""
 
 #: Sequences: the documents as letters.
-SEQUENCES = "seqs AS (SELECT doc_id AS seq_id, upper(text) AS sequence FROM documents)"
+SEQUENCES = "seqs AS (SELECT doc_id AS seq_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS sequence FROM documents)"
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.upper("text").alias("sequence"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("sequence"))
 
 
 #: Families: parts with a clade that is a nation or a region of the tree.
