@@ -70,9 +70,10 @@ def extracted(seqs: DataFrame, hits: DataFrame) -> DataFrame:
 def kmer_hits(seqs: DataFrame, pattern: list[int], seeds: DataFrame) -> DataFrame:
     """(seq_id, n): places whose letters at the pattern's offsets are one of the seeds (column `seed`)."""
     span = max(pattern) + 1
-    rows = seqs.where(F.length("sequence") >= span).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("sequence") - span + 1)))
-    seed = F.concat(*[F.substr("sequence", F.col("at") + o, F.lit(1)) for o in pattern])
-    return rows.withColumn("seed", seed).join(seeds, "seed", "left_semi").groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
+    letters = seqs.where(F.length("sequence") >= span).select("seq_id", F.split("sequence", "").alias("c"))
+    gram = lambda i: F.concat(*[F.get("c", i + o) for o in pattern])
+    each = letters.select("seq_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - span), gram)).alias("seed"))
+    return each.join(seeds, "seed", "left_semi").groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def substring_checked(seqs: DataFrame, offset: int, length: int) -> DataFrame:
