@@ -23,7 +23,7 @@ def fasta(spark: SparkSession, path: str, max_id: int = 50, clean: bool = True)
 
     A record without an id is named UnnamedSeq; an id longer than max_id is an error when its row is used.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^>", ""))
+    raw = spark.read.text(path, lineSep="\n>").withColumn("value", F.regexp_replace("value", "^>", ""))
     head = F.regexp_replace(F.substring_index("value", "\n", 1), r"\r$", "")
     body = F.when(F.locate("\n", F.col("value")) > 0, F.substr("value", F.length(F.substring_index("value", "\n", 1)) + 2)).otherwise("")
     seq = F.regexp_replace(body, r"\s+", "")
@@ -72,7 +72,7 @@ def hits(spark: SparkSession, path: str) -> DataFrame:
             rows = [r for text in pdf["value"] for line in text.split("Score histogram:")[0].splitlines() if (r := parse_hit(line))]
             yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, HIT_SCHEMA)
+    return spark.read.text(path, wholetext=True).mapInPandas(run, HIT_SCHEMA)
 
 
 def hits_from_lines(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -117,12 +117,12 @@ def tandem(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((name, int(f[0]), int(f[1]), int(f[2]), float(f[3]), int(f[4]), int(f[5]), int(f[6]), int(f[7]), f[13]))
             yield pd.DataFrame(rows, columns=["query_name", "query_start", "query_end", "period", "copy_number", "consensus_size", "pct_match", "pct_indel", "score", "consensus"])
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, "query_name string, query_start long, query_end long, period int, copy_number double, consensus_size int, pct_match int, pct_indel int, score long, consensus string")
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "query_name string, query_start long, query_end long, period int, copy_number double, consensus_size int, pct_match int, pct_indel int, score long, consensus string")
 
 
 def embl(spark: SparkSession, path: str) -> DataFrame:
     """Families of a tagged flat file: (accession, name, description, keywords, repeat_type, length, consensus)."""
-    raw = spark.read.option("lineSep", "//\n").text(path).where(F.trim("value") != "")
+    raw = spark.read.text(path, lineSep="//\n").where(F.trim("value") != "")
     tag = lambda t: F.array_join(F.transform(F.regexp_extract_all("value", F.lit(f"(?m)^{t}   (.*)$"), F.lit(1)), lambda x: F.trim(x)), " ")
     first = lambda t: F.regexp_extract("value", f"(?m)^{t}   ([^;\\s]+)", 1)
     sub = lambda k: F.regexp_extract("value", f"(?m)^CC\\s+{k}:\\s*(.*)$", 1)
@@ -132,7 +132,7 @@ def embl(spark: SparkSession, path: str) -> DataFrame:
 
 def hmm(spark: SparkSession, path: str) -> DataFrame:
     """Headers of profile models: (name, accession, description, length, max_length, thresholds)."""
-    raw = spark.read.option("lineSep", "//\n").text(path).where(F.trim("value") != "")
+    raw = spark.read.text(path, lineSep="//\n").where(F.trim("value") != "")
     tag = lambda t: F.regexp_extract("value", f"(?m)^{t}\\s+(.*?)\\s*$", 1)
     return raw.select(tag("NAME").alias("name"), tag("ACC").alias("accession"), tag("DESC").alias("description"), tag("LENG").try_cast("int").alias("length"), tag("MAXL").try_cast("int").alias("max_length"), F.regexp_extract_all("value", F.lit(r"(?m)^TH\s+(.*)$"), F.lit(1)).alias("thresholds"))
 
@@ -161,7 +161,7 @@ def matrix(text: str):
 
 def name_map(spark: SparkSession, path: str) -> DataFrame:
     """(name, tax_id) of a JSON object of names."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,long>")).alias("name", "tax_id"))
 
 
@@ -171,7 +171,7 @@ def genome_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 def qualities(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, values): records of base qualities."""
-    raw = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^>", "")).where(F.trim("value") != "")
+    raw = spark.read.text(path, lineSep="\n>").withColumn("value", F.regexp_replace("value", "^>", "")).where(F.trim("value") != "")
     body = F.substr("value", F.length(F.substring_index("value", "\n", 1)) + 2)
     return raw.select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("seq_id"), F.transform(F.split(F.trim(F.regexp_replace(body, r"\s+", " ")), " "), lambda x: x.cast("int")).alias("values"))
 
