@@ -43,7 +43,7 @@ def anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     rest = F.greatest(F.size("__s") - last, F.lit(0))
     ends = F.zip_with(F.slice("__s", F.lit(1), rest), F.slice("__s", F.lit(1 + last), rest), lambda a, b: F.struct(F.least(a, b).alias("e"), pair(a, b).alias("h")))
     middle = F.zip_with(F.slice("__s", F.lit(2), rest), F.slice("__s", F.lit(3), rest), lambda a, b: F.struct(F.least(a, b).alias("m"), a.alias("a")))
-    # the k-mer's words are those of its first, its third and its last inner substring; h is of the outer two, a holds the second
+    # the k-mer's words are those of its first, its second and its last inner substring; h is of the outer two, a is the second
     marked = F.zip_with(ends, middle, lambda x, y: F.when(x["e"] <= y["m"], pair(x["h"], y["a"])))
     placed = F.filter(F.transform(marked, coded), lambda x: x.isNotNull())
     whole = F.array(coded(F.xxhash64("__w"), F.lit(0)))

@@ -318,7 +318,7 @@ def score(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", folds: int =
             common = at >= 0
             of, own = owner[common], at[common]
             total = np.bincount(owner, minlength=rows)
-            add = lambda x: np.bincount(of, weights=x[own], minlength=rows)  # noqa: B023, E731
+            add = lambda x: np.bincount(of, weights=x[own], minlength=rows).astype(np.float64)  # noqa: B023, E731
             rare, times = np.unique(owner[~common].astype(np.int64) << 32 | codes[~common].astype(np.int64), return_counts=True)
             borders = np.searchsorted(rare >> 32, np.arange(rows + 1)).astype(np.int32)
             texts = words.dictionary.take(pa.array(rare & 0xFFFFFFFF)).cast(pa.string())
