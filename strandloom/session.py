@@ -16,9 +16,17 @@ _shipped: set[str] = set()
 BATCH_ROWS = 1000
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder of spark.checkpoint.dir; only where that is unset, to one of this machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or str(Path(tempfile.gettempdir()) / "strandloom-checkpoints"))
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python this package, once an application, through Spark's own file server."""
     sc = spark.sparkContext
+    ensure_checkpoints(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _shipped:
