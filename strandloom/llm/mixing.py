@@ -151,7 +151,8 @@ def pieces(rows: DataFrame, taken: DataFrame, block_words: int = BLOCK_WORDS) ->
     end = F.least((F.col("block") + 1) * block_words, last + 1)
     parts = parts.withColumn("start", start - F.col("first_word")).withColumn("words", F.coalesce(end - start, F.lit(0)))
     times = taken.groupBy(F.col("sid").alias("__s"), F.col("block").alias("__b")).agg(F.count(F.lit(1)).alias("__t"))
-    joined = parts.join(times, (F.col("sid") == F.col("__s")) & (F.col("block") == F.col("__b")), "left")
+    # the estimated size of what a plan like that of the slots makes is far too small: no broadcast
+    joined = parts.join(times.hint("merge"), (F.col("sid") == F.col("__s")) & (F.col("block") == F.col("__b")), "left")
     return joined.withColumn("times", F.coalesce("__t", F.lit(0))).drop("__s", "__b", "__t")
 
 
