@@ -70,21 +70,21 @@ def clip(value: float, least: float, most: float) -> int:
     return int(max(least, min(most, value)))
 
 
-#: Bits of a filter on ids, whatever their number: 128 kB in a plan.
+#: Bits of a filter on ids, whatever their number; 32 a row, so that it is a table of 32,768 rows at most.
 FILTER_BITS = 1 << 20
 
 
-def may_hold(ids: DataFrame, column: str, probe: Column) -> Column:
-    """A test that is true for every probe among the ids, and for few others while the ids are few.
+def may_hold(df: DataFrame, probe: Column, ids: DataFrame, column: str, out: str) -> DataFrame:
+    """df with a flag that is true for every probe among the ids, and for few others while the ids are few.
 
-    A bitmap of fixed size, so that rows which can't have a partner needn't be shuffled; an exact join must follow.
+    A bitmap of fixed size, joined by broadcast, so that rows which can't have a partner needn't be shuffled; an exact
+    join must follow.
     """
-    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    at = ids.select(spread(F.col(column).cast("long")).alias("at"))
-    words = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(31).cast("int"))).alias("v")).collect()  # FILTER_BITS / 32 rows at most
-    held = [0] * (FILTER_BITS // 32)
-    for r in words:
-        held[r["w"]] = r["v"]
-    table = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")  # folded to one value
-    own = spread(probe.cast("long"))
-    return F.call_function("shiftright", F.get(table, F.shiftright(own, 5).cast("int")), own.bitwiseAND(31).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    spread = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS))
+    bit = lambda c: c.bitwiseAND(31).cast("int")
+    at = ids.select(spread(F.col(column)).alias("__at"))
+    words = at.groupBy((F.col("__at") - F.pmod("__at", F.lit(32))).alias("__w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("__at")))).alias("__v"))
+    df = df.withColumn("__p", spread(probe))
+    both = df.join(F.broadcast(words), F.col("__p") - F.pmod("__p", F.lit(32)) == F.col("__w"), "left")
+    held = F.call_function("shiftright", F.col("__v"), bit(F.col("__p"))).bitwiseAND(F.lit(1).cast("long")) == 1
+    return both.withColumn(out, F.coalesce(held, F.lit(False))).drop("__p", "__w", "__v")
