@@ -8,10 +8,11 @@ texts agree in a register with their probability Jaccard similarity. BANDS bands
 a pair of similarity 0.8 is missed with probability (1 - 0.8^3)^16, about 1 in 100,000.
 
 Classes. Texts with the same words are one node from the start (a 64-bit digest names it), so copies never meet as
-pairs. In each bucket of a band every node is compared with one hub, the least node; then, in rounds, nodes of different
-components are compared in the chunks of buckets that still hold several. A bucket of at most CHUNK nodes is one chunk,
-so all its pairs are settled. Larger ones are dealt into small chunks, first by the two bands beside, which nodes that
-are much alike share too, then at random and anew until a round finds no link. A pair is linked if the Jaccard similarity of its
+pairs. In each bucket of a band every node is compared with one hub, the least node. Then all nodes of a bucket that are
+not yet of one component are compared: in buckets of at most CHUNK nodes pair by pair, in larger ones block by block. For
+that the nodes outside a bucket's largest component are dealt into blocks, and so are those inside; each block of the
+former meets all other blocks of its bucket, and one task counts the shared shingles of two blocks at once. So every two
+nodes that meet in a band are compared or known to be of one component. A pair is linked if the Jaccard similarity of its
 distinct shingles is SIMILARITY or more, counted exactly. Components come from links by minimum labels with pointer
 jumping, in checkpointed rounds. No bucket, chunk or component is held by one task or the driver.
 
@@ -35,7 +36,10 @@ from strandloom.llm.common import cut, may_hold, slices, stored
 
 WORDS, SIMILARITY = 5, (4, 5)
 REGISTERS, BANDS, ROWS = 48, 16, 3
-CHUNK, FEW, MOST_ROUNDS = 16, 4, 4
+CHUNK = 16
+#: Nodes and shingles of a block, about; columns of a dense table of shingles; bands that are settled at a time (each turn finds fewer components).
+BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
+TURNS = (range(4), range(4, BANDS))
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 U = np.uint64
 
@@ -185,36 +189,98 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(comps: DataFrame, new: DataFrame) -> DataFrame:
+    """components() of comps and new links."""
+    if not new.limit(1).count():
+        return comps
+    return components(new.union(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+
+
+def shared_counts(of: np.ndarray, code: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of hashes that each row of left shares with each other row of right; of, code: row and hash, n rows."""
+    _, column, count = np.unique(code, return_inverse=True, return_counts=True)
+    common = count[column] > 1
+    of, column = of[common], column[common]
+    # columns that the same rows hold are one, with a weight
+    mark = np.zeros(len(count), U)
+    np.add.at(mark, column, scramble(np.arange(1, n + 1, dtype=U))[of])
+    _, first, group, weight = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+    single = first[group[column]] == column
+    of, column = of[single], group[column[single]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(weight), COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        dense = np.zeros((n, min(COLUMNS, len(weight) - at)), np.float32)
+        dense[of[a:b], column[a:b] - at] = 1
+        out += (dense[left] * weight[at : at + COLUMNS].astype(np.float32)) @ dense[right].T
+    return out
+
+
+def linked(table: pa.Table) -> pa.Table:
+    """Links (a, b) between the two sides of a block pair, as many as join its components; side 2 stands on both."""
+    node, comp, side = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
+    codes = [np.frombuffer(x, U) for x in table.column("sh").to_pylist()]
+    sizes = np.array([len(x) for x in codes], np.int64)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        shared = shared_counts(np.repeat(np.arange(len(codes)), sizes), np.concatenate(codes), len(codes), left, right)
+        alike = SIMILARITY[1] * shared >= SIMILARITY[0] * (sizes[left][:, None] + sizes[right][None, :] - shared)
+        group = np.unique(comp, return_inverse=True)[1]
+        for k, x in enumerate(left):
+            found = right[alike[k]]
+            tops, at = np.unique(group[found], return_index=True)
+            for top, y in zip(tops, found[at], strict=True):
+                if top != group[x]:
+                    out.append((int(node[x]), int(node[y])))
+                    group[group == top] = group[x]
+    return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+
+def block_links(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join the components of each bucket's nodes; every two nodes of different components are compared."""
+    placed = members.join(comps, "node", "left").select("node", "band", "h", F.coalesce("comp", "node").alias("comp"))
+    placed = placed.join(sets.select("node", "size"), "node")
+    each = placed.groupBy("band", "h", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    buckets = each.groupBy("band", "h").agg(F.max(F.struct("c", "comp", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("main.c < c")
+    parts = lambda c, s: F.ceil(F.greatest(c / BLOCK_NODES, s / BLOCK_SHINGLES)).cast("int")
+    buckets = buckets.select("band", "h", F.col("main.comp").alias("main"), parts(F.col("main.c"), F.col("main.s")).alias("inner"), parts(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("outer"))
+    rows = placed.join(buckets, ["band", "h"]).withColumn("inside", F.col("comp") == F.col("main"))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    row = lambda inside, i, j, side: F.struct(F.lit(inside).alias("inside"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    p = F.col("p")
+    of_inner = F.transform(up_to("outer"), lambda k: row(True, k, p, F.lit(1)))
+    to_inner = F.transform(up_to("inner"), lambda k: row(True, p, k, F.lit(0)))
+    to_outer = F.transform(up_to("outer"), lambda k: row(False, F.least(p, k), F.greatest(p, k), F.when(p == k, 2).when(p < k, 0).otherwise(1)))
+    copies = F.when(F.col("inside"), of_inner).otherwise(F.concat(to_inner, to_outer))
+    rows = cut(rows.select("node", "comp", "band", "h", F.explode(copies).alias("x")).select("node", "comp", "band", "h", "x.*"))
+    rows = rows.join(sets.select("node", "sh"), "node")
+    return rows.groupBy("band", "h", "inside", "i", "j").applyInArrow(linked, "a long, b long")
+
+
 def link_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, comp) of the nodes that are linked to others; rows: sketched()."""
     names = [f"b{k}" for k in range(BANDS)]
     nodes = rows.where("b0 is not null").groupBy("node").agg(F.min("doc_id").alias("id"), *(F.first(n).alias(n) for n in names))
-    each = nodes.select("node", "id", F.array(*names).alias("all"), F.posexplode(F.array(*names)).alias("band", "h"))
-    beside = F.xxhash64(F.get("all", (F.col("band") + 1) % BANDS), F.get("all", (F.col("band") + 2) % BANDS))
-    each = each.select("node", "id", "band", "h", beside.alias("beside"))
+    each = nodes.select("node", "id", F.posexplode(F.array(*names)).alias("band", "h"))
     counts = each.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
     members = stored(each.join(counts, ["band", "h"]), "members")  # of buckets with more than one node
     wanted = stored(members.select("node", "id").distinct(), "candidates")
-    sets = stored(shingle_sets(docs, wanted), "shingles")
+    sets = stored(shingle_sets(docs, wanted).withColumn("size", F.length("sh") / 8), "shingles")
     links = stored(verified(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets), "links")
     comps = components(links)
-    for turn in range(MOST_ROUNDS):
-        placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if turn:  # smaller buckets are settled
-            placed = placed.where(F.col("n") > CHUNK)
-        open_ = placed.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
-        # at first by the two bands beside, which nodes that are much alike share too; then at random
-        part = F.xxhash64("beside", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (8 * CHUNK)))) if not turn else F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("n") / FEW))
-        placed = placed.join(open_, ["band", "h"]).withColumn("chunk", F.when(F.col("n") > CHUNK, part).otherwise(0))
-        placed = cut(placed.select("node", "comp", "band", "h", "chunk"))
-        left, right = placed.alias("x"), placed.alias("y")
-        same = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.chunk") == F.col("y.chunk"))
-        pairs = left.join(right, same & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        new = stored(verified(pairs, sets), "links")
-        if not new.limit(1).count():
-            break
-        # components of components: labels and new links
-        comps = components(new.union(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    placed = members.where(F.col("n") <= CHUNK).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = placed.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
+    placed = cut(placed.join(open_, ["band", "h"]).select("node", "comp", "band", "h"))
+    left, right = placed.alias("x"), placed.alias("y")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h"))
+    pairs = left.join(right, same & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    comps = joined(comps, stored(verified(pairs, sets), "links"))
+    for bands in TURNS:
+        comps = joined(comps, stored(block_links(members.where((F.col("n") > CHUNK) & F.col("band").isin(*bands)), comps, sets), "links"))
     return comps
 
 

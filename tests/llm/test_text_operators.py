@@ -123,6 +123,31 @@ def test_near_classes(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_near_classes_of_large_buckets(spark):
+    """Pairs that are linked to no other, in buckets of many more nodes than a chunk."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    edited = lambda w, at: [f"e{r.randrange(10**9)}" if k in at else x for k, x in enumerate(w)]
+    apart = lambda n: [4 + 8 * k for k in r.sample(range(24), n)]
+    rows = []
+    for _ in range(200):
+        at = apart(6)
+        both = edited(base, at[:2])
+        rows += [(len(rows) + k, " ".join(edited(both, at[2 + 2 * k : 4 + 2 * k])), "en", "a") for k in range(2)]
+    want = brute_classes(rows)
+    assert len(set(want)) > 190
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(frame(spark, rows)).collect()}
+    assert got == dict(zip([x[0] for x in rows], want))
+
+
+def test_shared_counts():
+    r = np.random.default_rng(3)
+    sets_ = [np.unique(r.integers(0, 90, r.integers(1, 60)).astype(np.uint64)) for _ in range(40)] + [np.arange(10_000, 20_000, dtype=np.uint64)] * 2 + [np.arange(9_000, 15_000, 2, dtype=np.uint64)]
+    left, right = np.arange(0, 43, 2), np.arange(1, 43, 2)
+    got = near_dedup.shared_counts(np.repeat(np.arange(43), [len(x) for x in sets_]), np.concatenate(sets_), 43, left, right)
+    assert got.tolist() == [[len(np.intersect1d(sets_[a], sets_[b])) for b in right] for a in left]
+
+
 def test_near_classes_of_odd_rows(odd, odd_rows, none):
     got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_dedup.classes(odd).collect())
     assert got == sorted((str(r[0]), str(c)) for r, c in zip(odd_rows, brute_classes(odd_rows)))
