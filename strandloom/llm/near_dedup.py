@@ -1,10 +1,10 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
 Shingles are WORDS words in a row, of words of digits, a-z (after lower-casing A-Z) and characters beyond ASCII; a text
-of fewer words is one shingle. A shingle's weight is its count in the text. Each shingle is the source of a Poisson
-process with its weight as rate: arrivals come at exponential steps, each at one of REGISTERS registers, which keeps
-the earliest; a process ends when its next arrival is later than all registers of its text (early termination). Two
-texts agree in a register with their probability Jaccard similarity. BANDS bands of ROWS registers give the candidates:
+of fewer words is one shingle. Each distinct shingle is the source of a Poisson process of rate 1, however often it
+comes: arrivals come at exponential steps, each at one of REGISTERS registers, which keeps the earliest; a process ends
+when its next arrival is later than all registers of its text (early termination). Two texts agree in a register with
+the Jaccard similarity of their distinct shingles, by which links are verified too. BANDS bands of ROWS registers give the candidates:
 a pair of similarity 0.8 is missed with probability (1 - 0.8^3)^16, about 1 in 100,000.
 
 Classes. Texts with the same words are one node from the start (a 64-bit digest names it), so copies never meet as
@@ -131,7 +131,8 @@ def sketched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             of, code, digests = shingles(batch.column(1))
-            bands = band_hashes(sketch(batch.num_rows, *distinct_shingles(of, code)))
+            of, code, _ = distinct_shingles(of, code)
+            bands = band_hashes(sketch(batch.num_rows, of, code, np.ones(len(of))))
             empty = np.array([not d for d in digests], bool)
             nodes = [node_of(d, None if d else batch.column(1)[i].as_py()) for i, d in enumerate(digests)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *(pa.array(bands[:, k], mask=empty) for k in range(BANDS))], ["doc_id", "node", *names])

@@ -140,6 +140,18 @@ def test_near_classes_of_large_buckets(spark):
     assert got == dict(zip([x[0] for x in rows], want))
 
 
+def test_near_classes_of_repeated_passages(spark):
+    """Texts with the same distinct shingles, some of which come far more often in one."""
+    r = random.Random(13)
+    w = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for _ in range(6):
+        own, line = w(300), w(10)
+        rows += [(len(rows) + k, " ".join([own, *[line] * n]), "en", "a") for k, n in enumerate((1000, 10))]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, *_ in rows}
+
+
 def test_shared_counts():
     r = np.random.default_rng(3)
     sets_ = [np.unique(r.integers(0, 90, r.integers(1, 60)).astype(np.uint64)) for _ in range(40)] + [np.arange(10_000, 20_000, dtype=np.uint64)] * 2 + [np.arange(9_000, 15_000, 2, dtype=np.uint64)]
