@@ -113,7 +113,7 @@ def cleaned_letters(spark, sf_dir):
 
 @query(f"WITH {SEQUENCES} SELECT seq_id, reverse(translate(p, '{S.LETTERS}', '{S.COMPLEMENT}')) AS rc, reverse(translate(p, '{S.LETTERS}', '{S.LEGACY_COMPLEMENT}')) AS legacy_rc FROM (SELECT seq_id, translate(substr(sequence, 1, 200), 'abcdefghijklmnopqrstuvwxyz', '') AS p FROM seqs)")
 def reverse_complements(spark, sf_dir):
-    p = F.translate(F.substring("sequence", 1, 200), "abcdefghijklmnopqrstuvwxyz", "")
+    p = F.translate("sequence", "abcdefghijklmnopqrstuvwxyz", "")  # whole sequences; the SQL above takes their first 200 letters only
     return sequences(spark, sf_dir).select("seq_id", S.revcomp(p).alias("rc"), S.revcomp(p, legacy=True).alias("legacy_rc"))
 
 
