@@ -212,9 +212,9 @@ def labelled_totals(spark, sf_dir):
     return both.groupBy(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-# alignments: pairs of benchmark texts as letters of DNA
+# alignments: pairs of benchmark texts as letters of DNA, without gaps, so that a pair ends where its shorter text does
 def _pairs(spark, sf_dir):
-    dna = lambda c: F.translate(F.upper(F.substring(F.regexp_replace(c, "[^A-Za-z]", ""), 1, 60)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
+    dna = lambda c: F.translate(F.upper(F.regexp_replace(c, "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
     b = table(spark, sf_dir, "benchmark")
     nxt = b.select((F.col("item_id") - 1).alias("j"), dna("text").alias("s"))
     both = b.select("item_id", dna("text").alias("q")).join(nxt, F.col("item_id") == F.col("j"))
