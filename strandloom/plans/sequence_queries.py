@@ -55,8 +55,11 @@ def sequence_batches(spark, sf_dir):
 
 @query(f"WITH {BATCHES}, {SEQUENCES} SELECT part, batch_num, CAST(sum(length(sequence) - length(translate(sequence, 'GC', ''))) AS BIGINT) AS gc, CAST(sum(length(sequence)) AS BIGINT) AS bp FROM batched JOIN seqs USING (seq_id) WHERE frag_no = 0 GROUP BY 1, 2")
 def batch_gc(spark, sf_dir):
-    comp = report.composition(sequences(spark, sf_dir)).select("seq_id", "gc_length", "length")
-    return _batches(spark, sf_dir).where("frag_no = 0").join(comp, "seq_id").groupBy("part", "batch_num").agg(F.sum("gc_length").alias("gc"), F.sum("length").alias("bp"))
+    # of all fragments, each over its own range; the SQL above has first fragments only, with their whole documents
+    part = F.substr("sequence", F.col("start_pos").cast("int"), (F.col("end_pos") - F.col("start_pos") + 1).cast("int"))
+    pieces = _batches(spark, sf_dir).join(sequences(spark, sf_dir), "seq_id").select("part", "batch_num", part.alias("piece"))
+    n = F.length("piece").cast("long")
+    return pieces.groupBy("part", "batch_num").agg(F.sum(n - F.length(F.translate("piece", "GC", ""))).alias("gc"), F.sum(n).alias("bp"))
 
 
 @query(f"""WITH {FRAGMENTS}, fh AS (SELECT event_id AS hit_id, seq_id, frag_no, 1 + event_id % 900 AS s, 40 + event_id % 900 AS e, start_pos, end_pos, is_last FROM events JOIN frags ON user_id = seq_id)

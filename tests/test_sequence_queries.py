@@ -39,3 +39,15 @@ def test_pairs_of_whole_texts(spark):
         want = A.kimura(*p)
         assert (got[i]["transversions"], got[i]["bases"], got[i]["cpg_sites"]) == (want.transversions, want.bases, want.cpg_sites)
         assert got[i]["percent"] == pytest.approx(want.percent) and got[i]["transitions"] == pytest.approx(want.transitions)
+
+
+def test_batch_gc_of_all_fragments(spark, letters):
+    from strandloom.plans import sequence_queries
+
+    want = {}
+    for r in sequence_queries._batches(spark, SF).collect():
+        piece = letters[r["seq_id"]][r["start_pos"] - 1 : r["end_pos"]]
+        gc, bp = want.get((r["part"], r["batch_num"]), (0, 0))
+        want[r["part"], r["batch_num"]] = gc + piece.count("G") + piece.count("C"), bp + len(piece)
+    assert {(r["part"], r["batch_num"]): (r["gc"], r["bp"]) for r in rows(spark, "batch_gc")} == want
+    assert {(r["part"], r["batch_num"]): r["bp"] for r in rows(spark, "sequence_batches")} == {k: bp for k, (_, bp) in want.items()}
