@@ -3,18 +3,19 @@
 A text's words are hashed; a k-mer is WORDS words in a row, and its inner substrings are the pairs of words in a row. A
 k-mer is an anchor (a closed syncmer) if the least of its inner substrings' hashes is the first or the last one. That
 depends on the k-mer alone, so a passage has the same anchors wherever it stands. An anchor is one number: 40 bits of
-the k-mer's hash and 22 bits of its place, the word it begins at. A fingerprint keeps the KEPT anchors of least hash
-(of one that comes more than once, the first place), written as 16 hexadecimal digits each.
+the k-mer's hash and 22 bits of its place, the word it begins at. All anchors of a text are kept (of one that comes more
+than once, the first place). A fingerprint is a short form for display and for equality: the KEPT anchors of least hash,
+written as 16 hexadecimal digits each. No likeness goes by it.
 
-Likeness of two fingerprints: of the anchors of least hash of both together, the share that both have at places that
-agree, that is, whose shift differs from the median shift by SLACK words at most.
+Likeness of two texts: of all their anchors together, the share that both have at places that agree, that is, whose
+shift differs from the median shift by SLACK words at most.
 
 The edited text of a document takes half of the next one, by ascending id. Documents are dealt into ranges of ids
 between quantiles of the id column, and each range gets a copy of the first row of the range after it, so that a
 range's last row sees its next one and no task has to hold the table.
 
 Defined cases: a null text is empty; a text of fewer than WORDS words has one anchor, of all its words, and one
-without words has none; equal fingerprints are alike 1; null ids come first, repeated ids are ordered by text; a table
+without words has none; equal anchors are alike 1; null ids come first, repeated ids are ordered by text; a table
 of one row is its own next; other columns of the input don't matter.
 """
 
@@ -33,7 +34,7 @@ NULL_ID = -(1 << 63)
 
 
 def anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the kept anchors of a text, an ascending array of numbers."""
+    """df with all anchors of a text, an ascending array of numbers."""
     pair = lambda a, b: F.xxhash64(a, b)
     coded = lambda h, p: F.shiftleft(h.bitwiseAND(F.lit(HASH_MASK)), PLACE_BITS).bitwiseOR(F.least(p, F.lit((1 << PLACE_BITS) - 1)).cast("long"))
     df = df.withColumn("__w", F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(1)), lambda w: F.xxhash64(w)))
@@ -50,11 +51,12 @@ def anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("__v", F.sort_array(F.when(F.size("__w") >= WORDS, placed).when(F.size("__w") > 0, whole).otherwise(F.slice(whole, 1, 0))))
     hash_of = lambda v: F.shiftright(v, PLACE_BITS)
     fresh = F.filter("__v", lambda v, i: (i == 0) | (hash_of(v) != hash_of(F.get("__v", i - 1))))
-    return df.withColumn(out, F.slice(fresh, 1, KEPT)).drop("__w", "__s", "__v")
+    return df.withColumn(out, fresh).drop("__w", "__s", "__v")
 
 
 def written(kept: Column) -> Column:
-    return F.array_join(F.transform(kept, lambda v: F.lower(F.lpad(F.hex(v), 16, "0"))), "")
+    """The fingerprint: the anchors of least hash."""
+    return F.array_join(F.transform(F.slice(kept, 1, KEPT), lambda v: F.lower(F.lpad(F.hex(v), 16, "0"))), "")
 
 
 def read(fingerprint: Column) -> Column:
@@ -65,21 +67,20 @@ def read(fingerprint: Column) -> Column:
 
 
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """df with the likeness of the kept anchors in the array columns a and b."""
-    hash_of = lambda v: F.shiftright(v, PLACE_BITS)
-    place_of = lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    df = df.withColumn("__a", F.transform(a, hash_of)).withColumn("__b", F.transform(b, hash_of))
-    # a full fingerprint says nothing of hashes above its last
-    top = F.least(*(F.when(F.size(c) >= KEPT, F.element_at(c, -1)) for c in ("__a", "__b")))
-    known = lambda c: F.when(F.col("__top").isNull(), F.col(c)).otherwise(F.filter(c, lambda h: h <= F.col("__top")))
-    df = df.withColumn("__top", top)
-    df = df.withColumn("__u", F.size(F.array_union(known("__a"), known("__b")))).withColumn("__i", F.array_intersect(known("__a"), known("__b")))
-    at = lambda values, hashes, h: place_of(F.get(values, (F.array_position(hashes, h) - 1).cast("int")))
-    df = df.withColumn("__d", F.array_sort(F.transform("__i", lambda h: at(a, F.col("__a"), h) - at(b, F.col("__b"), h))))
-    median = F.get("__d", F.floor((F.size("__d") - 1) / 2).cast("int"))
-    agree = F.size(F.filter("__d", lambda d: F.abs(d - median) <= SLACK))
-    value = F.when(F.col(a) == F.col(b), F.lit(1.0)).when(F.col("__u") > 0, agree / F.col("__u")).otherwise(F.lit(0.0))
-    return df.withColumn(out, value).drop("__a", "__b", "__top", "__u", "__i", "__d")
+    """df with the likeness of the anchors in the array columns a and b, in a sort of both together."""
+    mask = F.lit((1 << PLACE_BITS) - 1)
+    # hash, a bit that tells b from a, place
+    marked = lambda c, bit: F.transform(c, lambda v: F.shiftleft(F.shiftright(v, PLACE_BITS), PLACE_BITS + 1).bitwiseOR(F.lit(bit << PLACE_BITS)).bitwiseOR(v.bitwiseAND(mask)))
+    hash_of = lambda v: F.shiftright(v, PLACE_BITS + 1)
+    df = df.withColumn("__z", F.sort_array(F.concat(marked(a, 0), marked(b, 1))))
+    n = F.greatest(F.size("__z") - 1, F.lit(0))
+    shifts = F.zip_with(F.slice("__z", F.lit(1), n), F.slice("__z", F.lit(2), n), lambda x, y: F.when(hash_of(x) == hash_of(y), x.bitwiseAND(mask) - y.bitwiseAND(mask)))
+    df = df.withColumn("__d", F.sort_array(F.filter(shifts, lambda d: d.isNotNull())))
+    df = df.withColumn("__m", F.get("__d", F.floor((F.size("__d") - 1) / 2).cast("int")))
+    agree = F.size(F.filter("__d", lambda d: F.abs(d - F.col("__m")) <= SLACK))
+    union = F.size("__z") - F.size("__d")
+    value = F.when(F.col(a) == F.col(b), F.lit(1.0)).when(union > 0, agree / union).otherwise(F.lit(0.0))
+    return df.withColumn(out, value).drop("__z", "__d", "__m")
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -113,9 +114,9 @@ def with_sentinels(docs: DataFrame) -> DataFrame:
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
+    """One row for each row of docs: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, anchors, edited_anchors)."""
     order = Window.partitionBy("part").orderBy("sentinel", "key", "text")
-    rows = anchors(with_sentinels(docs), "text", "own")
+    rows = anchors(with_sentinels(docs).repartition("part"), "text", "own")  # anchors are as large as texts, so they come after the shuffle
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next", F.lead("own").over(order)).where("sentinel = 0")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
@@ -123,4 +124,4 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     rows = anchors(rows.select("doc_id", "n_chars", "own", "next", "edited_text"), "edited_text", "edited")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), written(F.col("own")).alias("fingerprint"), written(F.col("edited")).alias("edited_fingerprint"), "own", "edited", "next")
     rows = likeness(likeness(rows, "own", "edited", "near_edited"), "own", "next", "near_next")
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("own").alias("anchors"), F.col("edited").alias("edited_anchors"))

@@ -309,3 +309,20 @@ def test_fingerprints_see_shared_passages(spark):
     df = fingerprints.likeness(fingerprints.likeness(fingerprints.likeness(df, "ka", "ka", "same"), "ka", "kb", "near"), "ka", "kc", "far")
     x = df.first()
     assert x["same"] == 1 and x["near"] > 0.9 and x["far"] < 0.1
+
+
+def test_likeness_of_passages_in_long_texts(spark):
+    r = random.Random(9)
+    w = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    shared = w(300)
+    texts = [" ".join([*w(4000), *shared, *w(5700)]), " ".join([*w(9000), *shared, *w(700)])]
+    df = spark.createDataFrame([tuple(texts)], "a string, b string")
+    for c in "ab":
+        df = fingerprints.anchors(df, c, f"k{c}")
+    x = fingerprints.likeness(df, "ka", "kb", "near").first()
+    ka, kb = ({v >> 22 for v in x[k]} for k in ("ka", "kb"))
+    both = ka & kb
+    assert len(ka) > 4000 and len(both) > 100
+    assert x["near"] == pytest.approx(len(both) / len(ka | kb))
+    rows = fingerprints.compare_with_next(frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
+    assert {q["doc_id"]: q["anchors"] for q in rows} == {0: x["ka"], 1: x["kb"]} and all(q["near_next"] == x["near"] for q in rows)
