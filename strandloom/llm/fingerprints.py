@@ -14,7 +14,7 @@ The edited text of a document takes half of the next one, by ascending id. Docum
 between quantiles of the id column, and each range gets a copy of the first row of the range after it, so that a
 range's last row sees its next one and no task has to hold the table.
 
-Defined cases: a null text is empty; a text of fewer than WORDS words has one anchor, of all its words, and one
+Defined cases: a null text is empty; a text that has words and no closed syncmer has one anchor, of all its words, and one
 without words has none; equal anchors are alike 1; null ids come first, repeated ids are ordered by text; a table
 of one row is its own next; other columns of the input don't matter.
 """
@@ -48,7 +48,7 @@ def anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     marked = F.zip_with(ends, middle, lambda x, y: F.when(x["e"] <= y["m"], pair(x["h"], y["a"])))
     placed = F.filter(F.transform(marked, coded), lambda x: x.isNotNull())
     whole = F.array(coded(F.xxhash64("__w"), F.lit(0)))
-    df = df.withColumn("__v", F.sort_array(F.when(F.size("__w") >= WORDS, placed).when(F.size("__w") > 0, whole).otherwise(F.slice(whole, 1, 0))))
+    df = df.withColumn("__v", F.sort_array(F.when(F.size(placed) > 0, placed).when(F.size("__w") > 0, whole).otherwise(F.slice(whole, 1, 0))))
     hash_of = lambda v: F.shiftright(v, PLACE_BITS)
     fresh = F.filter("__v", lambda v, i: (i == 0) | (hash_of(v) != hash_of(F.get("__v", i - 1))))
     return df.withColumn(out, fresh).drop("__w", "__s", "__v")

@@ -326,3 +326,11 @@ def test_likeness_of_passages_in_long_texts(spark):
     assert x["near"] == pytest.approx(len(both) / len(ka | kb))
     rows = fingerprints.compare_with_next(frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
     assert {q["doc_id"]: q["anchors"] for q in rows} == {0: x["ka"], 1: x["kb"]} and all(q["near_next"] == x["near"] for q in rows)
+
+
+def test_anchors_of_short_texts(spark):
+    rows = [(" ".join(f"x{k}n{n}y{i}" for i in range(n)), n) for n in range(1, 9) for k in range(20)]
+    df = fingerprints.anchors(spark.createDataFrame([*rows, ("", 0)], "t string, n int"), "t", "k")
+    found = df.collect()
+    assert all((len(x["k"]) > 0) == (x["n"] > 0) for x in found)
+    assert len({tuple(x["k"]) for x in found}) == len(found)
