@@ -4,7 +4,7 @@ Every text is lower-cased and cut into words; every two words in a row are hashe
 same two words in the license templates (a fixed table of some hundred rows, so it is broadcast; the words themselves
 are compared after the hash). A hit votes for the diagonal `place in text - place in template`. On one diagonal, as
 many different votes as the template has word pairs mean that the whole template stands there word for word. For the
-longer templates, diagonals at most NEAR apart are merged, so that a passage with words put in or left out still
+longer templates, other diagonals at most NEAR apart are merged, so that a passage with words put in or left out still
 counts, and the span is verified by the share of the template's word pairs that it holds, in a span of text not much
 longer than the template.
 
@@ -82,14 +82,16 @@ def spans(docs: DataFrame) -> DataFrame:
     near = F.when(F.col("base"), 0).otherwise(NEAR)
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > near, F.lit(True))
     grouped = per.withColumn("group", F.sum(fresh.cast("int")).over(order))
-    merged = grouped.groupBy("doc_id", "text_hash", "template", "n_pairs", "label", "base", "group").agg(
+    # a diagonal that holds the whole template is a span by itself, however long the chain that it stands in
+    grouped = grouped.withColumn("whole", F.when(F.size("places") == F.col("n_pairs"), F.col("diagonal")))
+    merged = grouped.groupBy("doc_id", "text_hash", "template", "n_pairs", "label", "base", "group", "whole").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("held"),
         F.min(F.col("diagonal") + F.array_min("places")).alias("start"),
         F.max(F.col("diagonal") + F.array_max("places") + 1).alias("end"),
     )
     scored = merged.withColumn("score", F.size("held") / F.col("n_pairs"))
     short = F.col("end") - F.col("start") <= 2 * F.col("n_pairs") + 2
-    return scored.where(F.when(F.col("base"), F.size("held") == F.col("n_pairs")).otherwise((F.col("score") >= LEAST_SHARE) & short)).drop("held", "group")
+    return scored.where(F.when(F.col("base"), F.size("held") == F.col("n_pairs")).otherwise((F.col("score") >= LEAST_SHARE) & short)).drop("held", "group", "whole")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -224,6 +224,12 @@ def test_licenses(spark, odd, odd_rows, none):
 
 
 # language model
+def test_licenses_in_a_row(spark):
+    docs = frame(spark, [(n, " ".join(["x", *["all rights reserved"] * n, "y"]), "en", "a") for n in range(6)])
+    got = {x["doc_id"]: (x["labels"], x["score"], x["n_base"]) for x in license_scan.scan(docs).collect()}
+    assert got == {n: ("all-rights-reserved", 1.0, 0) if n else ("", 0.0, 0) for n in range(6)}
+
+
 def test_scores(odd, odd_rows, none):
     got = lm_scoring.score(odd).collect()
     train = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, *_ in odd_rows]
