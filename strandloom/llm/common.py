@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word of the corpus contracts: a run of anything but ASCII white space.
@@ -59,11 +65,47 @@ def crc32_text(x: Column) -> Column:
     return F.crc32(F.coalesce(x.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to at most `rows` rows, so that what a task holds stays bounded."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most `rows` rows and about `most` bytes of strings (one row at least)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(string_bytes(batch))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
+            # a copy: Arrow's ascii_lower misreads strings whose first offset isn't 0, as casts of slices are
+            yield batch if end - at == batch.num_rows else batch.take(pa.array(np.arange(at, end)))
+            at = end
+
+
+def string_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the strings and binary values of each row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if any(is_kind(column.type) for is_kind in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return total
+
+
+def release() -> None:
+    """Give back what Python's and Arrow's allocators keep: workers are used again by other stages, beside a JVM that has grown."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def leaves_no_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches, with release() at its end."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
 
 
 def clip(value: float, least: float, most: float) -> int:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.llm.common import crc32_text, slices
+from strandloom.llm.common import crc32_text, leaves_no_memory, slices
 
 #: Bound of the learning sample, and the most languages it may have.
 PER_LANGUAGE, MOST_LANGUAGES = 500, 500
@@ -162,6 +162,7 @@ def fit(docs: DataFrame, folds: int | None = 5, held_out: int = 0) -> Model:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row, without a shuffle."""
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             found = [model.predict(t) for t in batch.column(1).to_pylist()]
@@ -174,6 +175,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose language the model can tell; `und` goes."""
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             yield batch.filter(pa.array([model.predict(t)[0] != "und" for t in batch.column("text").to_pylist()], pa.bool_()))

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.llm.common import clip, cut, n_words, slices
+from strandloom.llm.common import clip, cut, leaves_no_memory, n_words, slices
 
 WEIGHTS, CAP = (5.0, 2.0, 1.0), 3.0
 BLOCK_WORDS, MOST_SHARDS, SEED = 64, 64, 20240607
@@ -179,6 +179,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap=CAP, block_words=BLOCK
     on = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__x")) & (F.col("__size") == F.col("__n")) & (F.col("__no") == F.col("__d"))
     both = keyed.join(own, on).select(*docs.columns, "__spans")
 
+    @leaves_no_memory
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             texts, spans = batch.column("text").to_pylist(), batch.column("__spans").to_pylist()

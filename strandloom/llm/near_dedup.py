@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from strandloom.llm.common import cut, may_hold, slices, stored
+from strandloom.llm.common import cut, leaves_no_memory, may_hold, slices, stored
 
 WORDS, SIMILARITY = 5, (4, 5)
 REGISTERS, BANDS, ROWS = 48, 16, 3
@@ -40,6 +40,8 @@ CHUNK = 16
 #: Nodes and shingles of a block, about; columns of a dense table of shingles; bands that are settled at a time (each turn finds fewer components).
 BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 TURNS = (range(4), range(4, BANDS))
+#: Bytes of text that are worked at once: their shingles' arrays take some twenty times as much.
+SLICE_BYTES = 1 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 U = np.uint64
 
@@ -128,8 +130,9 @@ def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, node, band values b0..; null without words) of every row."""
     names = [f"b{k}" for k in range(BANDS)]
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 1000, SLICE_BYTES):
             of, code, digests = shingles(batch.column(1))
             of, code, _ = distinct_shingles(of, code)
             bands = band_hashes(sketch(batch.num_rows, of, code, np.ones(len(of))))
@@ -144,8 +147,9 @@ def sketched(docs: DataFrame) -> DataFrame:
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, sorted distinct shingle hashes as bytes) of the wanted nodes, from the texts of their least doc_id."""
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
+        for batch in slices(batches, 500, SLICE_BYTES):
             of, code, digests = shingles(batch.column(0))
             of, code, _ = distinct_shingles(of, code)
             at = np.searchsorted(of, np.arange(batch.num_rows + 1))
@@ -163,6 +167,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sets = may_hold(sets, F.col("node"), pairs.select("a").union(pairs.select("b")), "a", "__may").where("__may")  # the joins are exact
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             keep = []
@@ -303,8 +308,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # several rows may have a class's least id: then the least node of them stays
     kept = stored(kept.select(F.col("doc_id").alias("__i"), F.col("node").alias("__k"), "n"), "kept")
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 1000, SLICE_BYTES):
             digests = shingles(batch.column("text"))[2]
             nodes = [node_of(d, None if d else batch.column("text")[i].as_py()) for i, d in enumerate(digests)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*names, "__node"])

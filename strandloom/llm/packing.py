@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.llm.common import clip, cut, slices
-from strandloom.llm.tokens import encoder
+from strandloom.llm.tokens import encoding
 
 CAPACITY = 2048
 #: Pieces of a bucket in which ranks are counted.
@@ -39,21 +39,21 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     """Pieces of every document: (id, start, length, ids as little-endian unsigned 32-bit integers, doc_tokens), without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        for batch in slices(batches, 2000):
-            flat, ends = enc.batch(batch.column(1))
-            rows, starts, lengths, ids, totals = [], [], [], [], []
-            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4").tobytes()
-                at, n = 0, int(b - a) + 1
-                for k in piece_lengths(n, capacity):
-                    rows.append(i)
-                    starts.append(at)
-                    lengths.append(k)
-                    ids.append(own[4 * at : 4 * (at + k)])
-                    totals.append(n)
-                    at += k
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())], [id_col, "start", "length", "ids", "doc_tokens"])
+        with encoding(tokenizer) as enc:
+            for batch in slices(batches, 2000):
+                flat, ends = enc.batch(batch.column(1))
+                rows, starts, lengths, ids, totals = [], [], [], [], []
+                for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4").tobytes()
+                    at, n = 0, int(b - a) + 1
+                    for k in piece_lengths(n, capacity):
+                        rows.append(i)
+                        starts.append(at)
+                        lengths.append(k)
+                        ids.append(own[4 * at : 4 * (at + k)])
+                        totals.append(n)
+                        at += k
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())], [id_col, "start", "length", "ids", "doc_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {PIECE_SCHEMA}")

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from strandloom.llm.common import slices
+from strandloom.llm.common import leaves_no_memory, slices
 from strandloom.llm.tokens import JOINED, LETTERS, PLAIN, RUNS, Cache, is_byte_level, load, spec, split_chunks, tokenizer_path
 
 FAR = np.iinfo(np.int32).max
@@ -168,10 +168,15 @@ def piece_model(name_or_path: str):
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of every row of docs, without a shuffle."""
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3000):
-            n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(count_batch(tokenizer, batch.column(1)), pa.int64())], [id_col, "n_bytes", "n_tokens"])
+        try:
+            for batch in slices(batches, 3000):
+                n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(count_batch(tokenizer, batch.column(1)), pa.int64())], [id_col, "n_bytes", "n_tokens"])
+        finally:
+            if is_byte_level(tokenizer):
+                counter(tokenizer).cache.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")

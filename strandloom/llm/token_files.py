@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.llm.common import clip, new_path, slices
-from strandloom.llm.tokens import encoder
+from strandloom.llm.tokens import encoding
 
 MAGIC = b"TID1"
 #: Bounds of the sample that the dictionary is trained on, and its size.
@@ -46,8 +46,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str,
     chosen = some.select(id_col, F.xxhash64(id_col).alias("__h")).orderBy("__h", id_col).limit(SAMPLE_DOCS).select(id_col).distinct()  # ids alone are sorted
     rows = some.join(F.broadcast(chosen), id_col, "left_semi").select(F.substring(text_col, 1, SAMPLE_CHARS).alias("__t")).limit(SAMPLE_DOCS).collect()
     rows.sort(key=lambda r: r["__t"])  # the same dictionary whatever the order of rows
-    enc = encoder(tokenizer)
-    flat, borders = enc.batch(pa.array([r["__t"] for r in rows], pa.string())) if rows else (np.empty(0, "<u4"), np.zeros(1, int))
+    with encoding(tokenizer) as enc:
+        flat, borders = enc.batch(pa.array([r["__t"] for r in rows], pa.string())) if rows else (np.empty(0, "<u4"), np.zeros(1, int))
     samples = [np.append(flat[a:b], np.uint32(end_id)).astype("<u4").tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
     if len(samples) < 8:
         return b""
@@ -109,20 +109,20 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str =
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = codec(dictionary)[0].compress
-        enc = encoder(tokenizer)
-        for batch in slices(batches, 2000):
-            flat, ends = enc.batch(batch.column(1))
-            out, counts = [], []
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                ids = np.empty(b - a + 1, "<u4")
-                ids[:-1] = flat[a:b]
-                ids[-1] = end_id
-                out.append(compress(ids.tobytes()))
-                counts.append(len(ids))
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            bucket = np.where(null, 0, np.searchsorted(cuts, np.where(null, 0, own).astype(np.int64), side="right"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket, pa.int32()), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], ["id", "bucket", "n_ids", "frame"])
+        with encoding(tokenizer) as enc:
+            for batch in slices(batches, 2000):
+                flat, ends = enc.batch(batch.column(1))
+                out, counts = [], []
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    ids = np.empty(b - a + 1, "<u4")
+                    ids[:-1] = flat[a:b]
+                    ids[-1] = end_id
+                    out.append(compress(ids.tobytes()))
+                    counts.append(len(ids))
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                bucket = np.where(null, 0, np.searchsorted(cuts, np.where(null, 0, own).astype(np.int64), side="right"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket, pa.int32()), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], ["id", "bucket", "n_ids", "frame"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -8,16 +8,20 @@ other white space are cut at white-space runs instead. Tokenizers of another bui
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from strandloom.llm.common import release
+
 #: Unicode white space, as the library's pattern for pre-tokens takes it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -30,8 +34,8 @@ MARKS_RE2 = f"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!]+)([ \\n]|$)"
 LINE_RE2 = f"([^{SPACE_RE2}])\\n([^{SPACE_RE2}])"
 #: Begins a chunk that no blank stands before.
 JOINED = "\x01"
-#: Entries of each of the two generations of a worker's cache.
-GENERATION = 150_000
+#: Entries and bytes of the keys of each of the two generations of a task's cache; longer chunks aren't kept.
+GENERATION, GENERATION_BYTES, LONGEST_KEPT = 150_000, 6 << 20, 256
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -51,12 +55,13 @@ def load(name_or_path: str):
     return Tokenizer.from_file(tokenizer_path(name_or_path))
 
 
-@lru_cache(maxsize=4)
 def spec(name_or_path: str) -> dict:
+    """The vocabulary file; large, so it isn't kept."""
     with open(tokenizer_path(name_or_path), encoding="utf-8") as f:
         return json.load(f)
 
 
+@lru_cache(maxsize=4)
 def is_byte_level(name_or_path: str) -> bool:
     """Whether chunks may be encoded one by one."""
     if not name_or_path.endswith(".json"):
@@ -86,23 +91,38 @@ LETTERS = byte_letters()
 
 
 class Cache:
-    """Chunks' ids. It forgets what was not asked for since the last GENERATION new entries."""
+    """Chunks' values for the length of a task. It forgets what was not asked for in the last generation of new entries."""
 
     def __init__(self):
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def all(self, chunks: list[str], make) -> list[bytes]:
+        self.clear()
+
+    def clear(self) -> None:
+        self.new: dict = {}
+        self.old: dict = {}
+        self.bytes = 0
+
+    def keep(self, values: dict) -> None:
+        """Add values, and begin a generation when this one is full."""
+        for chunk, value in values.items():
+            if len(chunk) <= LONGEST_KEPT:
+                self.new[chunk] = value
+                self.bytes += len(chunk)
+        if len(self.new) >= GENERATION or self.bytes >= GENERATION_BYTES:
+            self.old, self.new, self.bytes = self.new, {}, 0
+
+    def all(self, chunks: list[str], make) -> list:
         found = list(map(self.new.get, chunks))
+        added = {}
         for i, value in enumerate(found):
             if value is None:
                 chunk = chunks[i]
-                value = self.old.get(chunk)
+                value = added.get(chunk)
+                if value is None:
+                    value = self.old.get(chunk)
                 if value is None:
                     value = make(chunk)
-                self.new[chunk] = found[i] = value
-        if len(self.new) >= GENERATION:
-            self.old, self.new = self.new, {}
+                added[chunk] = found[i] = value
+        self.keep(added)
         return found
 
     def many(self, chunks: list[str], make_all, wanted: list[str] | None = None) -> list:
@@ -114,9 +134,7 @@ class Cache:
         missing_still = [c for c in missing if found[c] is None]
         if missing_still:
             found.update(zip(missing_still, make_all(missing_still), strict=True))
-        self.new.update((c, found[c]) for c in missing)
-        if len(self.new) >= GENERATION:
-            self.old, self.new = self.new, {}
+        self.keep({c: found[c] for c in missing})
         return [found[c] for c in (chunks if wanted is None else wanted)]
 
 
@@ -188,5 +206,16 @@ def pack(ids: list[int]) -> bytes:
 
 @lru_cache(maxsize=2)
 def encoder(name_or_path: str) -> Encoder:
-    """One per Python worker; workers are used again, and so is the cache."""
+    """One per Python worker."""
     return Encoder(name_or_path)
+
+
+@contextlib.contextmanager
+def encoding(name_or_path: str) -> Iterator[Encoder]:
+    """A worker's encoder for the length of a task; its cache ends with the task."""
+    own = encoder(name_or_path)
+    try:
+        yield own
+    finally:
+        own.cache.clear()
+        release()
