@@ -12,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch: texts and blocks are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts and blocks are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -29,6 +29,7 @@ def ship(spark: SparkSession) -> None:
     ensure_checkpoints(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
