@@ -1,20 +1,25 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
 Shingles are WORDS words in a row, of words of digits, a-z (after lower-casing A-Z) and characters beyond ASCII; a text
-of fewer words is one shingle. Each distinct shingle is the source of a Poisson process of rate 1, however often it
-comes: arrivals come at exponential steps, each at one of REGISTERS registers, which keeps the earliest; a process ends
-when its next arrival is later than all registers of its text (early termination). Two texts agree in a register with
-the Jaccard similarity of their distinct shingles, by which links are verified too. BANDS bands of ROWS registers give the candidates:
-a pair of similarity 0.8 is missed with probability (1 - 0.8^3)^16, about 1 in 100,000.
-
-Classes. Texts with the same words are one node from the start (a 64-bit digest names it), so copies never meet as
-pairs. In each bucket of a band every node is compared with one hub, the least node. Then all nodes of a bucket that are
-not yet of one component are compared: in buckets of at most CHUNK nodes pair by pair, in larger ones block by block. For
-that the nodes outside a bucket's largest component are dealt into blocks, and so are those inside; each block of the
-former meets all other blocks of its bucket, and one task counts the shared shingles of two blocks at once. So every two
-nodes that meet in a band are compared or known to be of one component. A pair is linked if the Jaccard similarity of its
-distinct shingles is SIMILARITY or more, counted exactly. Components come from links by minimum labels with pointer
-jumping, in checkpointed rounds. No bucket, chunk or component is held by one task or the driver.
+of fewer words is one shingle. A shingle's weight is the number of times it comes. Each is the source of a Poisson process
+whose rate is its weight: arrivals come at exponential steps, each at one of REGISTERS registers, which keeps the
+earliest; a process ends when its next arrival is later than all registers of its text (early termination). Two texts
+agree in a register with the probability Jaccard similarity of their weighted shingles. BANDS bands of ROWS registers
+give the candidates: a pair of similarity 0.8 is missed with probability (1 - 0.8^3)^16, about 1 in 100,000.
+
+A pair is linked if its probability Jaccard similarity is SIMILARITY or more, either with shingles weighted by their
+counts or with all weights 1 (then it is the Jaccard similarity of the distinct shingles); both are verified exactly.
+For that a text with repeated shingles is sketched twice, by either weights, and stands in the buckets of both sketches;
+without repeats both sketches are the same.
+
+Classes. Texts with the same words are one node from the start, so copies never meet as pairs; a node's name is 64 bits of
+its words' digest, and where 64 more bits tell texts of one name apart, they get names of their own. In each bucket of a
+band every node is compared with one hub, the least node. Then all nodes of a bucket that are not yet of one component
+are compared: in buckets of at most CHUNK nodes pair by pair, in larger ones block by block. For that the nodes outside a
+bucket's largest component are dealt into blocks, and so are those inside; each block of the former meets all other
+blocks of its bucket, and one task counts the shared shingles of two blocks at once. So every two nodes that meet in a
+band are compared or known to be of one component. Components come from links by minimum labels with pointer jumping, in
+checkpointed rounds. No bucket, chunk or component is held by one task or the driver.
 
 Defined cases: texts without words are alike only if equal, null counts as empty; rows that repeat belong to one
 class; the class id is the least doc_id of the class (null only if all are); other columns of the input don't matter
@@ -122,62 +127,120 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def node_of(digest: bytes, text: str | None) -> int:
-    return int.from_bytes(digest[:8] if digest else hashlib.md5(b"\0" + (text or "").encode()).digest()[:8], "little", signed=True)
+def names_of(digests: list[bytes], texts: pa.Array, bits: int = 64) -> list[pa.Array]:
+    """Each text's name and the 64 bits that check it, from its words' digest, or its own text where it has no words."""
+    whole = [d or hashlib.md5(b"\0" + (texts[i].as_py() or "").encode()).digest() for i, d in enumerate(digests)]
+    both = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0] >> (64 - bits) if bits < 64 else both[:, 0]), pa.array(both[:, 1])]
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, band values b0..; null without words) of every row."""
+def shared_names(rows: DataFrame) -> DataFrame | None:
+    """The names that texts of different words have: none but for an accident of the digest."""
+    found = cut(rows.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select(F.col("node").alias("__shared")))
+    return found if found.limit(1).count() else None
+
+
+def told_apart(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """Rows whose texts of different words have different names, without the column `check`."""
+    if shared is not None:
+        own = F.when(F.col("__shared").isNull(), F.col("node")).otherwise(F.xxhash64("node", "check"))
+        rows = rows.join(shared, F.col("node") == F.col("__shared"), "left").withColumn("node", own).drop("__shared")
+    return rows.drop("check")
+
+
+def sketched(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(doc_id, node, check, even, band values b0..; null without words) of every row.
+
+    `even` tells the sketch with equal weights, which comes after the other where a text repeats shingles; bands in
+    which both sketches agree are null there.
+    """
     names = [f"b{k}" for k in range(BANDS)]
 
     @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000, SLICE_BYTES):
+            n = batch.num_rows
             of, code, digests = shingles(batch.column(1))
-            of, code, _ = distinct_shingles(of, code)
-            bands = band_hashes(sketch(batch.num_rows, of, code, np.ones(len(of))))
+            of, code, count = distinct_shingles(of, code)
+            bands = band_hashes(sketch(n, of, code, count.astype(float)))
+            again = np.unique(of[count > 1])
             empty = np.array([not d for d in digests], bool)
-            nodes = [node_of(d, None if d else batch.column(1)[i].as_py()) for i, d in enumerate(digests)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *(pa.array(bands[:, k], mask=empty) for k in range(BANDS))], ["doc_id", "node", *names])
+            node, check = names_of(digests, batch.column(1), bits)
+            blank = np.repeat(empty[:, None], BANDS, axis=1)
+            if len(again):
+                own = np.isin(of, again)
+                even = band_hashes(sketch(len(again), np.searchsorted(again, of[own]), code[own], np.ones(int(own.sum()))))
+                bands, blank = np.concatenate([bands, even]), np.concatenate([blank, even == bands[again]])
+            rows = pa.array(np.concatenate([np.arange(n), again]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), node.take(rows), check.take(rows), pa.array(np.arange(len(rows)) >= n), *(pa.array(bands[:, k], mask=blank[:, k]) for k in range(BANDS))], ["doc_id", "node", "check", "even", *names]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, check long, even boolean, " + ", ".join(f"{n} long" for n in names))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, sorted distinct shingle hashes as bytes) of the wanted nodes, from the texts of their least doc_id."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shared: DataFrame | None, bits: int = 64) -> DataFrame:
+    """(node, sorted distinct shingle hashes as bytes, their counts as bytes: none if all are 1) of the wanted nodes, from the texts of their least doc_id."""
 
     @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500, SLICE_BYTES):
             of, code, digests = shingles(batch.column(0))
-            of, code, _ = distinct_shingles(of, code)
+            of, code, count = distinct_shingles(of, code)
             at = np.searchsorted(of, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(d, None) for d in digests], pa.int64()), pa.array([code[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "sh"])
+            spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            counts = [count[a:b].astype("<u4").tobytes() if b > a and count[a:b].max() > 1 else b"" for a, b in spans]
+            yield pa.RecordBatch.from_arrays([*names_of(digests, batch.column(0), bits), pa.array([code[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(counts, pa.binary())], ["node", "check", "sh", "ct"])
 
     able = may_hold(docs.select("doc_id", "text"), F.col("doc_id"), wanted.where("id is not null"), "id", "__may")  # the join on nodes follows
     texts = able.where(F.col("doc_id").isNull() | F.col("__may")).select("text")
-    found = texts.mapInArrow(run, "node long, sh binary")
+    found = told_apart(texts.mapInArrow(run, "node long, check long, sh binary, ct binary"), shared)
     return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
+def weights_of(ct: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(ct, "<u4").astype(np.float64) if ct else np.ones(n)
+
+
+def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Of two sorted arrays of distinct hashes and their weights: the sum over shared i of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    a, b = wx[i], wy[j]
+    order = np.argsort(b / a, kind="stable")
+    a, b = a[order], b[order]
+    ratio = b / a
+    upto = np.searchsorted(ratio, ratio, side="right")  # where y_j / y_i is the lesser
+    low, high = np.concatenate([[0.0], np.cumsum(a)])[upto], b.sum() - np.concatenate([[0.0], np.cumsum(b)])[upto]
+    alone = wx.sum() - a.sum() + (wy.sum() - b.sum()) / ratio
+    return float((a / (low + high / ratio + alone)).sum())
+
+
+def alike(x: np.ndarray, cx: bytes, y: np.ndarray, cy: bytes) -> bool:
+    """Whether one of both similarities is large enough."""
+    shared = len(x) + len(y) - len(np.union1d(x, y))
+    if SIMILARITY[1] * shared >= SIMILARITY[0] * (len(x) + len(y) - shared):
+        return True
+    return bool(cx or cy) and shared > 0 and reaches(probability_jaccard(x, weights_of(cx, len(x)), y, weights_of(cy, len(y))))
+
+
+def reaches(similarity: float) -> bool:
+    return similarity >= SIMILARITY[0] / SIMILARITY[1] - 1e-12
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are alike enough."""
+    """The pairs (a, b) of nodes whose shingles are alike enough."""
     pairs = stored(pairs, "pairs")
     sets = may_hold(sets, F.col("node"), pairs.select("a").union(pairs.select("b")), "a", "__may").where("__may")  # the joins are exact
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa"), F.col("ct").alias("ca")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb"), F.col("ct").alias("cb")), "b")
 
     @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(SIMILARITY[1] * shared >= SIMILARITY[0] * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            each = zip(*(batch.column(c).to_pylist() for c in ("sa", "ca", "sb", "cb")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([alike(np.frombuffer(x, U), cx, np.frombuffer(y, U), cy) for x, cx, y, cy in each], pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,46 +265,70 @@ def joined(comps: DataFrame, new: DataFrame) -> DataFrame:
     return components(new.union(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
 
-def shared_counts(of: np.ndarray, code: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The number of hashes that each row of left shares with each other row of right; of, code: row and hash, n rows."""
-    _, column, count = np.unique(code, return_inverse=True, return_counts=True)
-    common = count[column] > 1
+def shared_counts(of: np.ndarray, code: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """The number of hashes that each row of left shares with each of right; of, code: row and hash, n rows.
+
+    With weights of all (row, hash) also the weight that the shared ones have in the row of left, and in that of right.
+    """
+    _, column, held = np.unique(code, return_inverse=True, return_counts=True)
+    common = held[column] > 1
     of, column = of[common], column[common]
-    # columns that the same rows hold are one, with a weight
-    mark = np.zeros(len(count), U)
+    weight = None if weight is None else weight[common]
+    # columns that the same rows hold are one, with a size
+    mark = np.zeros(len(held), U)
     np.add.at(mark, column, scramble(np.arange(1, n + 1, dtype=U))[of])
-    _, first, group, weight = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
-    single = first[group[column]] == column
-    of, column = of[single], group[column[single]]
-    order = np.argsort(column, kind="stable")
-    of, column = of[order], column[order]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, len(weight), COLUMNS):
+    _, group, size = np.unique(mark, return_inverse=True, return_counts=True)
+    cells, inverse = np.unique(group[column] * np.int64(n) + of, return_inverse=True)  # by column, then row
+    column, of = cells // n, cells % n
+    heavy = None if weight is None else np.bincount(inverse, weights=weight, minlength=len(cells)).astype(np.float32)
+    out = np.zeros((3 if heavy is not None else 1, len(left), len(right)), np.float32)
+    for at in range(0, len(size), COLUMNS):
         a, b = np.searchsorted(column, (at, at + COLUMNS))
-        dense = np.zeros((n, min(COLUMNS, len(weight) - at)), np.float32)
+        width = min(COLUMNS, len(size) - at)
+        dense = np.zeros((n, width), np.float32)
         dense[of[a:b], column[a:b] - at] = 1
-        out += (dense[left] * weight[at : at + COLUMNS].astype(np.float32)) @ dense[right].T
-    return out
+        of_right = np.ascontiguousarray(dense[right].T)
+        out[0] += (dense[left] * size[at : at + COLUMNS].astype(np.float32)) @ of_right
+        if heavy is not None:
+            full = np.zeros((n, width), np.float32)
+            full[of[a:b], column[a:b] - at] = heavy[a:b]
+            out[1] += full[left] @ of_right
+            out[2] += dense[left] @ full[right].T
+    return (out[0], out[1], out[2]) if heavy is not None else (out[0], None, None)
 
 
 def linked(table: pa.Table) -> pa.Table:
     """Links (a, b) between the two sides of a block pair, as many as join its components; side 2 stands on both."""
     node, comp, side = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
-    codes = [np.frombuffer(x, U) for x in table.column("sh").to_pylist()]
+    codes, counts = [np.frombuffer(x, U) for x in table.column("sh").to_pylist()], table.column("ct").to_pylist()
     sizes = np.array([len(x) for x in codes], np.int64)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     out: list[tuple[int, int]] = []
     if len(left) and len(right):
-        shared = shared_counts(np.repeat(np.arange(len(codes)), sizes), np.concatenate(codes), len(codes), left, right)
-        alike = SIMILARITY[1] * shared >= SIMILARITY[0] * (sizes[left][:, None] + sizes[right][None, :] - shared)
+        weights = [weights_of(c, k) for c, k in zip(counts, sizes, strict=True)] if any(counts) else None
+        shared, in_left, in_right = shared_counts(np.repeat(np.arange(len(codes)), sizes), np.concatenate(codes), len(codes), left, right, None if weights is None else np.concatenate(weights))
+        sure = SIMILARITY[1] * shared >= SIMILARITY[0] * (sizes[left][:, None] + sizes[right][None, :] - shared)
+        able = np.zeros_like(sure)
+        if weights is not None:
+            # the share of either text's weight that is shared is no less than their probability Jaccard similarity
+            total = np.array([w.sum() for w in weights])
+            least = SIMILARITY[0] / SIMILARITY[1] - 1e-5
+            able = ~sure & (in_left >= least * total[left][:, None]) & (in_right >= least * total[right][None, :])
         group = np.unique(comp, return_inverse=True)[1]
+
+        def link(x: int, y: int) -> None:
+            out.append((int(node[x]), int(node[y])))
+            group[group == group[y]] = group[x]
+
         for k, x in enumerate(left):
-            found = right[alike[k]]
+            found = right[sure[k]]
             tops, at = np.unique(group[found], return_index=True)
             for top, y in zip(tops, found[at], strict=True):
                 if top != group[x]:
-                    out.append((int(node[x]), int(node[y])))
-                    group[group == top] = group[x]
+                    link(x, y)
+            for y in right[able[k]]:
+                if group[y] != group[x] and (counts[x] or counts[y]) and reaches(probability_jaccard(codes[x], weights[x], codes[y], weights[y])):
+                    link(x, y)
     return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
@@ -263,19 +350,19 @@ def block_links(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFr
     to_outer = F.transform(up_to("outer"), lambda k: row(False, F.least(p, k), F.greatest(p, k), F.when(p == k, 2).when(p < k, 0).otherwise(1)))
     copies = F.when(F.col("inside"), of_inner).otherwise(F.concat(to_inner, to_outer))
     rows = cut(rows.select("node", "comp", "band", "h", F.explode(copies).alias("x")).select("node", "comp", "band", "h", "x.*"))
-    rows = rows.join(sets.select("node", "sh"), "node")
+    rows = rows.join(sets.select("node", "sh", "ct"), "node")
     return rows.groupBy("band", "h", "inside", "i", "j").applyInArrow(linked, "a long, b long")
 
 
-def link_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes that are linked to others; rows: sketched()."""
+def link_classes(docs: DataFrame, rows: DataFrame, shared: DataFrame | None, bits: int = 64) -> DataFrame:
+    """(node, comp) of the nodes that are linked to others; rows: sketched() with names told apart."""
     names = [f"b{k}" for k in range(BANDS)]
-    nodes = rows.where("b0 is not null").groupBy("node").agg(F.min("doc_id").alias("id"), *(F.first(n).alias(n) for n in names))
-    each = nodes.select("node", "id", F.posexplode(F.array(*names)).alias("band", "h"))
+    nodes = rows.groupBy("node", "even").agg(F.min("doc_id").alias("id"), *(F.first(n).alias(n) for n in names))
+    each = nodes.select("node", "id", F.posexplode(F.array(*names)).alias("band", "h")).where("h is not null")
     counts = each.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
     members = stored(each.join(counts, ["band", "h"]), "members")  # of buckets with more than one node
     wanted = stored(members.select("node", "id").distinct(), "candidates")
-    sets = stored(shingle_sets(docs, wanted).withColumn("size", F.length("sh") / 8), "shingles")
+    sets = stored(shingle_sets(docs, wanted, shared, bits).withColumn("size", F.length("sh") / 8), "shingles")
     links = stored(verified(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets), "links")
     comps = components(links)
     placed = members.where(F.col("n") <= CHUNK).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -290,20 +377,29 @@ def link_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return comps
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id) of every row of docs."""
-    rows = stored(sketched(docs), "sketches")
-    comps = link_classes(docs, rows)
+def classes(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(doc_id, node, class_id) of every row of docs. `bits`: of a node's name, before names are told apart."""
+    return with_classes(docs, bits)[0]
+
+
+def with_classes(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame | None]:
+    """classes(), and shared_names()."""
+    found = stored(sketched(docs, bits), "sketches")
+    shared = shared_names(found)
+    rows = told_apart(found, shared)
+    comps = link_classes(docs, rows, shared, bits)
+    rows = rows.where("not even").select("doc_id", "node")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("id")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     nodes = cut(nodes)
     least = nodes.groupBy(F.col("comp").alias("__c")).agg(F.min("id").alias("class_id"))
     of_node = nodes.join(least, F.col("comp") == F.col("__c")).select(F.col("node").alias("__n"), "class_id")
-    return rows.select("doc_id", "node").join(of_node, F.col("node") == F.col("__n")).select("doc_id", "node", "class_id")
+    return rows.join(of_node, F.col("node") == F.col("__n")).select("doc_id", "node", "class_id"), shared
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each class the one of least doc_id (of rows that repeat, one)."""
-    found = stored(classes(docs), "classes")
+    found, shared = with_classes(docs)
+    found = stored(found, "classes")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
     # several rows may have a class's least id: then the least node of them stays
     kept = stored(kept.select(F.col("doc_id").alias("__i"), F.col("node").alias("__k"), "n"), "kept")
@@ -312,15 +408,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000, SLICE_BYTES):
             digests = shingles(batch.column("text"))[2]
-            nodes = [node_of(d, None if d else batch.column("text")[i].as_py()) for i, d in enumerate(digests)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *names_of(digests, batch.column("text"))], [*names, "__node", "__check"])
 
     names = docs.columns
     of_id = found.groupBy(F.col("doc_id").alias("__i")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("k"))
     doubtful = stored(of_id.where((F.col("n") > 1) | (F.col("k") == 0)).select("__i"), "doubtful")  # ids that may go, or of several rows
     flagged = may_hold(docs, F.col("doc_id"), doubtful.where("__i is not null"), "__i", "__may")
     unsure = F.col("doc_id").isNull() | F.col("__may")
-    keyed = flagged.where(unsure).select(*names).mapInArrow(run, StructType([*docs.schema.fields, StructField("__node", LongType())]))
+    keyed = flagged.where(unsure).select(*names).mapInArrow(run, StructType([*docs.schema.fields, StructField("__node", LongType()), StructField("__check", LongType())]))
+    if shared is not None:
+        own = F.when(F.col("__shared").isNull(), F.col("__node")).otherwise(F.xxhash64("__node", "__check"))
+        keyed = keyed.join(shared, F.col("__node") == F.col("__shared"), "left").withColumn("__node", own).drop("__shared")
     if kept.where("n > 1").limit(1).count():
         keyed = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("doc_id"))).where("__r = 1").drop("__r")
     on = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__node") == F.col("__k"))

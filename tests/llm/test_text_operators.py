@@ -152,12 +152,61 @@ def test_near_classes_of_repeated_passages(spark):
     assert got == {i: i - i % 2 for i, *_ in rows}
 
 
+def test_near_classes_by_either_weights(spark):
+    """Pairs of which one similarity alone is large enough; brute force over both."""
+    r = random.Random(14)
+    w = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for _ in range(8):
+        line, a, b = w(12), w(40), w(40)
+        rows += [(len(rows) + k, " ".join([x, *[line] * 40]), "en", "a") for k, x in enumerate((a, b))]  # alike by counts
+        own, line = w(80), w(30)
+        rows += [(len(rows) + k, " ".join([own, *[line] * n]), "en", "a") for k, n in enumerate((60, 1))]  # alike by distinct shingles
+
+    def brute(x, y):
+        x, y = (Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in (x, y))
+        both = [k for k in x if k in y]
+        weighted = sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in {*x, *y}) for i in both)
+        return len(both) / len({*x, *y}), weighted
+
+    got = {q["doc_id"]: q["class_id"] for q in near_dedup.classes(frame(spark, rows)).collect()}
+    for i in range(0, len(rows), 2):
+        even, weighted = brute(rows[i][1], rows[i + 1][1])
+        assert (even < 0.8 <= weighted) if i % 4 == 0 else (weighted < 0.8 <= even)
+    assert got == {i: i - i % 2 for i, *_ in rows}
+
+
+def test_probability_jaccard_and_its_bound():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        x, y = (np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(2))
+        wx, wy = (r.integers(1, 6, len(v)).astype(float) for v in (x, y))
+        a, b = dict(zip(x.tolist(), wx)), dict(zip(y.tolist(), wy))
+        want = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in {*a, *b}) for i in a if i in b)
+        assert near_dedup.probability_jaccard(x, wx, y, wy) == pytest.approx(want)
+        assert want <= min(sum(a[i] for i in a if i in b) / wx.sum(), sum(b[i] for i in a if i in b) / wy.sum()) + 1e-9
+
+
+def test_near_classes_where_names_are_shared(spark):
+    """Names of 4 bits: texts of different words that have one name are told apart by the other half of the digest."""
+    rows = near_rows()
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, rows), bits=4).collect()}
+    assert got == dict(zip([r[0] for r in rows], brute_classes(rows)))
+
+
 def test_shared_counts():
     r = np.random.default_rng(3)
     sets_ = [np.unique(r.integers(0, 90, r.integers(1, 60)).astype(np.uint64)) for _ in range(40)] + [np.arange(10_000, 20_000, dtype=np.uint64)] * 2 + [np.arange(9_000, 15_000, 2, dtype=np.uint64)]
     left, right = np.arange(0, 43, 2), np.arange(1, 43, 2)
-    got = near_dedup.shared_counts(np.repeat(np.arange(43), [len(x) for x in sets_]), np.concatenate(sets_), 43, left, right)
+    of, code = np.repeat(np.arange(43), [len(x) for x in sets_]), np.concatenate(sets_)
+    got = near_dedup.shared_counts(of, code, 43, left, right)[0]
     assert got.tolist() == [[len(np.intersect1d(sets_[a], sets_[b])) for b in right] for a in left]
+    weight = r.integers(1, 9, len(code)).astype(float)
+    own = {(int(i), int(c)): w for i, c, w in zip(of, code, weight)}
+    again, in_left, in_right = near_dedup.shared_counts(of, code, 43, left, right, weight)
+    assert (again == got).all()
+    for m, pick in ((in_left, 0), (in_right, 1)):
+        assert m.tolist() == [[sum(own[(int((a, b)[pick]), int(c))] for c in np.intersect1d(sets_[a], sets_[b])) for b in right] for a in left]
 
 
 def test_near_classes_of_odd_rows(odd, odd_rows, none):
