@@ -65,7 +65,7 @@ def crc32_text(x: Column) -> Column:
     return F.crc32(F.coalesce(x.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most `rows` rows and about `most` bytes of strings (one row at least)."""
     for batch in batches:
         ends = np.cumsum(string_bytes(batch))

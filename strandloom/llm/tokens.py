@@ -35,7 +35,7 @@ LINE_RE2 = f"([^{SPACE_RE2}])\\n([^{SPACE_RE2}])"
 #: Begins a chunk that no blank stands before.
 JOINED = "\x01"
 #: Entries and bytes of the keys of each of the two generations of a task's cache; longer chunks aren't kept.
-GENERATION, GENERATION_BYTES, LONGEST_KEPT = 150_000, 6 << 20, 256
+GENERATION, GENERATION_BYTES, LONGEST_KEPT = 80_000, 4 << 20, 256
 
 
 def tokenizer_path(name_or_path: str) -> str:
