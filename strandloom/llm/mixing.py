@@ -1,10 +1,12 @@
 """Mixing sources to target weights by fixed-length blocks.
 
-The words of each source, document after document, are cut into blocks of a fixed number of words. For each output
+The words of each source, document after document, are packed into blocks of a fixed number of words. For each output
 shard the driver draws how many of its slots each source gets: a multinomial draw with probabilities in proportion to
 what the source still lacks, cut at that; the last shard takes what is left, so that the totals meet the targets. The
 j-th slot of a source with N blocks takes block P(j mod N), P being the pseudorandom permutation of [0, N) for the
-source and the epoch j div N; so a block comes once an epoch. Slots and blocks are joined by source and block number.
+source and the epoch j div N; so a block comes once an epoch. A source's last slot takes the first words of its block
+only, as many as meet the target to a word. Slots and blocks are joined by source and block number: mixed_parts() has
+the mix itself, part for part, and everything else is made of it.
 
 A source's words are ordered by hash buckets of its rows, and each row's place is the sum of two running totals, in
 its bucket and over the buckets' totals, so that a source with a third of all rows is no task of its own.
@@ -12,7 +14,7 @@ its bucket and over the buckets' totals, so that a source with a third of all ro
 Targets. Sources in order of code points, null last, have the weights 5, 2, 1, repeating, and share all words; a target
 stops at `cap` times its source's size, and the excess is shared again by weight until no target is above.
 
-Bound: the driver holds one row per source and MOST_SHARDS counts per source, and refuses more than MOST_SOURCES.
+Bound: the driver holds one row per source and MOST_COUNTS drawn counts, and refuses more than MOST_SOURCES.
 Defined cases: a null or empty text has no words and is taken 0 times; a null source is a source; rows that repeat
 take part each; no words at all make every target 0; other columns of the input don't matter to mix(), and
 mixed_documents() keeps them.
@@ -30,8 +32,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from strandloom.llm.common import clip, cut, leaves_no_memory, n_words, slices
 
 WEIGHTS, CAP = (5.0, 2.0, 1.0), 3.0
-BLOCK_WORDS, MOST_SHARDS, SEED = 64, 64, 20240607
-MOST_SOURCES, BUCKET_ROWS, RANGE_SLOTS = 100_000, 5000, 1 << 18
+BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 1 << 14, 20240607
+MOST_SOURCES, MOST_COUNTS, BUCKET_ROWS, MOST_BUCKETS, RANGE_SLOTS = 100_000, 400_000, 1000, 1 << 20, 1 << 18
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -78,27 +80,67 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def rounds(n: int, key: int) -> tuple[np.uint64, np.uint64, np.ndarray]:
+    """(bits of a half, their mask, keys) of the Feistel network over [0, n)."""
+    half = max(1, (int(n - 1).bit_length() + 1) // 2)
+    keys = scramble(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key % (1 << 64)))
+    return np.uint64(half), np.uint64((1 << half) - 1), keys
+
+
 def permute(at: np.ndarray, n: int, key: int) -> np.ndarray:
     """The images of `at` under the key's permutation of [0, n): a Feistel network of four rounds, walked until it falls below n."""
     if n <= 1:
         return np.zeros(len(at), np.int64)
-    half = max(1, (int(n - 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-    keys = scramble(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key % (1 << 64)))
+    half, mask, keys = rounds(n, key)
     x = at.astype(np.uint64)
     todo = np.arange(len(x))
     while len(todo):
-        y = x[todo]
-        left, right = y >> np.uint64(half), y & mask
+        left, right = x[todo] >> half, x[todo] & mask
         for k in keys:
             left, right = right, left ^ (scramble(right + k) & mask)
-        x[todo] = (left << np.uint64(half)) | right
+        x[todo] = (left << half) | right
         todo = todo[x[todo] >= n]
     return x.astype(np.int64)
 
 
+def place_of(value: int, n: int, key: int) -> int:
+    """The place that permute() sends to `value`."""
+    if n <= 1:
+        return 0
+    half, mask, keys = rounds(n, key)
+    x = np.array([value], np.uint64)
+    while True:
+        left, right = x >> half, x & mask
+        for k in keys[::-1]:
+            left, right = right ^ (scramble(left + k) & mask), left
+        x = (left << half) | right
+        if x[0] < n:
+            return int(x[0])
+
+
+def key_of(seed: int, sid: int, epoch: int) -> int:
+    return seed * 1_000_003 + sid * 101 + epoch
+
+
+def slots_for(wanted: int, size: int, sid: int, seed: int, block_words: int) -> tuple[int, int]:
+    """(slots, words of the last one) that make up `wanted` words of a source of `size` words."""
+    if not size or not wanted:
+        return 0, 0
+    blocks = -(-size // block_words)
+    epochs, rest = divmod(wanted, size)
+    short = size - (blocks - 1) * block_words  # words of the last block
+    at = place_of(blocks - 1, blocks, key_of(seed, sid, epochs))
+    words = lambda m: m * block_words - (block_words - short) * (m > at)  # noqa: E731  in the epoch's first m slots
+    if not rest:
+        last = place_of(blocks - 1, blocks, key_of(seed, sid, epochs - 1)) == blocks - 1
+        return epochs * blocks, short if last else block_words
+    m = -(-rest // block_words)
+    m += words(m) < rest
+    return epochs * blocks + m, rest - words(m - 1)
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, cap=CAP, block_words=BLOCK_WORDS, seed=SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows with their words' places, blocks with how often they are taken)."""
+    """(rows with their words' places, slots with their blocks)."""
     spark = docs.sparkSession
     base = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("__h")))
     found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
@@ -108,98 +150,108 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap=CAP, block_words=BLOCK_WORDS, see
     sizes = [r["size"] for r in found]
     goal = targets(sizes, weights, cap) if found else []
     blocks = [-(-s // block_words) for s in sizes]
-    wanted = [min(int(cap * b), round(t * b / s)) if s else 0 for t, b, s in zip(goal, blocks, sizes, strict=True)]
-    shards = clip(sum(wanted) / 256, 1, MOST_SHARDS)
+    ends = [slots_for(min(round(t), int(cap * s)), s, i, seed, block_words) for i, (t, s) in enumerate(zip(goal, sizes, strict=True))]
+    wanted = [n for n, _ in ends]
+    shards = clip(sum(wanted) / SHARD_SLOTS, 1, max(1, MOST_COUNTS // max(1, len(found))))
     drawn = draw(wanted, shards, seed) if found else np.zeros((1, 0), np.int64)
     first = np.cumsum(drawn, axis=0) - drawn
-    ranges = [(i, blocks[i], s, int(first[s, i]), int(drawn[s, i])) for s in range(len(drawn)) for i in range(len(found)) if drawn[s, i]]
-    slots = spark.createDataFrame(ranges, "sid int, blocks long, shard int, first long, n long")
-    slots = slots.select("sid", "blocks", "shard", F.col("first").alias("__f"), "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE_SLOTS).cast("long"))).alias("at"))
-    slots = slots.select("sid", "blocks", "shard", (F.col("__f") + F.col("at")).alias("first"), F.least(F.lit(RANGE_SLOTS).cast("long"), F.col("n") - F.col("at")).alias("n"))
+    ranges = [(i, s, int(first[s, i]), int(drawn[s, i])) for s in range(len(drawn)) for i in range(len(found)) if drawn[s, i]]
+    of_source = spark.createDataFrame([(i, r["source"], r["size"], goal[i], blocks[i], *ends[i]) for i, r in enumerate(found)], "sid int, __source string, source_size long, target double, blocks long, slots long, last_words long")
+    each = spark.createDataFrame(ranges, "sid int, shard int, first long, n long")
+    each = each.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE_SLOTS).cast("long"))))
+    each = each.join(F.broadcast(of_source), "sid")  # a row a source, MOST_SOURCES at most
+    each = each.select("sid", "shard", (F.col("first") + F.col("at")).alias("first"), F.least(F.lit(RANGE_SLOTS).cast("long"), F.col("n") - F.col("at")).alias("n"), "source_size", "blocks", "slots", "last_words")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            sid, n, shard, at, count = (batch.column(k)[0].as_py() for k in range(5))
+            sid, shard, at, count, size, n, slots, last = (c[0].as_py() for c in batch.columns)
             j = np.arange(at, at + count)
             block = np.empty(count, np.int64)
             for epoch in range(at // n, (at + count - 1) // n + 1):
                 own = j // n == epoch
-                block[own] = permute(j[own] % n, n, seed * 1_000_003 + sid * 101 + epoch)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(count, sid, np.int32)), pa.array(np.full(count, shard, np.int32)), pa.array(j), pa.array(block)], ["sid", "shard", "slot", "block"])
+                block[own] = permute(j[own] % n, n, key_of(seed, sid, epoch))
+            words = np.where(j == slots - 1, last, np.where(block == n - 1, size - (n - 1) * block_words, block_words))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(count, sid, np.int32)), pa.array(np.full(count, shard, np.int32)), pa.array(j), pa.array(j // n), pa.array(block), pa.array(words)], ["sid", "shard", "slot", "epoch", "block", "words"])
 
-    taken = slots.repartition(clip(len(ranges), 1, 64)).mapInArrow(place, "sid int, shard int, slot long, block long")
-    of_source = spark.createDataFrame([(i, r["source"], r["size"], goal[i]) for i, r in enumerate(found)], "sid int, __source string, source_size long, target double")
-    rows = base.join(F.broadcast(of_source), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    buckets = clip(sum(r["n"] for r in found) / BUCKET_ROWS, 1, 4096)
+    tasks = clip(sum(wanted) / RANGE_SLOTS, 1, 1 << 16)
+    slots = each.repartition(tasks).mapInArrow(place, "sid int, shard int, slot long, epoch long, block long, words long")
+    rows = base.join(F.broadcast(of_source.drop("blocks", "slots", "last_words")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    buckets = clip(sum(r["n"] for r in found) / BUCKET_ROWS, 1, MOST_BUCKETS)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "__h"), F.lit(buckets)).cast("int"))
-    each = rows.groupBy(F.col("sid").alias("__s"), F.col("bucket").alias("__b")).agg(F.sum("size").alias("__n"))
+    totals = rows.groupBy(F.col("sid").alias("__s"), F.col("bucket").alias("__b")).agg(F.sum("size").alias("__n"))
     over = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = each.select("__s", "__b", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"))
+    before = totals.select("__s", "__b", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"))
     within = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", "__h")
     rows = rows.withColumn("rid", F.row_number().over(within)).withColumn("__end", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(before, (F.col("sid") == F.col("__s")) & (F.col("bucket") == F.col("__b")))
     rows = rows.withColumn("first_word", F.col("__before") + F.col("__end") - F.col("size")).drop("__s", "__b", "__before", "__end")
-    return rows, taken
+    return rows, slots
 
 
-def pieces(rows: DataFrame, taken: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each row's part of a block, with `times` it is taken; a row without words has one part of none."""
+def mixed_parts(rows: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix: rows' columns with (shard, slot, epoch, block, at, start, words) for each part of a block that a slot takes.
+
+    `at` is the part's place in the block, `start` in its row; of a row that no slot takes, one line with null slots and
+    0 words stays.
+    """
     last = F.col("first_word") + F.col("size") - 1
     numbers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first_word") / block_words), F.floor(last / block_words)))
     parts = rows.select("*", F.explode_outer(numbers).alias("block"))
     start = F.greatest(F.col("block") * block_words, F.col("first_word"))
     end = F.least((F.col("block") + 1) * block_words, last + 1)
-    parts = parts.withColumn("start", start - F.col("first_word")).withColumn("words", F.coalesce(end - start, F.lit(0)))
-    times = taken.groupBy(F.col("sid").alias("__s"), F.col("block").alias("__b")).agg(F.count(F.lit(1)).alias("__t"))
+    parts = parts.withColumn("at", start - F.col("block") * block_words).withColumn("start", start - F.col("first_word")).withColumn("__held", F.coalesce(end - start, F.lit(0)))
+    index = slots.select(F.col("sid").alias("__s"), F.col("block").alias("__b"), "shard", "slot", "epoch", F.col("words").alias("__words"))
     # the estimated size of what a plan like that of the slots makes is far too small: no broadcast
-    joined = parts.join(times.hint("merge"), (F.col("sid") == F.col("__s")) & (F.col("block") == F.col("__b")), "left")
-    return joined.withColumn("times", F.coalesce("__t", F.lit(0))).drop("__s", "__b", "__t")
+    joined = parts.join(index.hint("merge"), (F.col("sid") == F.col("__s")) & (F.col("block") == F.col("__b")), "left")
+    taken = F.when(F.col("slot").isNotNull(), F.greatest(F.least(F.col("__held"), F.col("__words") - F.col("at")), F.lit(0))).otherwise(0)
+    return joined.withColumn("words", taken).drop("__s", "__b", "__held", "__words")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap=CAP, block_words=BLOCK_WORDS, seed=SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row: how many of its words the mix takes."""
-    parts = pieces(*plan(docs, weights, cap, block_words, seed), block_words)
+    """(doc_id, source, size, source_size, target, taken, shards) of every row: how many of its words the mix takes, and into which shards."""
+    parts = mixed_parts(*plan(docs, weights, cap, block_words, seed), block_words)
     keys = ["sid", "bucket", "rid", "doc_id", "source", "size", "source_size", "target"]
-    taken = parts.groupBy(*keys).agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken")
+    taken = parts.groupBy(*keys).agg(F.sum("words").cast("long").alias("taken"), F.array_sort(F.collect_set(F.when(F.col("words") > 0, F.col("shard")))).alias("shards"))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "shards")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap=CAP, block_words=BLOCK_WORDS, seed=SEED) -> DataFrame:
-    """The mix itself: in the columns of docs, a row for each document and epoch in which blocks of it are taken.
+    """The mix as documents: in the columns of docs, a row for each document and epoch in which blocks of it are taken.
 
     A row's text is the document's words that the epoch takes, with the white space between them; spans that don't
     touch are joined by a line end. A document that an epoch takes whole keeps its text as it is. n_chars follows.
     """
-    parts = pieces(*plan(docs, weights, cap, block_words, seed), block_words).where("times > 0")
-    own = parts.groupBy("sid", "bucket", "rid", "doc_id", "size", "__h").agg(F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias("__spans"))
-    same = Window.partitionBy("doc_id", "__h", "size")
-    own = own.withColumn("__d", F.row_number().over(same.orderBy("sid", "bucket", "rid"))).select(F.col("doc_id").alias("__i"), F.col("size").alias("__n"), F.col("__h").alias("__x"), "__d", "__spans")
-    keyed = docs.withColumn("__h", F.xxhash64("text")).withColumn("__size", n_words(F.col("text")))
-    keyed = keyed.withColumn("__no", F.row_number().over(Window.partitionBy("doc_id", "__h", "__size").orderBy("source")))
-    on = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__x")) & (F.col("__size") == F.col("__n")) & (F.col("__no") == F.col("__d"))
-    both = keyed.join(own, on).select(*docs.columns, "__spans")
+    rows, slots = plan(docs, weights, cap, block_words, seed)
+    # rows of one key are numbered alike on both sides; those that agree in id, text and source may stand for one another
+    key = F.xxhash64("doc_id", "__h", "source").alias("__key")
+    number = F.row_number().over(Window.partitionBy("__key").orderBy("doc_id", "__h", "source"))
+    numbered = rows.select("sid", "bucket", "rid", "size", "first_word", "doc_id", "source", "__h", key).withColumn("__d", number)
+    parts = mixed_parts(numbered.select("sid", "bucket", "rid", "size", "first_word", F.col("__key").alias("__k"), "__d"), slots, block_words).where("words > 0")
+    own = parts.groupBy("__k", "__d").agg(F.sort_array(F.collect_list(F.struct("epoch", "start", "words"))).alias("__spans"))
+    keyed = docs.withColumn("__h", F.xxhash64("text")).select("*", key).withColumn("__no", number)
+    # texts are shuffled once: the join is by the window's key, and the number is compared after it
+    both = keyed.join(own.hint("merge"), (F.col("__key") == F.col("__k")) & (F.col("__no") - F.col("__d") == 0)).select(*docs.columns, "__spans")
+    names = docs.columns
 
     @leaves_no_memory
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
-            texts, spans = batch.column("text").to_pylist(), batch.column("__spans").to_pylist()
             rows, out = [], []
-            for i, (text, own) in enumerate(zip(texts, spans, strict=True)):
+            for i, (text, own) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)):
                 raw = text.encode()
                 words = [m.span() for m in WORD_BYTES.finditer(raw)]
-                for epoch in range(max(s["times"] for s in own)):
-                    runs: list[list[int]] = []
-                    for s in own:
-                        if s["times"] > epoch:
-                            if runs and runs[-1][1] == s["start"]:
-                                runs[-1][1] += s["words"]
-                            else:
-                                runs.append([s["start"], s["start"] + s["words"]])
+                runs: dict[int, list[list[int]]] = {}
+                for s in own:
+                    of_epoch = runs.setdefault(s["epoch"], [])
+                    if of_epoch and of_epoch[-1][1] == s["start"]:
+                        of_epoch[-1][1] += s["words"]
+                    else:
+                        of_epoch.append([s["start"], s["start"] + s["words"]])
+                for spans in runs.values():
                     rows.append(i)
-                    out.append(text if runs == [[0, len(words)]] else "\n".join(raw[words[a][0] : words[b - 1][1]].decode() for a, b in runs))
-            kept = batch.take(pa.array(rows, pa.int64()))
-            new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, kept.column(c)) for c in docs_columns], docs_columns)
+                    out.append(text if spans == [[0, len(words)]] else "\n".join(raw[words[a][0] : words[b - 1][1]].decode() for a, b in spans))
+            kept = batch.select(names).take(pa.array(rows, pa.int64()))
+            new = {"text": out, "n_chars": [len(x) for x in out]}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c], kept.schema.field(c).type) if c in new else kept.column(c) for c in names], schema=kept.schema)
 
-    docs_columns = docs.columns
     return both.mapInArrow(build, docs.schema)
