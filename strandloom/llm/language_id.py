@@ -5,17 +5,19 @@ support vector machines (squared hinge loss, dual coordinate descent) tell each
 the largest margin wins. Within it, one machine for each pair of its languages votes; the language with most votes
 wins, ties going to the larger sum of margins and then to the name.
 
-Learning. The machines learn from at most PER_LANGUAGE rows of each language, those with the least hash of their id,
-whole texts, held-out rows excluded. Families are a table of codes; a code that it lacks is a family of its own.
+Learning. The machines learn from at most PER_LANGUAGE rows of each language, and SAMPLE_ROWS in all, those with the least
+hash of their id, whole texts, held-out rows excluded: what the driver holds is SAMPLE_ROWS vectors of 2^BITS floats (131 MB).
+Only rows whose hash is low enough for their language's count are ranked, so a language with a third of all rows is no
+large task. Families are a table of codes; a code that it lacks is a family of its own.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; if nothing can be learned, all texts are;
 one learned language is predicted for every text with letters, with score 1; rows that repeat are predicted each;
-other columns of the input don't matter to predict(), and keep_identified() keeps them.
+other columns of the input don't matter to predict(), and keep_identified() keeps them, with the predicted language in
+the column `lang` where there is one.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,12 +25,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.llm.common import crc32_text, leaves_no_memory, slices
 
-#: Bound of the learning sample, and the most languages it may have.
-PER_LANGUAGE, MOST_LANGUAGES = 500, 500
+#: Bounds of the learning sample, and the most languages it may have.
+PER_LANGUAGE, SAMPLE_ROWS, MOST_LANGUAGES = 500, 8000, 200
 BITS = 12
 LETTER = re.compile(r"[^\W\d_]")
 #: ISO 639-1 codes by family.
@@ -83,8 +86,8 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.n
     return w
 
 
-def chance(margin: float) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, 4 * margin))))
+def chance(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(4 * margin, -30.0, 30.0)))
 
 
 @dataclass
@@ -109,28 +112,43 @@ class Model:
                 model.of_pair[a, b] = svm(x[rows], np.where(label[rows] == a, 1.0, -1.0))
         return model
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.families or not LETTER.search(text):
-            return "und", 0.0
-        x = features(text)
-        margin = lambda w: float(w[:-1] @ x + w[-1])
-        score, family = 1.0, next(iter(self.families))
+    def margins(self, x: np.ndarray, machines: dict) -> dict:
+        """The margins of all rows by machine: one product of matrices."""
+        if not machines:
+            return {}
+        w = np.stack(list(machines.values())).astype(np.float32)
+        return dict(zip(machines, (x @ w[:, :-1].T + w[:, -1]).T.astype(np.float64), strict=True))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text."""
+        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        able = [i for i, t in enumerate(texts) if t is not None and self.families and LETTER.search(t)]
+        if not able:
+            return langs, scores
+        x = np.stack([features(texts[i]) for i in able])
+        names = sorted(self.families)
+        family, score = np.zeros(len(able), np.int64), np.ones(len(able))
         if self.of_family:
-            margins = {f: margin(w) for f, w in self.of_family.items()}
-            family = max(sorted(margins), key=margins.__getitem__)
-            score = chance(margins[family])
-        inside = self.families[family]
-        if len(inside) == 1:
-            return inside[0], score
-        votes, sums, worst = dict.fromkeys(inside, 0), dict.fromkeys(inside, 0.0), {}
-        for a, b in combinations(inside, 2):
-            m = margin(self.of_pair[a, b])
-            votes[a if m >= 0 else b] += 1
-            sums[a] += m
-            sums[b] -= m
-            worst[a], worst[b] = min(worst.get(a, m), m), min(worst.get(b, -m), -m)
-        best = max(sorted(inside), key=lambda v: (votes[v], sums[v]))
-        return best, score * chance(worst[best])
+            of_family = self.margins(x, self.of_family)
+            each = np.stack([of_family[f] for f in names])
+            family = each.argmax(axis=0)  # the first name where margins tie
+            score = chance(each.max(axis=0))
+        of_pair = self.margins(x, self.of_pair)
+        for k, name in enumerate(names):
+            rows, inside = np.flatnonzero(family == k), sorted(self.families[name])
+            votes, sums, worst = np.zeros((len(inside), len(rows))), np.zeros((len(inside), len(rows))), np.full((len(inside), len(rows)), np.inf)
+            for a, b in combinations(range(len(inside)), 2):
+                m = of_pair[inside[a], inside[b]][rows]
+                votes[a] += m >= 0
+                votes[b] += m < 0
+                for at, own in ((a, m), (b, -m)):
+                    sums[at] += own
+                    worst[at] = np.minimum(worst[at], own)
+            best = np.lexsort((-np.arange(len(inside))[:, None] * np.ones(len(rows)), sums, votes), axis=0)[-1] if len(rows) else []
+            for j, (row, top) in enumerate(zip(rows, best, strict=True)):
+                langs[able[row]] = inside[top]
+                scores[able[row]] = score[row] * (chance(worst[top, j]) if len(inside) > 1 else 1.0)
+        return langs, scores
 
 
 def fit(docs: DataFrame, folds: int | None = 5, held_out: int = 0) -> Model:
@@ -138,22 +156,28 @@ def fit(docs: DataFrame, folds: int | None = 5, held_out: int = 0) -> Model:
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if folds:
         rows = rows.where(crc32_text(F.col("doc_id")) % folds != held_out)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in the labels")
+    most = min(PER_LANGUAGE, SAMPLE_ROWS // max(1, len(counts)))
+    # the share of the hashes' range that holds a few more than `most` of a language's rows
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(lang, min(1.0, (2 * most + 100) / n)) for lang, n in counts.items()], "__lang string, __share double")
+    low = (F.shiftright(F.xxhash64("doc_id"), 32) / float(1 << 32) + 0.5) <= F.col("__share")
+    near = rows.select("doc_id", "lang").join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(low)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= PER_LANGUAGE).select("doc_id", "lang").distinct().collect()
+    chosen = near.select("doc_id", "lang").withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most).select("doc_id", "lang").distinct().collect()
     langs = sorted({r["lang"] for r in chosen})
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in the labels")
     if not chosen:
         return Model()
-    spark = docs.sparkSession
-    # at most PER_LANGUAGE rows for each of at most MOST_LANGUAGES languages
+    # SAMPLE_ROWS rows at most
     picked = F.broadcast(spark.createDataFrame([(r["doc_id"], r["lang"]) for r in chosen], docs.select("doc_id", "lang").schema))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["lang", "x"])
 
-    sample = rows.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(describe, "lang string, x binary").limit(PER_LANGUAGE * len(langs)).collect()
+    sample = rows.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(describe, "lang string, x binary").limit(most * len(langs)).collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["x"])))  # the same model whatever the order of rows
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float32) for r in sample])
     return Model.fit(x, [r["lang"] for r in sample])
@@ -165,19 +189,23 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
-            found = [model.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for v, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [id_col, "lang_pred", "score"])
+            langs, scores = model.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language the model can tell; `und` goes."""
+    """The rows of docs whose language the model can tell, with it as their `lang`; `und` goes."""
 
     @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
-            yield batch.filter(pa.array([model.predict(t)[0] != "und" for t in batch.column("text").to_pylist()], pa.bool_()))
+            langs = pa.array(model.predict(batch.column("text").to_pylist())[0], pa.string())
+            if "lang" in batch.schema.names:
+                at = batch.schema.get_field_index("lang")
+                batch = batch.set_column(at, batch.schema.field(at), langs.cast(batch.schema.field(at).type))
+            yield batch.filter(pc.not_equal(langs, "und"))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,8 @@ length fills the r-th place that the patterns have for that length. Ranks are co
 a length, then over the buckets' totals), so a length that a third of all pieces have is no task of its own.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat are packed each; an empty table gives no
-sequences; other columns of the pieces are kept by pack(), which names its own columns sequence_id and offset.
+sequences; other columns of the pieces are kept by pack(), whose own columns sequence_id and offset replace any of those
+names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.llm.common import clip, cut, slices
+from strandloom.llm.common import clip, cut, slices, stored
 from strandloom.llm.tokens import encoding
 
 CAPACITY = 2048
@@ -117,6 +118,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, length_c
     The pieces are read twice: for the histogram and for the ranks. Cut costly lineage before.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     counts = pieces.groupBy(F.col(length_col).alias("l")).count().collect()  # at most `capacity` rows
     patterns = pack_histogram({int(r["l"]): r["count"] for r in counts}, capacity)
     table = places(patterns)
@@ -146,3 +148,19 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
     pieces = token_pieces(docs, tokenizer, end_id, capacity)
     digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack(cut(digest), ["doc_id", "start", "ids_crc32"], capacity)
+
+
+def packed_ids(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+    """All packed pieces with their token ids: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
+
+    `ids` holds little-endian unsigned 32-bit integers; the pieces of a sequence_id in order of offset are the sequence.
+    """
+    pieces = stored(token_pieces(docs, tokenizer, end_id, capacity).withColumn("__crc", F.crc32("ids")), "pieces")
+    return pack(pieces, ["doc_id", "start", "__crc"], capacity).drop("__crc")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, n_tokens, ids, doc_ids) of packed_ids(): a row a sequence, which has `capacity` ids at most."""
+    held = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("__p"))
+    joined = F.aggregate("__p", F.lit(b""), lambda all_, p: F.concat(all_, p["ids"]))
+    return held.select("sequence_id", "n_tokens", joined.alias("ids"), F.col("__p.doc_id").alias("doc_ids"))

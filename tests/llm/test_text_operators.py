@@ -28,6 +28,69 @@ def test_permutation():
     assert not (mixing.permute(np.arange(1000), 1000, 1) == mixing.permute(np.arange(1000), 1000, 2)).all()
 
 
+def test_places_and_slots():
+    for n in (1, 2, 3, 64, 1000):
+        image = mixing.permute(np.arange(n), n, 5)
+        assert all(mixing.place_of(int(image[k]), n, 5) == k for k in range(0, n, 7))
+    for size in (1, 5, 63, 64, 65, 640, 1000):
+        n = -(-size // 64)
+        of = lambda b: size - (n - 1) * 64 if b == n - 1 else 64  # noqa: B023, E731
+        for wanted in sorted({0, 1, size // 3, size - 1, size, size + 1, 2 * size - 7, 3 * size}):
+            if wanted < 0:
+                continue
+            slots, last = mixing.slots_for(wanted, size, 4, 77, 64)
+            blocks = [int(mixing.permute(np.array([j % n]), n, mixing.key_of(77, 4, j // n))[0]) for j in range(slots)]
+            assert sum(map(of, blocks[:-1])) + last == wanted and (not slots or 0 < last <= of(blocks[-1]))
+
+
+def brute_mix(rows, sizes):
+    """Words taken of each row: blocks are filled, slots drawn and blocks joined in plain Python, from the operator's places of words."""
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["sid"]].append(r)
+    taken = Counter()
+    for sid, own in by_source.items():
+        own.sort(key=lambda r: r["first_word"])
+        words = [(r["bucket"], r["rid"]) for r in own for _ in range(r["size"])]
+        assert [r["first_word"] for r in own] == [sum(x["size"] for x in own[:k]) for k in range(len(own))]
+        blocks = [words[k : k + 64] for k in range(0, len(words), 64)]
+        slots, last = mixing.slots_for(min(round(own[0]["target"]), 3 * len(words)), len(words), sid, mixing.SEED, 64)
+        for j in range(slots):
+            block = blocks[int(mixing.permute(np.array([j % len(blocks)]), len(blocks), mixing.key_of(mixing.SEED, sid, j // len(blocks)))[0])]
+            taken.update((sid, *w) for w in (block[:last] if j == slots - 1 else block))
+    return taken
+
+
+def test_mix_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    r = random.Random(3)
+    docs = frame(spark, [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(300))), "en", f"s{min(i % 9, 4)}") for i in range(150)])
+    rows, slots = mixing.plan(docs)
+    held = rows.collect()
+    want = brute_mix(held, None)
+    parts = mixing.mixed_parts(*mixing.plan(docs)).collect()
+    got = Counter()
+    for x in parts:
+        got[x["sid"], x["bucket"], x["rid"]] += x["words"]
+    assert +got == +want
+    # the draw is seen: each slot is once in the mix, in the shard that it was drawn for
+    placed = {(x["sid"], x["slot"]): x["shard"] for x in slots.collect()}
+    assert {(x["sid"], x["slot"]): x["shard"] for x in parts if x["words"]} == placed and len(set(placed.values())) > 4
+    mixed = mixing.mix(docs).collect()
+    assert {s for x in mixed for s in x["shards"]} == set(placed.values())
+    for source in {x["source"] for x in mixed}:
+        own = [x for x in mixed if x["source"] == source]
+        assert sum(x["taken"] for x in own) == round(own[0]["target"])
+
+
+def test_mix_meets_small_targets(spark):
+    docs = frame(spark, [(1, "a b c d e f g h i j", "en", "x"), (2, "k l", "en", "y"), (3, " ".join("w" * 300), "en", "z")])
+    got = {x["source"]: x for x in mixing.mix(docs).collect()}
+    assert all(x["taken"] == round(x["target"]) for x in got.values())
+    narrow = docs.withColumn("n_chars", docs["n_chars"].cast("int"))
+    assert mixing.mixed_documents(narrow).schema == narrow.schema and mixing.mixed_documents(narrow).count() > 0
+
+
 def test_draws_meet_the_wanted_sums():
     d = mixing.draw([1000, 10, 0, 500], 16, 3)
     assert d.sum(axis=0).tolist() == [1000, 10, 0, 500] and (d >= 0).all() and len(set(d[:, 0])) > 1
@@ -41,7 +104,7 @@ def test_mix(spark, odd, odd_rows, none):
     for s in {x["source"] for x in rows}:
         own = [x for x in rows if x["source"] == s]
         assert sum(x["size"] for x in own) == own[0]["source_size"]
-        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 2 * mixing.BLOCK_WORDS
+        assert sum(x["taken"] for x in own) == round(own[0]["target"])
     again = mixing.mix(docs).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     got = mixing.mix(odd).collect()
@@ -244,11 +307,31 @@ def test_languages(spark, odd, none):
     assert {i for i, v, _ in by if v == "und"} == {1, 2, 3, 4} and len(by) == odd.count()
     kept = language_id.keep_identified(odd, model)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
+    assert sorted((str(x["doc_id"]), x["lang"]) for x in kept.collect()) == sorted((str(i), v) for i, v, _ in by if v != "und")
     empty = language_id.fit(none)
     assert {x["lang_pred"] for x in language_id.predict(odd, empty).collect()} == {"und"}
     assert language_id.predict(none, model).count() == 0
 
 
+def test_predictions_are_those_of_each_machine(spark):
+    """The matrix form against the definition, text by text."""
+    r = random.Random(11)
+    parts = {"en": ["the", "and", "ing"], "de": ["der", "und", "sch"], "nl": ["het", "een", "ij"], "fr": ["les", "eau", "que"], "es": ["los", "cion", "ñ"], "it": ["gli", "zione", "che"]}
+    langs = [list(parts)[i % 6] for i in range(240)]
+    texts = ["".join(r.choice(parts[v]) + r.choice(["", " "]) for _ in range(15)) for v in langs]
+    model = language_id.Model.fit(np.stack([language_id.features(t) for t in texts]), langs)
+    got, scores = model.predict([*texts, None, "12 ."])
+    assert got[-2:] == ["und", "und"] and list(scores[-2:]) == [0, 0]
+    for t, lang, score in zip(texts, got, scores):
+        x = language_id.features(t)
+        margin = lambda w: float(w[:-1] @ x + w[-1])  # noqa: B023, E731
+        family = max(sorted(model.families), key=lambda f: margin(model.of_family[f]))  # noqa: B023
+        duels = {v: [margin(w) * (1 if v == a else -1) for (a, b), w in model.of_pair.items() if v in (a, b)] for v in model.families[family]}
+        best = max(sorted(duels), key=lambda v: (sum(m >= 0 for m in duels[v]), sum(duels[v])))
+        chance = lambda m: 1 / (1 + math.exp(-max(-30.0, min(30.0, 4 * m))))
+        assert lang == best and score == pytest.approx(chance(margin(model.of_family[family])) * (chance(min(duels[best])) if duels[best] else 1), abs=1e-4)
+
+
 # licenses
 def brute_base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
