@@ -34,7 +34,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1000, 8192, 64 << 10
 #: A block ends at this many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 128 << 10, 4096
 #: Documents of a bucket, and the most buckets.
-BUCKET_DOCS, MOST_BUCKETS = 20_000, 4096
+BUCKET_DOCS, MOST_BUCKETS = 4000, 1 << 16
 BLOCK_SCHEMA = "bucket int, block int, first_id long, last_id long, n_docs int, n_ids long, ids_before long, doc_ids array<long>, image binary"
 
 
@@ -93,7 +93,7 @@ def bucket_borders(docs: DataFrame, id_col: str) -> list[int]:
     if buckets == 1:
         return []
     at = [k / buckets for k in range(1, buckets)]
-    found = docs.select(F.percentile_approx(id_col, at, 100 * buckets).alias("q")).first()["q"]
+    found = docs.select(F.percentile_approx(id_col, at, max(10_000, 10 * buckets)).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
@@ -151,7 +151,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str =
             yield flush()
 
     framed = docs.mapInArrow(frames, "id long, bucket int, n_ids long, frame binary")
-    sorted_ = framed.repartition(len(borders) + 1, "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "n_ids", "frame")
+    # a bucket is a partition: hashed, several would meet in one task
+    sorted_ = framed.repartitionById(len(borders) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "n_ids", "frame")
     sorted_.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").option("parquet.block.size", 8 << 20).parquet(f"{path}/blocks")
     written = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     totals = sorted((r["bucket"], r["n"]) for r in written.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect())
