@@ -127,12 +127,16 @@ def scan_sql() -> str:
     return f"""
 WITH pairs(template, place, a, b, n_pairs, label, base) AS (VALUES {rows}),
 texts AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{WORD}') AS w FROM documents),
+-- whole templates: their words stand in the text one after the other
+phrases(words, n_pairs, label, base) AS (SELECT list(a ORDER BY place) || [max_by(b, place)], any_value(n_pairs), any_value(label), any_value(base) FROM pairs GROUP BY template),
+whole AS (SELECT r, base, label, pos FROM texts, phrases, unnest(range(len(w) - n_pairs)) AS u(pos) WHERE list_contains(w, words[1]) AND w[pos + 1] = words[1] AND w[pos + 1 : pos + 1 + n_pairs] = words),
+-- others: what is left of the template's word pairs on diagonals near one another
 grams AS (SELECT r, unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2, unnest(range(len(w) - 1)) AS pos FROM texts WHERE len(w) > 1),
-per AS (SELECT r, template, n_pairs, label, base, pos - place AS diagonal, list(DISTINCT place) AS places FROM grams JOIN pairs ON w1 = a AND w2 = b GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > CASE WHEN base THEN 0 ELSE {NEAR} END OR lag(diagonal) OVER o IS NULL THEN 1 ELSE 0 END AS fresh FROM per WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
+per AS (SELECT r, template, n_pairs, label, pos - place AS diagonal, list(DISTINCT place) AS places FROM grams JOIN pairs ON w1 = a AND w2 = b WHERE NOT base GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > {NEAR} OR lag(diagonal) OVER o IS NULL THEN 1 ELSE 0 END AS fresh FROM per WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
 grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS g FROM marked),
-merged AS (SELECT r, n_pairs, label, base, len(list_distinct(flatten(list(places)))) AS held, min(diagonal + list_min(places)) AS s, max(diagonal + list_max(places) + 1) AS e FROM grouped GROUP BY r, template, n_pairs, label, base, g),
-spans AS (SELECT *, held / n_pairs AS score FROM merged WHERE CASE WHEN base THEN held = n_pairs ELSE held / n_pairs >= {LEAST_SHARE} AND e - s <= 2 * n_pairs + 2 END),
+merged AS (SELECT r, n_pairs, label, len(list_distinct(flatten(list(places)))) / n_pairs AS score, min(diagonal + list_min(places)) AS s, max(diagonal + list_max(places) + 1) AS e FROM grouped WHERE len(places) < n_pairs GROUP BY r, template, n_pairs, label, g),
+spans AS (SELECT r, base, label, pos AS s, 1.0 AS score FROM whole UNION ALL SELECT r, false, label, s, score FROM merged WHERE score >= {LEAST_SHARE} AND e - s <= 2 * n_pairs + 2),
 found AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS f, max(s) FILTER (base) AS l, list(DISTINCT label) FILTER (base) AS bl, list(DISTINCT label) AS al, max(score) AS score FROM spans GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(bl), ','), '') AS base_labels, coalesce(array_to_string(list_sort(al), ','), '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
