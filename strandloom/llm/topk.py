@@ -2,20 +2,24 @@
 
 Vectors are whole numbers (each component x becomes floor(scale * x)) and lie in blocks of at most BLOCK_ROWS rows. In
 a block every dimension is a list sorted by value; a query reads the list of a dimension from its high end if the
-query's component is positive and from its low end otherwise. Lists are read sequentially and together, to depths that
-double. After a round, the part of a row's score that has been read is exact; for what has not been read, the last
-value read bounds it from above and the list's far end from below. For all queries and rows of a block together these
-bounds are products of matrices: where a list has been read down to t, a positive component meets max(x, t) in the
-upper bound, since a row not read yet is at most t. Rows are never fetched by id to complete their scores.
+query's component is positive and from its low end otherwise. Lists are read sequentially and together, to the depths of
+DEPTHS. After a round, what has been read of a row's score is exact; for what has not been read, the last value read
+bounds it from above and the list's far end from below. For some queries and all rows of a block together these bounds
+are products of matrices: where a list has been read down to t, a positive component meets max(x, t) in the upper bound,
+since a row not read yet is at most t.
 
-A query stops in a block when no row's upper bound reaches the k-th best score known so far (from earlier blocks or
-the k-th largest lower bound here); rows that still can qualify are read on, to the lists' ends if need be, where both
-bounds meet in the score. Blocks of rows meet blocks of queries by an equi-join on the query block's number; every
-task keeps k results a query, and the results are merged by rank.
+Reading stops once the outsiders, that is all rows but a few for each query, have upper bounds below the k-th best score
+known so far: the k-th best among the queries of the same block to begin with, and then among the blocks that the task
+has searched. Only the scores of rows that still qualify are resolved. Where bounds leave too many of them, the lists
+are read to their ends, which is the plain product.
+
+Blocks of rows stay as they are read; each meets all blocks of queries, by an equi-join on the numbers of both, so that
+as many tasks as there are pairs of blocks can share the work.
 
 Defined cases: rows whose vector is null, or holds a null or a component that is not finite, take no part; a query
 without candidates gives no row; ties go to the smaller id; vectors of other lengths than the query's don't compare
-and are refused with an error; repeated ids are candidates each, and never of a query of the same id.
+and are refused with an error; repeated ids are candidates each, and never of a query of the same id; other columns of the
+input don't matter.
 """
 
 from __future__ import annotations
@@ -24,11 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
-#: Share of a list that each round reads to.
-DEPTHS = (1 / 4, 1 / 2, 1.0)
+from strandloom.llm.common import clip, leaves_no_memory
+
+#: Rows of a block, queries of a block, and queries whose bounds are held at once.
+BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 8192, 4096, 256
+#: Share of a list that each round reads to, and share of a block's rows that are few enough to resolve one by one.
+DEPTHS, FEW = (1 / 2, 3 / 4), 0.2
+#: Most groups of row blocks, and so copies of the queries.
+MOST_GROUPS = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -48,47 +58,58 @@ def whole(x: np.ndarray, scale: float) -> np.ndarray:
 
 
 class Block:
-    """Rows of whole-number vectors, by ascending id, with their sorted lists."""
+    """Rows of whole-number vectors with their sorted lists."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        self.lists = np.sort(self.x, axis=0)  # ascending; read from either end
+        self.ids, self.x = ids, x
+        self.lists = np.sort(x, axis=0)  # ascending; read from either end
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (ids, scores) of its rows that may be among the k best, best first; known: the k-th best scores so far."""
-        n, d = self.x.shape
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best rows for each query among those that may reach `known`, the k-th best scores so far."""
+        parts = [self.some(query_ids[at : at + AT_ONCE], q[at : at + AT_ONCE], k, known[at : at + AT_ONCE], at) for at in range(0, len(q), AT_ONCE)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def some(self, query_ids: np.ndarray, q: np.ndarray, k: int, known: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.x)
         up, down = np.maximum(q, 0), np.minimum(q, 0)
-        least = known.astype(np.float64).copy()
-        alive = np.arange(len(q))
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q)
+        least = known.astype(np.float64)
+        own = query_ids[:, None] == self.ids[None, :]
+        can = ~own
         for share in DEPTHS:
-            depth = min(n, max(1, int(np.ceil(n * share))))
-            t_high, t_low = self.lists[n - depth], self.lists[depth - 1]
-            upper = up[alive] @ np.maximum(self.x, t_high).T + down[alive] @ np.minimum(self.x, t_low).T
-            upper[query_ids[alive][:, None] == self.ids[None, :]] = -np.inf
-            if depth == n:
-                for at, i in enumerate(alive):
-                    out[i] = self.best(upper[at], k, least[i])
-                return out
-            if n > k:
-                lower = up[alive] @ np.where(self.x >= t_high, self.x, self.lists[0]).T + down[alive] @ np.where(self.x <= t_low, self.x, self.lists[-1]).T
-                lower[upper == -np.inf] = -np.inf
-                least[alive] = np.maximum(least[alive], np.partition(lower, n - k, axis=1)[:, n - k])
-            alive = alive[(upper >= least[alive][:, None]).any(axis=1)]
-            if not len(alive):
-                return out
-        return out
-
-    def best(self, scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        can = np.flatnonzero((scores >= least) & (scores > -np.inf))
-        if len(can) > k:
-            s = scores[can]
-            edge = np.partition(s, len(s) - k)[len(s) - k]
-            above = can[s > edge]
-            can = np.sort(np.concatenate([above, can[s == edge][: k - len(above)]]))
-        order = can[np.lexsort((self.ids[can], -scores[can]))]
-        return self.ids[order], scores[order].astype(np.int64)
+            depth = int(np.ceil(n * share))
+            if depth >= n or n <= k:
+                break
+            high, low = self.lists[n - depth], self.lists[depth - 1]
+            if not np.isfinite(least).all():
+                lower = up @ np.where(self.x >= high, self.x, self.lists[0]).T + down @ np.where(self.x <= low, self.x, self.lists[-1]).T
+                lower[own] = -np.inf
+                least = np.maximum(least, np.partition(lower, n - k, axis=1)[:, n - k])
+            upper = up @ np.maximum(self.x, high).T + down @ np.minimum(self.x, low).T
+            can &= upper >= least[:, None]
+            if can.mean() <= FEW:
+                break
+        if can.mean() <= FEW:
+            at, row = np.nonzero(can)
+            score = np.empty(len(at))
+            for a in range(0, len(at), 1 << 16):
+                score[a : a + (1 << 16)] = np.einsum("ij,ij->i", q[at[a : a + (1 << 16)]], self.x[row[a : a + (1 << 16)]])
+        else:
+            full = q @ self.x.T
+            full[own] = -np.inf
+            edge = np.maximum(least, np.partition(full, n - k, axis=1)[:, n - k]) if n > k else least
+            at, row = np.nonzero((full >= edge[:, None]) & can)
+            score = full[at, row]
+        order = np.lexsort((self.ids[row], -score, at))
+        at, row, score = at[order], row[order], score[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return at[best] + first, self.ids[row[best]], score[best].astype(np.int64)
+
+
+def best_scores(n: int, k: int, at: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The k largest scores of each of n queries, ascending; -inf where there are fewer. `at` is ascending."""
+    out = np.full((n, k), -np.inf)
+    out[at, np.arange(len(at)) - np.searchsorted(at, at)] = score
+    return np.sort(out, axis=1)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -100,21 +121,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     def packed(key, t):
         t = t.combine_chunks()
-        ids, x = t["id"].to_numpy(), matrix(t["v"].chunk(0))
-        order = np.argsort(ids, kind="stable")
-        return pa.table({"qb": pa.array([key[0].as_py()], pa.int32()), "query_ids": pa.array([ids[order].tobytes()], pa.binary()), "queries": pa.array([whole(x[order], scale).tobytes()], pa.binary())})
+        ids, x = t["id"].to_numpy(), whole(matrix(t["v"].chunk(0)), scale)
+        # the k-th best among the block's own queries: no query's k-th best row scores less
+        at, _, score = Block(ids, x).search(ids, x, k, np.full(len(ids), -np.inf))
+        known = best_scores(len(ids), k, at, score)[:, 0]
+        return pa.table({"qb": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("query_ids", ids), ("queries", x), ("known", known))}})
 
     # a query block has about BLOCK_QUERIES rows, whatever the number of queries
-    queries = numbered.groupBy("qb").applyInArrow(packed, "qb int, query_ids binary, queries binary")
+    queries = numbered.groupBy("qb").applyInArrow(packed, "qb int, query_ids binary, queries binary, known binary")
+    groups = clip(-(-rows.count() // BLOCK_ROWS), 1, MOST_GROUPS)
 
+    @leaves_no_memory
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, number = [], 0, TaskContext.get().partitionId()
 
         def flush():
+            nonlocal number
             t = pa.Table.from_batches(held).combine_chunks()
             ids, x = t["id"].to_numpy(), whole(matrix(t["v"].chunk(0)), scale)
             held.clear()
-            return [pa.RecordBatch.from_arrays([pa.array([ids[at : at + BLOCK_ROWS].tobytes()], pa.binary()), pa.array([x[at : at + BLOCK_ROWS].tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], ["ids", "x", "d"]) for at in range(0, len(ids), BLOCK_ROWS)]
+            for at in range(0, len(ids), BLOCK_ROWS):
+                number += 7919
+                yield pa.RecordBatch.from_arrays([pa.array([number % groups], pa.int32()), pa.array([ids[at : at + BLOCK_ROWS].tobytes()], pa.binary()), pa.array([x[at : at + BLOCK_ROWS].tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], ["g", "ids", "x", "d"])
 
         for batch in batches:
             held.append(batch)
@@ -125,35 +153,33 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         if n:
             yield from flush()
 
-    spread = rows.select("id", "v").mapInArrow(pack_rows, "ids binary, x binary, d int")
-    paired = spread.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries, "qb")
+    spread = rows.select("id", "v").mapInArrow(pack_rows, "g int, ids binary, x binary, d int")
+    # the numbers of partitions are given, so that small tables aren't gathered into few tasks; blocks are large rows
+    cells = clip(groups * blocks, 1, 1 << 16)
+    left = spread.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(cells, "g", "qb")
+    right = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(cells, "g", "qb")
+    paired = left.join(right.hint("merge"), ["g", "qb"])
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, list]] = {}  # of the query blocks that this task meets
+        best: dict[int, np.ndarray] = {}  # the k best scores of the query blocks that this task meets
         for batch in batches:
             for i in range(batch.num_rows):
-                qb, raw_ids, raw_x, d, raw_q, raw_v = (batch.column(c)[i].as_py() for c in ("qb", "ids", "x", "d", "query_ids", "queries"))
-                query_ids, q = np.frombuffer(raw_q, np.int64), np.frombuffer(raw_v, np.float64)
+                qb, raw_ids, raw_x, d, raw_q, raw_v, raw_k = (batch.column(c)[i].as_py() for c in ("qb", "ids", "x", "d", "query_ids", "queries", "known"))
+                query_ids, q, known = np.frombuffer(raw_q, np.int64), np.frombuffer(raw_v, np.float64), np.frombuffer(raw_k, np.float64)
                 if len(q) != len(query_ids) * d:
                     raise ValueError("vectors differ in length")
                 q = q.reshape(-1, d)
                 ids, x = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw_x, np.float64).reshape(-1, d)
                 if d and float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * d >= 2**53:
                     raise OverflowError("components too large for exact scores")
-                if qb not in best:
-                    best[qb] = (query_ids, [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q))
-                found = best[qb][1]
-                known = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in found])
-                for j, (new_ids, new_s) in enumerate(Block(ids, x).search(query_ids, q, k, known)):
-                    if len(new_ids):
-                        all_ids, all_s = np.concatenate([found[j][0], new_ids]), np.concatenate([found[j][1], new_s])
-                        order = np.lexsort((all_ids, -all_s))[:k]
-                        found[j] = all_ids[order], all_s[order]
-        for query_ids, found in best.values():
-            each = [len(i) for i, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, each)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "id", "score"])
-
-    partial = paired.select("qb", "ids", "x", "d", "query_ids", "queries").mapInArrow(run, "query_id long, id long, score long")
+                held = best.get(qb)
+                at, found, score = Block(ids, x).search(query_ids, q, k, known if held is None else np.maximum(known, held[:, 0]))
+                new = best_scores(len(q), k, at, score)
+                best[qb] = new if held is None else np.sort(np.concatenate([held, new], axis=1), axis=1)[:, k:]
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(found), pa.array(score)], ["query_id", "id", "score"])
+
+    partial = paired.select("qb", "ids", "x", "d", "query_ids", "queries", "known").mapInArrow(run, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 

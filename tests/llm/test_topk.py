@@ -42,8 +42,20 @@ def test_few_rows(spark):
 def test_bounds_close_in(n):
     r = np.random.default_rng(n)
     x, q = np.floor(256 * r.normal(0, 0.2, (n, 8))), np.floor(256 * r.normal(0, 0.2, (5, 8)))
-    found = topk.Block(np.arange(n), x).search(np.full(5, -1), q, 3, np.full(5, -np.inf))
-    for i, (ids, scores) in enumerate(found):
-        true = q[i] @ x.T
-        order = np.lexsort((np.arange(n), -true))[:3]
-        assert ids.tolist() == order.tolist() and scores.tolist() == true[order].astype(int).tolist()
+    for known in (np.full(5, -np.inf), np.sort(q @ x.T, axis=1)[:, -3:][:, 0]):
+        at, ids, scores = topk.Block(np.arange(n), x).search(np.full(5, -1), q, 3, known)
+        for i in range(5):
+            true = q[i] @ x.T
+            order = np.lexsort((np.arange(n), -true))[:3]
+            assert ids[at == i].tolist() == order.tolist() and scores[at == i].tolist() == true[order].astype(int).tolist()
+
+
+def test_bounds_spare_rows():
+    """Most rows are never resolved where the k-th best score is known."""
+    r = np.random.default_rng(4)
+    x, q = np.floor(256 * r.normal(0, 0.1, (4000, 32))), np.floor(256 * r.normal(0, 0.1, (20, 32)))
+    known = np.sort(q @ x.T, axis=1)[:, -5]
+    block = topk.Block(np.arange(4000), x)
+    depth = 3000
+    upper = np.maximum(q, 0) @ np.maximum(x, block.lists[4000 - depth]).T + np.minimum(q, 0) @ np.minimum(x, block.lists[depth - 1]).T
+    assert (upper >= q @ x.T).all() and (upper >= known[:, None]).mean() < topk.FEW
