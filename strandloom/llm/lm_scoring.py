@@ -4,11 +4,14 @@ Words. Training texts' words are counted (in numpy per Arrow batch, then by a sh
 all texts' words, so that every word of the corpus has a row. The table grows with the corpus and stays distributed.
 
 Lattice. The pieces of an existing vocabulary and their scores weight all segmentations of a word: forward recursion
-in log space gives a word's marginal probability. The vocabulary's own scores are log probabilities, or for a table of
-merges ranks, taken as Zipf's law; one step of expectation maximisation over all training words (each distinct word
-once, weighted by its count) fits them to the corpus. Characters without a piece take their bytes' pieces. A text's
-model is a row of words and an end: each step ends with the share of ends among training tokens, else it is a word,
-with its lattice probability; pieces don't cross words, so the product over words is the text's marginal exactly.
+in log space gives a word's marginal probability. A word is made so: a first piece (those that begin with the mark of a
+word's begin share 1), and after each piece the word ends with one probability or goes on with any piece (all pieces share
+1), so the probabilities of all words sum to 1 at most (less by byte sequences that are no text). The vocabulary's own
+scores are log probabilities, or for a table of merges ranks, taken as Zipf's law; one step of expectation maximisation
+over all training words (each distinct word once, weighted by its count) fits first pieces, others and the end to the
+corpus. Characters without a piece take their bytes' pieces; U+0000 counts as U+FFFD. A text's model is a row of words and
+an end: each step ends with the share of ends among training tokens, else it is a word, with its lattice probability;
+pieces don't cross words, so the product over words is the text's marginal exactly.
 
 Texts. Words of at least a threshold of counts, at most FREQUENT of them, are known to every task and summed where the
 text is read; of a text's other words each distinct one is joined to the table by the word, and the sums are added.
@@ -29,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.llm.common import crc32_text, slices, stored
+from strandloom.llm.common import crc32_text, leaves_no_memory, slices, stored
 from strandloom.llm.tokens import tokenizer_path
 
 #: Most words that every task knows; pieces longer than this many characters are not used.
@@ -43,9 +46,15 @@ CODE = 1 << 21
 class Lattice:
     """Pieces as a trie in sorted arrays, and the recursions over batches of words."""
 
-    def __init__(self, vocabulary: str, log_p: np.ndarray | None = None):
-        self.pieces, self.bytes, start = pieces_of(vocabulary)
-        self.log_p = start if log_p is None else log_p
+    def __init__(self, pieces: list[str], of_byte: dict[int, int], scores: np.ndarray, fitted: np.ndarray | None = None):
+        """scores: the vocabulary's own log weights; fitted: log probabilities of first pieces, of others, and of a word's end."""
+        self.pieces, self.bytes = pieces, of_byte
+        self.opens = np.array([p.startswith(MARK) for p in pieces])
+        if fitted is None:
+            first = np.where(self.opens, scores, -np.inf)
+            fitted = np.concatenate([first - log_sum(first), scores - log_sum(scores), [math.log(0.5)]])
+        self.first, self.rest, self.stop = fitted[: len(pieces)], fitted[len(pieces) : -1], float(fitted[-1])
+        self.go = math.log1p(-math.exp(self.stop))
         nodes: dict[tuple[int, str], int] = {}
         self.terminal = [-1]
         for i, piece in enumerate(self.pieces):
@@ -91,7 +100,7 @@ class Lattice:
         lack = (first < 0) & (text > 0)
         if lack.any():
             codes, where = np.unique(text[lack], return_inverse=True)
-            out[lack] = np.array([sum(self.log_p[self.bytes[b]] for b in chr(c).encode()) for c in codes])[where]
+            out[lack] = np.array([sum(self.rest[self.bytes[b]] + self.go for b in chr(c).encode()) for c in codes])[where]
         return out
 
     def batches(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,7 +130,9 @@ class Lattice:
 
     def scores_of(self, text: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         pieces = self.edges(text)
-        scores = [np.where(p >= 0, self.log_p[p], -np.inf) for p in pieces]
+        scores = [np.where(p >= 0, self.rest[p] + self.go, -np.inf) for p in pieces]
+        for own, p in zip(scores, pieces, strict=True):
+            own[:, 0] = np.where(p[:, 0] >= 0, self.first[p[:, 0]], -np.inf)
         spare = self.byte_scores(text, pieces[0])
         scores[0] = np.maximum(scores[0], spare)
         return pieces, scores
@@ -131,12 +142,12 @@ class Lattice:
         out = np.empty(len(words))
         for rows, text in self.batches(words):
             alpha = self.forward(text, *self.scores_of(text))
-            out[rows] = alpha[np.arange(len(rows)), (text > 0).sum(axis=1)]
+            out[rows] = alpha[np.arange(len(rows)), (text > 0).sum(axis=1)] + self.stop
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces over all segmentations of the words, each taken `counts` times."""
-        total = np.zeros(len(self.pieces))
+        """Expected counts of the pieces, as first ones and as others, over all segmentations of the words, each taken `counts` times."""
+        total = np.zeros((2, len(self.pieces)))
         for rows, text in self.batches(words):
             pieces, scores = self.scores_of(text)
             n, width = text.shape
@@ -154,13 +165,15 @@ class Lattice:
                 has = p[:, cut] >= 0
                 if has.any():
                     share = np.exp(alpha[:, cut] + scores[k - 1][:, cut] + beta[:, k:] - whole[:, None]) * weight[:, None]
-                    total += np.bincount(p[:, cut][has], weights=share[has], minlength=len(total))
+                    inner = np.broadcast_to(np.arange(share.shape[1]) > 0, share.shape)
+                    for which, own in enumerate((has & ~inner, has & inner)):
+                        total[which] += np.bincount(p[:, cut][own], weights=share[own], minlength=len(self.pieces))
             lack = (pieces[0] < 0) & (text > 0)
             if lack.any():
                 share = (np.exp(alpha[:, :-1] + scores[0] + beta[:, 1:] - whole[:, None]) * weight[:, None])[lack]
                 for c, s in zip(text[lack], share, strict=True):
                     for b in chr(c).encode():
-                        total[self.bytes[b]] += s
+                        total[1, self.bytes[b]] += s
         return total
 
 
@@ -200,8 +213,8 @@ def pieces_of(vocabulary: str) -> tuple[list[str], dict[int, int], np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def lattice(vocabulary: str, log_p: bytes | None) -> Lattice:
-    return Lattice(vocabulary, None if log_p is None else np.frombuffer(log_p))
+def lattice(vocabulary: str, fitted: bytes | None) -> Lattice:
+    return Lattice(*pieces_of(vocabulary), None if fitted is None else np.frombuffer(fitted))
 
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -244,29 +257,37 @@ def word_table(docs: DataFrame, is_training: Column) -> DataFrame:
 
 
 def fit_pieces(words: DataFrame, vocabulary: str) -> bytes:
-    """Log probabilities of the pieces after one step of expectation maximisation over all training words."""
+    """Lattice's log probabilities after one step of expectation maximisation over all training words."""
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(vocabulary, None)
-        total = np.zeros(len(own.pieces))
+        total = np.zeros((2, len(own.pieces)))
         for batch in slices(batches, 50_000):
             total += own.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy())
-        held = np.flatnonzero(total)
+        held = np.flatnonzero(total.any(axis=0))
         if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[0, held]), pa.array(total[1, held])], ["piece", "n_first", "n_rest"])
 
-    counts = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row a piece
-    start = lattice(vocabulary, None).log_p
-    n = np.zeros(len(start))
+    counts = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n_first double, n_rest double").groupBy("piece").agg(F.sum("n_first").alias("f"), F.sum("n_rest").alias("r")).collect()  # a row a piece
+    n = np.zeros((2, len(lattice(vocabulary, None).pieces)))
     for r in counts:
-        n[r["piece"]] = round(r["n"], 3)  # sums in any order give the same scores
-    smooth = n + 0.5 * np.exp(start) * len(start)
-    return np.log(smooth / smooth.sum()).tobytes()
+        n[:, r["piece"]] = round(r["f"], 3), round(r["r"], 3)  # sums in any order give the same scores
+    return fitted(lattice(vocabulary, None), n).tobytes()
+
+
+def fitted(start: Lattice, n: np.ndarray) -> np.ndarray:
+    """Log probabilities from expected counts, smoothed by half a count for each piece, spread as the vocabulary's own scores."""
+    size = len(start.pieces)
+    first, rest = n[0] + 0.5 * np.exp(start.first) * start.opens.sum(), n[1] + 0.5 * np.exp(start.rest) * size
+    with np.errstate(divide="ignore"):
+        return np.concatenate([np.log(first / first.sum()), np.log(rest / rest.sum()), [math.log((n[0].sum() + 1) / (n.sum() + 2))]])
 
 
 def score_words(words: DataFrame, vocabulary: str, log_p: bytes) -> DataFrame:
     """words with `lp`, the log10 of each word's marginal probability."""
 
+    @leaves_no_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(vocabulary, log_p)
         for batch in slices(batches, 50_000):
@@ -306,6 +327,7 @@ def score(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", folds: int =
     lp = np.array([r["lp"] for r in frequent], float)
     shared = docs.sparkSession.sparkContext.broadcast((index, known, base, lp))
 
+    @leaves_no_memory
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known, base, lp = shared.value
         uid = TaskContext.get().partitionId() << 40

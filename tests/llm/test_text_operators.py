@@ -377,19 +377,70 @@ def test_scores(odd, odd_rows, none):
     assert lm_scoring.score(none).count() == 0
 
 
-def test_lattice_sums_all_segmentations():
-    lat = lm_scoring.lattice("piece_bpe_32k.model", None)
-    at = {p: i for i, p in enumerate(lat.pieces)}
+def segmentations(lat, s, i=0):
+    """All ways to make s[i:] of pieces: tuples of piece numbers; characters that are no piece take their bytes' pieces."""
+    at = {p: k for k, p in enumerate(lat.pieces)}
+    if i == len(s):
+        yield ()
+        return
+    if s[i] not in at:
+        for rest in segmentations(lat, s, i + 1):
+            yield (*(lat.bytes[b] for b in s[i].encode()), *rest)
+    for j in range(i + 1, len(s) + 1):
+        if s[i:j] in at:
+            for rest in segmentations(lat, s, j):
+                yield (at[s[i:j]], *rest)
+
+
+def chance_of(lat, pieces):
+    return math.exp(lat.first[pieces[0]] + sum(lat.go + lat.rest[p] for p in pieces[1:]) + lat.stop)
+
 
-    def brute(s, i=0):
-        if i == len(s):
-            return 1.0
-        total = 0.0 if s[i] in at else math.exp(sum(lat.log_p[lat.bytes[b]] for b in s[i].encode())) * brute(s, i + 1)
-        return total + sum(math.exp(lat.log_p[at[s[i:j]]]) * brute(s, j) for j in range(i + 1, len(s) + 1) if s[i:j] in at)
+def small_lattice():
+    pieces = [lm_scoring.MARK, "a", "b", "ab", "ba", lm_scoring.MARK + "a", lm_scoring.MARK + "ba"] + [f"\0<{b}>" for b in range(256)]
+    return lm_scoring.Lattice(pieces, {b: 7 + b for b in range(256)}, np.log(np.arange(1, len(pieces) + 1) ** -1.3))
 
+
+def test_lattice_sums_all_segmentations():
+    lat = lm_scoring.lattice("piece_bpe_32k.model", None)
     words = ["the", "thonre", "é中x", "a"]
-    assert lat.log_marginals(words) == pytest.approx([math.log(brute(lm_scoring.MARK + w)) for w in words])
+    for own in (lat, small_lattice()):
+        assert own.log_marginals(words) == pytest.approx([math.log(sum(chance_of(own, s) for s in segmentations(own, lm_scoring.MARK + w))) for w in words])
     assert np.isfinite(lat.log_marginals(["x" * 5000, "𝔘\0"])).all()
+    assert np.exp(lat.first).sum() == pytest.approx(1) and np.exp(lat.rest).sum() == pytest.approx(1) and math.exp(lat.go) + math.exp(lat.stop) == pytest.approx(1)
+
+
+def test_expected_counts_and_the_fit():
+    lat = small_lattice()
+    words, counts = ["ab", "bab", "aé", "b"], np.array([3, 1, 2, 5])
+    want = np.zeros((2, len(lat.pieces)))
+    for w, c in zip(words, counts):
+        each = list(segmentations(lat, lm_scoring.MARK + w))
+        p = np.array([chance_of(lat, s) for s in each])
+        for s, share in zip(each, c * p / p.sum()):
+            want[0, s[0]] += share
+            for k in s[1:]:
+                want[1, k] += share
+    got = lat.expected(words, counts)
+    assert got == pytest.approx(want)
+    fit = lm_scoring.Lattice(lat.pieces, lat.bytes, lat.rest, lm_scoring.fitted(lat, got))
+    assert np.exp(fit.first).sum() == pytest.approx(1) and np.exp(fit.rest).sum() == pytest.approx(1)
+    assert (fit.log_marginals(words) * counts).sum() > (lat.log_marginals(words) * counts).sum()
+    # words of a and b alone, by length: their sums never pass 1
+    total = sum(math.exp(v) for n in range(9) for v in fit.log_marginals(["".join("ab"[k >> i & 1] for i in range(n)) for k in range(1 << n)]))
+    assert 0.3 < total <= 1
+
+
+def test_scores_are_sums_over_words(odd, odd_rows):
+    train = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, *_ in odd_rows]
+    words = [(t or "").encode().lower().replace(b"\x1c", b"\x1c").split() for _, t, *_ in odd_rows]
+    c = Counter(x.decode() for a, w in zip(train, words) if a for x in w)
+    start = lm_scoring.lattice("piece_bpe_32k.model", None)
+    lat = lm_scoring.Lattice(start.pieces, start.bytes, start.rest, lm_scoring.fitted(start, np.round(start.expected(list(c), np.array(list(c.values()))), 3)))
+    share = (sum(train) + 1) / (sum(c.values()) + sum(train) + 2)
+    want = sorted((str(i), round((lat.log_marginals([x.decode() for x in w]).sum() + len(w) * math.log(1 - share) + math.log(share)) / math.log(10), 4)) for (i, *_), w in zip(odd_rows, words))
+    got = sorted((str(r["doc_id"]), round(r["score"], 4)) for r in lm_scoring.score(odd).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=2e-3)
 
 
 # fingerprints
