@@ -55,19 +55,22 @@ def rebased(div: Column, ins: Column) -> Column:
     return F.when(ins < 100, div * 100 / (100 - ins)).otherwise(div)
 
 
-def translated(x: Column, start: Column, eq_start: Column) -> Column:
-    """A coordinate of one consensus in an equivalent one."""
-    return (x - start + eq_start).cast("long")
+def translated(begin: Column, end: Column, start: Column, stop: Column, eq_start: Column, eq_stop: Column) -> tuple[Column, Column]:
+    """A range of one consensus in an equivalent one: cut to [start, stop], scaled by the lengths of both ranges, whole numbers towards 0."""
+    scaled = lambda x: ((x - start) * (eq_stop - eq_start + 1) / (stop - start + 1) + eq_start).cast("long")
+    return scaled(F.greatest(begin, start)), scaled(F.least(end, stop))
 
 
 def sanitized(name: Column) -> Column:
-    """A name as a file-name-like key: spaces and slashes to underscores, brackets and other marks out."""
-    return F.regexp_replace(F.regexp_replace(name, r"[\s/]+", "_"), r"[^A-Za-z0-9_.-]", "")
+    """A name as a key: runs of white space, commas and underscores to one underscore, brackets and quotes out."""
+    return F.regexp_replace(F.regexp_replace(name, r"[\s,_]+", "_"), r"[()<>']+", "")
 
 
 def accession_bin(accession: Column) -> Column:
-    """Bins of an accession by its digits: two letters and the first four of nine digits, as a path."""
-    return F.concat_ws("/", F.substring(accession, 1, 2), F.substring(accession, 3, 4), F.substring(accession, 7, 2))
+    """Bins of an accession as a path: DF or DR and three pairs of digits, else Aux and the first two letters in lower case."""
+    # Fixed value: accessions of two letters and 9 to 12 digits
+    parts = [F.regexp_extract(accession, "^(D[FR])([0-9]{2})([0-9]{2})([0-9]{2})[0-9]{3,6}$", k) for k in range(1, 5)]
+    return F.when(parts[0] != "", F.concat_ws("/", F.lit("Families"), *parts)).otherwise(F.concat(F.lit("Families/Aux/"), F.lower(F.substring(accession, 1, 2))))
 
 
 def is_internal(name: Column) -> Column:
@@ -84,8 +87,8 @@ def bit_score(score: Column, lam: float, mu: Column) -> Column:
 
 
 def hmm_threshold(tau: Column, lam: Column, max_length: Column, z: float = 3000.0, e_value: float = 0.02) -> Column:
-    """tau - ln(E / (Z / length)) / lambda; Z in million bases."""
-    return tau - F.log(e_value / (z * 1_000_000 / max_length)) / lam
+    """tau - ln(E / (Z / length)) / lambda."""
+    return tau - F.log(e_value / (z / max_length)) / lam
 
 
 def unit_complexity(unit: Column) -> Column:
@@ -96,13 +99,35 @@ def unit_complexity(unit: Column) -> Column:
     return n * (ent[0] + ent[1] + ent[2] + ent[3]) / F.log(F.lit(4.0))
 
 
+def simple_unit(name: Column) -> Column:
+    """The unit of a simple repeat's name such as (CA)n; other names as they are."""
+    return F.regexp_replace(name, r"^\((\w+).*", "$1")
+
+
+def pre_mask_drop(name: Column, start: Column, end: Column, score: Column) -> Column:
+    """Hits that go before mask levels count: parts of SVA that are LTR5 alone, and weak LAVA."""
+    # Ranges of the consensus and the least score
+    sva = ((start >= 855) & (end < 1270)) | ((start >= 1263) & (end < 1372))
+    return (name.rlike("^SVA") & sva) | (name.rlike("^LAVA") & (score < 500))
+
+
+def simple_repeat_kept(name: Column, div: Column, gaps: Column, score: Column) -> Column:
+    """Whether a simple repeat is cut out: by divergence and gaps (percent) against its unit's complexity and its score; poly-A and satellites aren't."""
+    unit = simple_unit(name)
+    # 16, 3, 1.5, 200, 50 and 5
+    most = 16 - 3 * (F.length(unit) - unit_complexity(unit))
+    plain = ~name.rlike(r"\([GA]*\)") & (div + gaps / 1.5 <= most)
+    return ~name.rlike(r"AAAAA|\(A\)n|Satellite") & (plain | (div + gaps < (score - 200) / 50) | (div + gaps <= 5))
+
+
 def soundex(name: Column) -> Column:
-    """Letters only; the first as it is, then up to three digits; equal neighbours (also across H and W) once."""
+    """The name's first character as it is, then three digits; equal neighbours once, and H and W are no neighbours but as the first letter."""
     letters = F.regexp_replace(name, "[^A-Za-z]", "")
     coded = F.translate(F.lower(letters), "bfpvcgjkqsxzdtlmnraeiouyhw", "11112222222233455600000099")
-    once = F.regexp_replace(F.regexp_replace(coded, "9", ""), r"(\d)\1+", "$1")
+    rest = F.translate(F.substr(coded, F.lit(2)), "9", "")
+    once = F.regexp_replace(F.concat(F.substr(coded, F.lit(1), F.lit(1)), rest), r"(\d)\1+", "$1")
     digits = F.regexp_replace(F.substr(once, F.lit(2)), "0", "")
-    return F.concat(F.substr(letters, F.lit(1), F.lit(1)), F.rpad(F.substr(digits, F.lit(1), F.lit(3)), 3, "0"))
+    return F.concat(F.substr(name, F.lit(1), F.lit(1)), F.rpad(F.substr(digits, F.lit(1), F.lit(3)), 3, "0"))
 
 
 def age_label(div: Column, low: Column, high: Column) -> Column:

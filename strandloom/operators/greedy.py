@@ -5,6 +5,7 @@ Hits of different overlap islands never meet, so a group is one island of one se
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -107,30 +108,42 @@ def arrival_level(hits: DataFrame, value: int) -> DataFrame:
     return per_island(hits, fold)
 
 
-#: What decides which of two overlapping hits wins.
-MODES = {"score": lambda r: -r["score"], "length": lambda r: -(r["query_end"] - r["query_start"]), "divergence": lambda r: r["div_permille"]}
+#: What decides which of two overlapping hits wins, as numbers that are small for winners; without a divergence a hit comes last.
+MODES = {
+    "score": lambda t: -t["score"].to_numpy(),
+    "length": lambda t: -(t["query_end"] - t["query_start"]).to_numpy(),
+    "divergence": lambda t: t["div_permille"].where(~t["subj_type"].isin(NO_DIVERGENCE)).fillna(1010).to_numpy(),
+}
+#: Classes whose divergence isn't measured.
+NO_DIVERGENCE = ("Simple_repeat", "Low_complexity")
 
 
 def resolve_overlaps(hits: DataFrame, mode: str = "score") -> DataFrame:
-    """Disjoint hits: the winner keeps its range, the other one is trimmed, or dropped if it lies inside or is split in two."""
+    """Disjoint hits: of two that overlap the winner keeps its range; the other is dropped if either holds the other, else trimmed."""
     rank = MODES[mode]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__k=rank(pdf)).sort_values(["__k", "query_start", "hit_id"], kind="stable")
-        rows, taken = [], []
-        for r in pdf.to_dict("records"):
-            s, e = r["query_start"], r["query_end"]
-            for a, b in taken:
-                if a <= s and e <= b or s < a and b < e:
-                    s = e + 1
-                elif a <= s <= b:
-                    s = b + 1
-                elif a <= e <= b:
-                    e = a - 1
-            if s <= e:
-                rows.append(r | {"query_start": s, "query_end": e})
-                taken.append((s, e))
-        return pd.DataFrame(rows, columns=pdf.columns).drop(columns="__k")
+        start, end = pdf["query_start"].to_numpy(), pdf["query_end"].to_numpy()
+        starts: list[int] = []  # of the kept ranges, which are disjoint, in order of place
+        ends: list[int] = []
+        kept, new = [], []
+        for i in np.lexsort((pdf["hit_id"].to_numpy(), start, rank(pdf))):
+            s, e = int(start[i]), int(end[i])
+            a, b = bisect_left(ends, s), bisect_right(starts, e)  # kept ranges a to b - 1 overlap this one
+            if any(s <= starts[k] and ends[k] <= e or starts[k] <= s and e <= ends[k] for k in range(a, min(b, a + 3))):
+                continue  # of more than two, one lies inside
+            for k in range(a, b):
+                s, e = (ends[k] + 1, e) if starts[k] < s else (s, starts[k] - 1)
+            if s > e:
+                continue
+            at = bisect_left(starts, s)
+            starts.insert(at, s)
+            ends.insert(at, e)
+            kept.append(i)
+            new.append((s, e))
+        out = pdf.iloc[kept].copy()
+        out["query_start"], out["query_end"] = [s for s, _ in new], [e for _, e in new]
+        return out
 
     return per_island(hits, fold)
 

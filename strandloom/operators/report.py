@@ -4,29 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.functions.graph_groups import GRAPH_GROUPS
 from strandloom.operators.interval import newly_covered
 
 #: Classes that are not interspersed repeats.
 OTHER_CLASSES = ("Simple_repeat", "Low_complexity", "Satellite", "snRNA", "rRNA", "tRNA")
-#: Names by pattern; a type may answer to several.
-SUPER = {"SINE": "^SINE", "ALU": "Alu$", "LINE": "^LINE", "L1": "/L1$", "LTR": "^LTR", "ERVL": "ERVL$", "DNA": "^DNA", "HAT": "hAT", "SIMPLE": "^Simple_repeat$"}
+#: Super-classes by pattern; a class may answer to several.
+SUPER = {
+    "SINE": r"SINE",
+    "LINE": r"^LINE",
+    "PLE": r"^PLE",
+    "LINECR1": r"/CR1$|/L2$|/Rex-Babar$",
+    "LINEI": r"/R1$|/LOA$|/I$|/Jockey$",
+    "LINERTE": r"/RTE|/Bov-B",
+    "LINER2": r"/NeSL|/R[24]|/Dong",
+    "LTR": r"^LTR",
+    "LTRERV": r"ERV|ERVL-MaLR",
+    "LTRBEL": r"Pao$",
+    "LTRGYP": r"DIRS$|Gypsy$",
+    "DNA": r"^DNA",
+    "DNATC1": r"/TcMar|/Stowaway",
+    "DNAHAT": r"/[hH]AT|Tam3$",
+    "DNAPIG": r"/T2$|/PiggyBac",
+    "DNAH": r"Harbing|Tourist",
+    "DNAP": r"/P$|/Mirage|/Transib",
+    "OTHER": r"^Unknown|^Composite|^Other",
+    "RC": r"^RC/",
+    "RNA": r"RNA$",
+    "SATEL": r"Satel",
+    "SIMPLE": r"Simple",
+    "LOWCOMP": r"^Low",
+}
 
 
 def length() -> Column:
     return F.col("query_end") - F.col("query_start") + 1
 
 
-def class_coverage(hits: DataFrame) -> DataFrame:
-    """(subj_type, n_hits, bp): hits and newly covered bases of each class."""
-    return newly_covered(hits).groupBy("subj_type").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("new_bp").alias("bp"))
+def sure(subj_type: Column) -> Column:
+    """A class without the question mark of a doubtful one."""
+    return F.regexp_replace(subj_type, r"\?$", "")
 
 
-def super_classes(hits: DataFrame) -> DataFrame:
+def class_coverage(hits: DataFrame, is_head: Column | None = None) -> DataFrame:
+    """(subj_type, n_hits, bp): elements and newly covered bases of each class; is_head: whether a hit is its element's first fragment."""
+    head = F.lit(True) if is_head is None else is_head
+    each = newly_covered(hits.withColumn("__head", head)).withColumn("subj_type", sure(F.col("subj_type")))
+    return each.groupBy("subj_type").agg(F.count_if("__head").alias("n_hits"), F.sum("new_bp").alias("bp"))
+
+
+def super_classes(hits: DataFrame, is_head: Column | None = None) -> DataFrame:
     """As class_coverage() by patterns that may overlap; what none takes is OTHER."""
-    names = F.array(*[F.when(F.col("subj_type").rlike(p), n) for n, p in SUPER.items()])
-    own = F.filter(names, lambda x: x.isNotNull())
-    each = newly_covered(hits).withColumn("super", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("OTHER")))))
-    return each.groupBy("super").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("new_bp").alias("bp"))
+    head = F.lit(True) if is_head is None else is_head
+    each = newly_covered(hits.withColumn("__head", head)).withColumn("__t", sure(F.col("subj_type")))
+    own = F.filter(F.array(*[F.when(F.col("__t").rlike(p), n) for n, p in SUPER.items()]), lambda x: x.isNotNull())
+    each = each.withColumn("super", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("OTHER")))))
+    return each.groupBy("super").agg(F.count_if("__head").alias("n_hits"), F.sum("new_bp").alias("bp"))
 
 
 def composition(seqs: DataFrame) -> DataFrame:
@@ -60,12 +93,18 @@ def divergence_histogram(hits: DataFrame, classes: list[str], most: int = 70) ->
     return spine.join(bins, "div", "left").select("div", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c.replace("/", "_").replace("-", "_").lower()) for c in classes])
 
 
-def landscape(hits: DataFrame, groups: dict[str, str], most: int = 50, least_hits: int = 1) -> DataFrame:
+def graph_group(subj_type: Column) -> Column:
+    """The group of a class in graphs: question marks out, then by the table of names."""
+    name = F.translate(subj_type, "?", "")
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in GRAPH_GROUPS.items() for x in kv]), name), name)
+
+
+def landscape(hits: DataFrame, most: int = 50, least_hits: int = 1) -> DataFrame:
     """(grp, div, bp): bases by graph group and whole percent, groups of enough hits only."""
-    pairs = [F.lit(x) for kv in groups.items() for x in kv]
-    g = hits.withColumn("grp", F.coalesce(F.element_at(F.create_map(*pairs), F.col("subj_type")), F.lit("Other"))).withColumn("div", F.floor(F.col("div_permille") / 10).cast("long"))
-    enough = F.count(F.lit(1)).over(Window.partitionBy("grp")) >= least_hits
-    return g.withColumn("__e", enough).where(F.col("__e") & (F.col("div") <= most)).groupBy("grp", "div").agg(F.sum(length()).alias("bp"))
+    g = hits.withColumn("grp", graph_group(F.col("subj_type"))).withColumn("div", F.floor(F.col("div_permille") / 10).cast("long"))
+    bins = g.groupBy("grp", "div").agg(F.sum(length()).alias("bp"), F.count(F.lit(1)).alias("__n"))  # before the window: a row a group and percent
+    enough = F.sum("__n").over(Window.partitionBy("grp")) >= least_hits
+    return bins.withColumn("__e", enough).where(F.col("__e") & (F.col("div") <= most)).select("grp", "div", "bp")
 
 
 def block_records(hits: DataFrame, keys: tuple[str, ...] = ("query_name", "subj_name")) -> DataFrame:

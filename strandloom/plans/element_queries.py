@@ -78,14 +78,18 @@ def translated_ids(h):
     return E.translated_ids(h, ids).select("hit_id", "new_id")
 
 
-@query("SELECT hit_id, round((score * 0.12 - ln(1.0 + hit_id % 7)) / ln(2.0), 6) AS bits, round(-9.5 - ln(0.02 / (3000.0 * 1000000 / (100 + hit_id % 900))) / 0.7, 6) AS cut FROM hits")
+@query("SELECT hit_id, round((score * 0.12 - ln(1.0 + hit_id % 7)) / ln(2.0), 6) AS bits, round(-9.5 - ln(0.02 / (3000.0 / (100 + hit_id % 900))) / 0.7, 6) AS cut FROM hits")
 def score_functions(h):
     return h.select("hit_id", F.round(S.bit_score(F.col("score"), 0.12, 1.0 + F.col("hit_id") % 7), 6).alias("bits"), F.round(S.hmm_threshold(F.lit(-9.5), F.lit(0.7), 100 + F.col("hit_id") % 900), 6).alias("cut"))
 
 
-@query("SELECT hit_id, format('{:,}', score * 1000 + hit_id) AS grouped, subj_start - 10 + 500 AS moved, regexp_replace(regexp_replace(replace(subj_name, 'view', 'L1 view/x?'), '[\\s/]+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g') AS clean FROM hits")
+@query(r"""SELECT hit_id, format('{:,}', score * 1000 + hit_id) AS grouped,
+  CAST(trunc((greatest(subj_start, 50) - 50) * 120 / 350.0 + 500) AS BIGINT) AS moved_begin, CAST(trunc((least(subj_end, 399) - 50) * 120 / 350.0 + 500) AS BIGINT) AS moved_end,
+  replace(replace(regexp_replace(replace(subj_name, 'view', 'L1 ,_(view)/x?'), '[\s,_]+', '_', 'g'), '(', ''), ')', '') AS clean FROM hits""")
 def text_functions(h):
-    return h.select("hit_id", F.format_number(F.col("score") * 1000 + F.col("hit_id"), 0).alias("grouped"), S.translated(F.col("subj_start"), F.lit(10), F.lit(500)).alias("moved"), S.sanitized(F.regexp_replace("subj_name", "view", "L1 view/x?")).alias("clean"))
+    begin, end = S.translated(F.col("subj_start"), F.col("subj_end"), F.lit(50), F.lit(399), F.lit(500), F.lit(619))
+    clean = S.sanitized(F.regexp_replace("subj_name", "view", "L1 ,_(view)/x?"))
+    return h.select("hit_id", F.format_number(F.col("score") * 1000 + F.col("hit_id"), 0).alias("grouped"), begin.alias("moved_begin"), end.alias("moved_end"), clean.alias("clean"))
 
 
 @query("SELECT query_name, CAST(len(l) AS INTEGER) AS n, l[1] AS first, array_to_string(list_slice(l, 2, 3), ',') AS some FROM (SELECT query_name, list_sort(list(DISTINCT subj_name)) AS l FROM hits GROUP BY 1)")

@@ -188,7 +188,8 @@ def excised(h):
 
 
 # reports
-@query(f"""SELECT super, count(*) AS n_hits, CAST(sum(new_bp) AS BIGINT) AS bp FROM (SELECT unnest(CASE WHEN len(o) > 0 THEN o ELSE ['OTHER'] END) AS super, new_bp FROM (SELECT {NEW} AS new_bp, list_filter([{', '.join(f"CASE WHEN regexp_matches(subj_type, '{p}') THEN '{n}' END" for n, p in report.SUPER.items())}], lambda x: x IS NOT NULL) AS o FROM hits)) GROUP BY 1""")
+@query(f"""SELECT super, count(*) AS n_hits, CAST(sum(new_bp) AS BIGINT) AS bp FROM (SELECT unnest(CASE WHEN len(o) > 0 THEN o ELSE ['OTHER'] END) AS super, new_bp FROM (SELECT {NEW} AS new_bp, CASE subj_type
+  WHEN 'SINE/Alu' THEN ['SINE'] WHEN 'LINE/L1' THEN ['LINE'] WHEN 'DNA/hAT-Charlie' THEN ['DNA', 'DNAHAT'] WHEN 'LTR/ERVL' THEN ['LTR', 'LTRERV'] WHEN 'Simple_repeat' THEN ['SIMPLE'] ELSE [] END AS o FROM hits)) GROUP BY 1""")
 def super_classes(h):
     return report.super_classes(h)
 
@@ -231,12 +232,16 @@ def divergence_histogram(h):
     return report.divergence_histogram(h, CLASSES)
 
 
-GROUPS = {"SINE/Alu": "SINE", "LINE/L1": "LINE", "DNA/hAT-Charlie": "DNA", "LTR/ERVL": "LTR"}
+#: Classes that the graph table renames are put in the place of some of the view's.
+RARE = {"SINE/Alu": "SINE/tRNA-Lys?", "LTR/ERVL": "LTR/ERVL-MaLR"}
 
 
-@query(f"SELECT grp, div, CAST(sum(l) AS BIGINT) AS bp FROM (SELECT CASE subj_type {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in GROUPS.items())} ELSE 'Other' END AS grp, div_permille // 10 AS div, {LEN} AS l FROM hits) WHERE div <= 50 GROUP BY 1, 2")
+@query(f"""SELECT grp, div, CAST(sum(l) AS BIGINT) AS bp FROM (SELECT CASE subj_type WHEN 'DNA/hAT-Charlie' THEN 'DNA/hAT' WHEN 'SINE/Alu' THEN CASE WHEN hit_id % 2 = 0 THEN 'SINE/tRNA' ELSE subj_type END ELSE subj_type END AS grp,
+  div_permille // 10 AS div, {LEN} AS l FROM hits) WHERE div <= 50 GROUP BY 1, 2""")
 def landscape(h):
-    return report.landscape(h, GROUPS)
+    for old, new in RARE.items():
+        h = h.withColumn("subj_type", F.when((F.col("subj_type") == old) & (F.col("hit_id") % 2 == 0), new).otherwise(F.col("subj_type")))
+    return report.landscape(h)
 
 
 @query("SELECT query_name, subj_name, min(query_start) - 1 AS chrom_start, max(query_end) AS chrom_end, count(*) AS block_count, least(1000, CAST(sum(div_permille) AS BIGINT) // count(*)) AS score, string_agg(CAST(query_end - query_start + 1 AS VARCHAR), ',' ORDER BY query_start, query_end, hit_id) AS block_sizes, string_agg(CAST(query_start - lo AS VARCHAR), ',' ORDER BY query_start, query_end, hit_id) AS block_starts FROM (SELECT *, min(query_start) OVER (PARTITION BY query_name, subj_name) AS lo FROM hits) GROUP BY 1, 2")
@@ -281,10 +286,24 @@ def rule_filters(h):
     return h.select("hit_id", found.alias("rule")).where("rule is not null")
 
 
-@query(f"SELECT hit_id FROM hits WHERE subj_type = 'Simple_repeat' AND (score > 16 * 30 - 3 * {LEN} OR {LEN} > 200 OR div_permille < 50)")
+#: Names of simple repeats, and of families with a rule before mask levels, in the place of the view's.
+UNITS, FAMILIES_BEFORE = ["(CA)n", "(GAAA)n", "(A)n", "(TTAGGG)n", "(GA)n", "TTTTTTAAAAA", "Satellite"], ["SVA_A", "SVA_F", "LAVA_B", "AluY"]
+
+
+@query(f"""SELECT hit_id FROM (WITH n AS (SELECT *, [{', '.join(f"'{u}'" for u in UNITS)}][CAST(hit_id % {len(UNITS)} AS INTEGER) + 1] AS name, div_permille / 10.0 AS d, (del_permille + ins_permille) / 10.0 AS g FROM hits WHERE subj_type = 'Simple_repeat'),
+u AS (SELECT *, CASE WHEN name LIKE '(%' THEN regexp_extract(name, '[A-Z]+') ELSE name END AS unit FROM n),
+c AS (SELECT *, len(unit) AS l, list_sum([CASE WHEN k > 0 THEN -k * ln(k / len(unit)) ELSE 0.0 END FOR k IN [len(unit) - len(replace(unit, b, '')) FOR b IN ['A', 'C', 'G', 'T']]]) / ln(4) AS e FROM u)
+SELECT hit_id FROM c WHERE name NOT IN ('(A)n', 'TTTTTTAAAAA', 'Satellite') AND ((name <> '(GAAA)n' AND name <> '(GA)n' AND d + g / 1.5 <= 16 - 3 * (l - e)) OR d + g < (score - 200) / 50.0 OR d + g <= 5))""")
 def simple_retention(h):
-    n = report.length()
-    return h.where((F.col("subj_type") == "Simple_repeat") & ((F.col("score") > 480 - 3 * n) | (n > 200) | (F.col("div_permille") < 50))).select("hit_id")
+    name = F.element_at(F.array(*map(F.lit, UNITS)), (F.col("hit_id") % len(UNITS) + 1).cast("int"))
+    kept = S.simple_repeat_kept(name, F.col("div_permille") / 10, (F.col("del_permille") + F.col("ins_permille")) / 10, F.col("score"))
+    return h.where((F.col("subj_type") == "Simple_repeat") & kept).select("hit_id")
+
+
+@query("""SELECT hit_id FROM hits WHERE NOT ((hit_id % 4 IN (0, 1) AND ((subj_start + 700 >= 855 AND subj_end + 700 < 1270) OR (subj_start + 700 >= 1263 AND subj_end + 700 < 1372))) OR (hit_id % 4 = 2 AND score < 500))""")
+def pre_mask_filter(h):
+    name = F.element_at(F.array(*map(F.lit, FAMILIES_BEFORE)), (F.col("hit_id") % 4 + 1).cast("int"))
+    return h.where(~S.pre_mask_drop(name, F.col("subj_start") + 700, F.col("subj_end") + 700, F.col("score"))).select("hit_id")
 
 
 @query("SELECT hit_id, subj_start, subj_end FROM hits WHERE subj_type LIKE 'SINE%' AND ((subj_start < 70 AND subj_end > 185) OR (subj_start < 6 AND subj_remaining < 5)) OR (subj_type NOT LIKE 'LINE%' AND subj_start < 6 AND subj_remaining < 20)")
@@ -387,7 +406,7 @@ def combined_ids(h):
 
 
 @query("""SELECT a.hit_id, b.hit_id AS other_id, least(a.query_end, b.query_end) - greatest(a.query_start, b.query_start) + 1 AS shared, CASE WHEN a.orientation = 'C' THEN b.subj_end - a.subj_start + 1 ELSE a.subj_end - b.subj_start + 1 END AS cons,
-CASE WHEN a.query_start < b.query_start AND a.query_end > b.query_end THEN 0 ELSE greatest(0, least(a.query_end, b.query_end) - greatest(a.query_start, b.query_start) + 1) END AS old_size, a.div_permille > 2 * b.div_permille AND a.div_permille > b.div_permille + 10 AS diverged
+CASE WHEN a.query_start < b.query_start AND a.query_end > b.query_end THEN 0 ELSE greatest(0, least(a.query_end, b.query_end) - greatest(a.query_start, b.query_start) + 1) END AS old_size, a.div_permille > 2 * b.div_permille AND a.div_permille > b.div_permille + 100 AS diverged
 FROM r a JOIN r b ON a.query_name = b.query_name AND b.rn = a.rn + 1""", more=f"r AS (SELECT *, row_number() OVER ({BY}) AS rn FROM hits)")
 def pair_arithmetic(h):
     w = Window.partitionBy("query_name").orderBy(*interval.by_position())
@@ -399,7 +418,7 @@ def pair_arithmetic(h):
         S.query_overlap(c("query_start"), c("query_end"), c("n_query_start"), c("n_query_end")).alias("shared"),
         S.consensus_gap(c("orientation"), c("subj_start"), c("subj_end"), c("n_subj_start"), c("n_subj_end")).alias("cons"),
         S.overlap_size(c("query_start"), c("query_end"), c("n_query_start"), c("n_query_end"), legacy=True).cast("long").alias("old_size"),
-        S.too_diverged(c("div_permille"), c("n_div_permille")).alias("diverged"),
+        S.too_diverged(c("div_permille") / 10, c("n_div_permille") / 10).alias("diverged"),
     )
 
 

@@ -53,9 +53,9 @@ def sequence_batches(spark, sf_dir):
     return _batches(spark, sf_dir).groupBy("part", "batch_num").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_pos") - F.col("start_pos") + 1).alias("bp"))
 
 
-@query(f"WITH {BATCHES}, {SEQUENCES} SELECT part, batch_num, CAST(sum(length(sequence) - length(translate(sequence, 'GC', ''))) AS BIGINT) AS gc, CAST(sum(length(sequence)) AS BIGINT) AS bp FROM batched JOIN seqs USING (seq_id) WHERE frag_no = 0 GROUP BY 1, 2")
+@query(f"WITH {BATCHES}, {SEQUENCES} SELECT part, batch_num, CAST(sum(length(piece) - length(translate(piece, 'GC', ''))) AS BIGINT) AS gc, CAST(sum(length(piece)) AS BIGINT) AS bp FROM (SELECT part, batch_num, substring(sequence, start_pos, end_pos - start_pos + 1) AS piece FROM batched JOIN seqs USING (seq_id)) GROUP BY 1, 2")
 def batch_gc(spark, sf_dir):
-    # of all fragments, each over its own range; the SQL above has first fragments only, with their whole documents
+    # of all fragments, each over its own range
     part = F.substr("sequence", F.col("start_pos").cast("int"), (F.col("end_pos") - F.col("start_pos") + 1).cast("int"))
     pieces = _batches(spark, sf_dir).join(sequences(spark, sf_dir), "seq_id").select("part", "batch_num", part.alias("piece"))
     n = F.length("piece").cast("long")
@@ -114,9 +114,9 @@ def cleaned_letters(spark, sf_dir):
     return sequences(spark, sf_dir).select("seq_id", F.regexp_replace("sequence", "[^A-Z]", " ").alias("clean"), (F.length("sequence") - F.length(F.translate("sequence", "GC", ""))).cast("long").alias("gc"))
 
 
-@query(f"WITH {SEQUENCES} SELECT seq_id, reverse(translate(p, '{S.LETTERS}', '{S.COMPLEMENT}')) AS rc, reverse(translate(p, '{S.LETTERS}', '{S.LEGACY_COMPLEMENT}')) AS legacy_rc FROM (SELECT seq_id, translate(substr(sequence, 1, 200), 'abcdefghijklmnopqrstuvwxyz', '') AS p FROM seqs)")
+@query(f"WITH {SEQUENCES} SELECT seq_id, reverse(translate(p, '{S.LETTERS}', '{S.COMPLEMENT}')) AS rc, reverse(translate(p, '{S.LETTERS}', '{S.LEGACY_COMPLEMENT}')) AS legacy_rc FROM (SELECT seq_id, translate(sequence, 'abcdefghijklmnopqrstuvwxyz', '') AS p FROM seqs)")
 def reverse_complements(spark, sf_dir):
-    p = F.translate("sequence", "abcdefghijklmnopqrstuvwxyz", "")  # whole sequences; the SQL above takes their first 200 letters only
+    p = F.translate("sequence", "abcdefghijklmnopqrstuvwxyz", "")
     return sequences(spark, sf_dir).select("seq_id", S.revcomp(p).alias("rc"), S.revcomp(p, legacy=True).alias("legacy_rc"))
 
 
@@ -159,9 +159,11 @@ def lineage_totals(spark, sf_dir):
     return taxonomy.lineage_totals(families(spark, sf_dir), taxa(spark, sf_dir), "r1")
 
 
-@query(f"WITH {FAMILIES} SELECT accession, regexp_matches(accession, '^DR[0-9]{{9}}$') = false AS curated, substr(accession, 1, 2) || '/' || substr(accession, 3, 4) || '/' || substr(accession, 7, 2) AS bin FROM families")
+@query(f"WITH {FAMILIES} SELECT accession, regexp_matches(accession, '^DR[0-9]{{9}}$') = false AS curated, 'Families/' || CASE WHEN accession[1:2] IN ('DF', 'DR') THEN accession[1:2] || '/' || accession[3:4] || '/' || accession[5:6] || '/' || accession[7:8] ELSE 'Aux/' || lower(accession[1:2]) END AS bin FROM (SELECT * FROM families UNION ALL SELECT * REPLACE ('MIR' || accession AS accession) FROM families)")
 def accession_bins(spark, sf_dir):
-    return families(spark, sf_dir).select("accession", taxonomy.curated(F.col("accession")).alias("curated"), S.accession_bin(F.col("accession")).alias("bin"))
+    both = families(spark, sf_dir)
+    both = both.unionByName(both.withColumn("accession", F.concat(F.lit("MIR"), "accession")))
+    return both.select("accession", taxonomy.curated(F.col("accession")).alias("curated"), S.accession_bin(F.col("accession")).alias("bin"))
 
 
 @query(f"WITH {FAMILIES} SELECT accession, name FROM families WHERE lower(repeat_type) LIKE 'e%' AND is_uncurated")
