@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.llm.common import crc32_text, leaves_no_memory, slices
+from strandloom.llm.common import crc32_text, leaves_no_memory, release, slices
 
 #: Bounds of the learning sample, and the most languages it may have.
 PER_LANGUAGE, SAMPLE_ROWS, MOST_LANGUAGES = 500, 8000, 200
@@ -65,8 +65,7 @@ def features(text: str) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
-    """Weights (the last is the bias) of an L2-loss linear SVM for labels -1 and 1, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    """Weights (the last is the bias, whose column of ones x has) of an L2-loss linear SVM for labels -1 and 1, by dual coordinate descent."""
     share = {v: c * len(y) / (2 * max(1, int((y == v).sum()))) for v in (-1.0, 1.0)}  # both classes weigh alike
     diagonal = np.array([0.5 / share[v] for v in y])
     norm = (x * x).sum(1) + diagonal
@@ -100,16 +99,18 @@ class Model:
     def fit(cls, x: np.ndarray, langs: list[str]) -> Model:
         known = sorted(set(langs))
         model = cls()
+        wide = np.ones((len(x), x.shape[1] + 1))  # one copy for all machines
+        wide[:, :-1] = x
         for lang in known:
             model.families.setdefault(family_of(lang), []).append(lang)
         label = np.array(langs, object)
         own = np.array([family_of(v) for v in langs], object)
         if len(model.families) > 1:
-            model.of_family = {f: svm(x, np.where(own == f, 1.0, -1.0)) for f in model.families}
+            model.of_family = {f: svm(wide, np.where(own == f, 1.0, -1.0)) for f in model.families}
         for inside in model.families.values():
             for a, b in combinations(inside, 2):
                 rows = (label == a) | (label == b)
-                model.of_pair[a, b] = svm(x[rows], np.where(label[rows] == a, 1.0, -1.0))
+                model.of_pair[a, b] = svm(wide[rows], np.where(label[rows] == a, 1.0, -1.0))
         return model
 
     def margins(self, x: np.ndarray, machines: dict) -> dict:
@@ -179,8 +180,13 @@ def fit(docs: DataFrame, folds: int | None = 5, held_out: int = 0) -> Model:
 
     sample = rows.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(describe, "lang string, x binary").limit(most * len(langs)).collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["x"])))  # the same model whatever the order of rows
-    x = np.stack([np.frombuffer(bytes(r["x"]), np.float32) for r in sample])
-    return Model.fit(x, [r["lang"] for r in sample])
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in sample])
+    labels = [r["lang"] for r in sample]
+    del sample
+    model = Model.fit(x, labels)
+    del x
+    release()  # the driver goes on
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

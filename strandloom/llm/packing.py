@@ -25,8 +25,8 @@ from strandloom.llm.common import clip, cut, slices, stored
 from strandloom.llm.tokens import encoding
 
 CAPACITY = 2048
-#: Pieces of a bucket in which ranks are counted.
-BUCKET_PIECES = 5000
+#: Pieces of a bucket in which ranks are counted (of one length; they carry their ids), and the most buckets.
+BUCKET_PIECES, MOST_BUCKETS = 500, 1 << 16
 
 PIECE_SCHEMA = "start long, length long, ids binary, doc_tokens long"
 
@@ -122,7 +122,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, length_c
     counts = pieces.groupBy(F.col(length_col).alias("l")).count().collect()  # at most `capacity` rows
     patterns = pack_histogram({int(r["l"]): r["count"] for r in counts}, capacity)
     table = places(patterns)
-    buckets = clip(sum(r["count"] for r in counts) / BUCKET_PIECES, 1, 4096)
+    buckets = clip(sum(r["count"] for r in counts) / BUCKET_PIECES, 1, MOST_BUCKETS)
     keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     each = keyed.groupBy(F.col(length_col).alias("__l"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     over = Window.partitionBy("__l").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
