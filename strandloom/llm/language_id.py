@@ -64,16 +64,31 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(counts / counts.sum()).astype(np.float32)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The places and values of a vector that aren't 0."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def unpacked(raw: bytes, out: np.ndarray) -> None:
+    n = len(raw) // 6
+    out[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+
+
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
-    """Weights (the last is the bias, whose column of ones x has) of an L2-loss linear SVM for labels -1 and 1, by dual coordinate descent."""
-    share = {v: c * len(y) / (2 * max(1, int((y == v).sum()))) for v in (-1.0, 1.0)}  # both classes weigh alike
-    diagonal = np.array([0.5 / share[v] for v in y])
-    norm = (x * x).sum(1) + diagonal
+    """Weights (the last is the bias, whose column of ones x has) of an L2-loss linear SVM, by dual coordinate descent.
+
+    y: -1 or 1 for each row of x; rows with 0 take no part.
+    """
+    rows = np.flatnonzero(y)
+    share = {v: c * len(rows) / (2 * max(1, int((y == v).sum()))) for v in (-1.0, 1.0)}  # both classes weigh alike
+    diagonal = np.array([0.5 / share[v] if v else 0.0 for v in y])
+    norm = np.einsum("ij,ij->i", x, x, dtype=np.float64) + diagonal
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         most = 0.0
-        for i in rng.permutation(len(x)):
+        for i in rng.permutation(rows):
             g = y[i] * (w @ x[i]) - 1 + diagonal[i] * alpha[i]
             new = max(alpha[i] - g / norm[i], 0.0)
             if new != alpha[i]:
@@ -97,20 +112,18 @@ class Model:
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: list[str]) -> Model:
+        """x: a row for each text, whose last column is 1."""
         known = sorted(set(langs))
         model = cls()
-        wide = np.ones((len(x), x.shape[1] + 1))  # one copy for all machines
-        wide[:, :-1] = x
         for lang in known:
             model.families.setdefault(family_of(lang), []).append(lang)
         label = np.array(langs, object)
         own = np.array([family_of(v) for v in langs], object)
         if len(model.families) > 1:
-            model.of_family = {f: svm(wide, np.where(own == f, 1.0, -1.0)) for f in model.families}
+            model.of_family = {f: svm(x, np.where(own == f, 1.0, -1.0)) for f in model.families}
         for inside in model.families.values():
             for a, b in combinations(inside, 2):
-                rows = (label == a) | (label == b)
-                model.of_pair[a, b] = svm(wide[rows], np.where(label[rows] == a, 1.0, -1.0))
+                model.of_pair[a, b] = svm(x, np.where(label == a, 1.0, np.where(label == b, -1.0, 0.0)))
         return model
 
     def margins(self, x: np.ndarray, machines: dict) -> dict:
@@ -176,11 +189,14 @@ def fit(docs: DataFrame, folds: int | None = 5, held_out: int = 0) -> Model:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(features(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["lang", "x"])
 
     sample = rows.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(describe, "lang string, x binary").limit(most * len(langs)).collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["x"])))  # the same model whatever the order of rows
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in sample])
+    x = np.zeros((len(sample), (1 << BITS) + 1), np.float32)
+    x[:, -1] = 1
+    for row, r in zip(x, sample, strict=True):
+        unpacked(r["x"], row)
     labels = [r["lang"] for r in sample]
     del sample
     model = Model.fit(x, labels)

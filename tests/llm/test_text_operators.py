@@ -319,7 +319,11 @@ def test_predictions_are_those_of_each_machine(spark):
     parts = {"en": ["the", "and", "ing"], "de": ["der", "und", "sch"], "nl": ["het", "een", "ij"], "fr": ["les", "eau", "que"], "es": ["los", "cion", "ñ"], "it": ["gli", "zione", "che"]}
     langs = [list(parts)[i % 6] for i in range(240)]
     texts = ["".join(r.choice(parts[v]) + r.choice(["", " "]) for _ in range(15)) for v in langs]
-    model = language_id.Model.fit(np.stack([language_id.features(t) for t in texts]), langs)
+    model = language_id.Model.fit(np.stack([np.append(language_id.features(t), np.float32(1)) for t in texts]), langs)
+    x = language_id.features(texts[0])
+    back = np.zeros_like(x)
+    language_id.unpacked(language_id.packed(x), back)
+    assert (back == x).all()
     got, scores = model.predict([*texts, None, "12 ."])
     assert got[-2:] == ["und", "und"] and list(scores[-2:]) == [0, 0]
     for t, lang, score in zip(texts, got, scores):
