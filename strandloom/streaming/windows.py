@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strandloom.session import ensure_checkpoints
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream."""
@@ -48,14 +50,22 @@ def clustered(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_name").applyInPandasWithState(step, "query_name string, n_clusters long, n_hits long, lo long, hi long", "starts array<long>, ends array<long>, ns array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
+def checkpoint_path(spark: SparkSession, name: str) -> str:
+    """A stream's state lies in the folder that driver and executors share."""
+    ensure_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/streams/{name}"
+
+
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """All that there is, as a table."""
     name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    place = checkpoint_path(stream.sparkSession, name)
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
 
 
 def for_each(hits: DataFrame, consume: Callable[[DataFrame], None]):
     """Each micro-batch of a stream to a function."""
-    return hits.writeStream.foreachBatch(lambda df, _: consume(df)).trigger(availableNow=True).start()
+    place = checkpoint_path(hits.sparkSession, f"stream_{uuid.uuid4().hex}")
+    return hits.writeStream.foreachBatch(lambda df, _: consume(df)).option("checkpointLocation", place).trigger(availableNow=True).start()
