@@ -74,11 +74,30 @@ def accession_bin(accession: Column) -> Column:
 
 
 def is_internal(name: Column) -> Column:
-    return name.rlike("(?i)-int$|_I$|-I$")
+    """Whether a family's name is that of the inside of an endogenous retrovirus, not of its long terminal repeats."""
+    # Parts of such names
+    inside = name.rlike("(?i)int|ERV|PRIMA41|Harlequin|HUERS") | name.rlike(r"[-_]I(_\S+)?$") | name.rlike("MMERGLN|MMURS|MMVL30|MULV|MURVY|ETn|^IAP")
+    return (~name.contains("LTR") | name.rlike("int$")) & inside
 
 
 def is_ltr(name: Column) -> Column:
-    return name.rlike("^LTR") & ~is_internal(name)
+    return ~is_internal(name)
+
+
+# Lambda and mu by period of tandem repeats, and the copies that must be exceeded
+YOUNG_TANDEM = (0.41, (8.51, 1.04, 6.26, 8.65, 10.36, 7.19, 8.81, 10.84, 12.97, 15.07), 4)
+OLD_TANDEM = (0.32, (0.79, 1.00, 4.78, 6.94, 8.68, 9.84, 11.94), 5)
+
+
+def tandem_kept(copies: Column, score: Column, young: bool) -> Column:
+    """Tandem repeats of more than 4 (young) or 5 copies whose score by matrix is 20 or more."""
+    return (copies > (YOUNG_TANDEM if young else OLD_TANDEM)[2]) & (score >= 20)
+
+
+def tandem_bits(score: Column, period: Column, young: bool) -> Column:
+    """Whole bits of a tandem repeat's score; null for periods beyond the table."""
+    lam, mu, _ = YOUNG_TANDEM if young else OLD_TANDEM
+    return F.when((period >= 1) & (period <= len(mu)), bit_score(score, lam, F.element_at(F.array(*map(F.lit, mu)), period.cast("int")))).cast("long")
 
 
 def bit_score(score: Column, lam: float, mu: Column) -> Column:
