@@ -109,3 +109,20 @@ def final_orders(h):
 def display_names(h):
     mark = F.when(F.col("hit_id") % 3 == 0, "_3end").when(F.col("hit_id") % 3 == 1, "_strong").otherwise("")
     return h.select("hit_id", S.gc_or_default(F.lit(40), F.lit(3), F.col("query_end")).alias("gc"), E.display_names(F.concat("subj_name", mark)).alias("shown"))
+
+
+@query("SELECT hit_id, CAST(row_number() OVER (PARTITION BY query_name ORDER BY score, subj_start, hit_id) AS INTEGER) AS place FROM hits")
+def consensus_orders(h):
+    return h.select("hit_id", F.row_number().over(Window.partitionBy("query_name").orderBy("score", "subj_start", "hit_id")).alias("place"))
+
+
+@query("""SELECT query_name, CAST(len(k) AS INTEGER) AS n_types, array_to_string(k, ',') AS types, CAST(click AS BIGINT) AS sines, CAST(most AS BIGINT) AS most FROM
+(SELECT query_name, list_sort(list(subj_type) FILTER (n > 10 AND subj_type <> 'Unknown')) AS k, coalesce(max(n) FILTER (subj_type = 'SINE/Alu'), 0) AS click, max(n) AS most FROM (SELECT query_name, subj_type, count(*) AS n FROM hits GROUP BY 1, 2) GROUP BY 1) WHERE k IS NOT NULL""")
+def composition_maps(h):
+    # a map of counts by class: one entry taken, set anew, dropped, and the keys listed
+    counts = h.groupBy("query_name", "subj_type").agg(F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("query_name").agg(F.map_from_entries(F.collect_list(F.struct("subj_type", "n"))).alias("m"))
+    kept = maps.withColumn("kept", F.map_filter("m", lambda k, v: (v > 10) & (k != "Unknown"))).where(F.size("kept") > 0)
+    keys = F.array_sort(F.map_keys("kept"))
+    most = F.array_max(F.map_values("m"))
+    return kept.select("query_name", F.size("kept").alias("n_types"), F.array_join(keys, ",").alias("types"), F.coalesce(F.try_element_at("m", F.lit("SINE/Alu")), F.lit(0)).alias("sines"), most.alias("most"))

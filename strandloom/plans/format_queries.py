@@ -36,6 +36,32 @@ def native_round_trip(spark, sf_dir):
     return readers.hits_from_lines(writers.native_lines(hits(spark, sf_dir))).select("lineage_id", *FIELDS)
 
 
+PERCENT = "format('{{:4.1f}}', {0} / 10.0)"
+SIGN = "CASE WHEN orientation = 'C' THEN '-' ELSE '+' END"
+REST = "CASE WHEN orientation = 'C' THEN '(' || subj_remaining || ') ' || subj_end || ' ' || subj_start ELSE subj_start || ' ' || subj_end || ' (' || subj_remaining || ')' END"
+
+
+@query(f"""WITH {HITS} SELECT hit_id, score || ' ' || {PERCENT.format('div_permille')} || ' ' || {PERCENT.format('del_permille')} || ' ' || {PERCENT.format('ins_permille')} || ' ' || query_name || ' ' || query_start || ' ' || query_end || ' (0) '
+|| orientation || ' ' || subj_name || '#' || subj_type || ' ' || {REST} || CASE WHEN score % 5 = 0 THEN ' *' ELSE ' ' END AS line FROM hits""")
+def match_lines(spark, sf_dir):
+    return writers.match_lines(hits(spark, sf_dir).withColumn("overlap", F.col("score") % 5 == 0))
+
+
+@query(f"""WITH {HITS} SELECT hit_id, 'Motif_homol "' || subj_name || '" "strandloom" ' || {PERCENT.format('div_permille')} || ' ' || query_start || ' ' || query_end || ' ' || {SIGN} || ' ' || subj_end || ' ' || subj_start AS line FROM hits""")
+def motif_lines(spark, sf_dir):
+    return writers.motif_lines(hits(spark, sf_dir))
+
+
+@query(f"""WITH {HITS} SELECT hit_id, query_name || chr(9) || 'strandloom' || chr(9) || 'similarity' || chr(9) || query_start || chr(9) || query_end || chr(9) || score || chr(9) || {SIGN} || chr(9) || '.' || chr(9) || 'Target "Motif:' || subj_name || '" ' || subj_start || ' ' || subj_end AS line FROM hits""")
+def gff2_lines(spark, sf_dir):
+    return writers.gff2(hits(spark, sf_dir))
+
+
+@query(f"WITH {HITS} SELECT CAST(hit_id AS VARCHAR) AS id, query_name, query_start, query_end FROM hits WHERE subj_type = 'Simple_repeat' AND div_permille + del_permille + ins_permille < 100")
+def polymorphic_repeats(spark, sf_dir):
+    return readers.hits_from_lines(writers.out_table(writers.polymorphic(hits(spark, sf_dir)))).select("id", "query_name", "query_start", "query_end")
+
+
 @query(f"""WITH {HITS} SELECT query_name || chr(9) || 'strandloom' || chr(9) || 'dispersed_repeat' || chr(9) || query_start || chr(9) || query_end || chr(9) || score || chr(9) || CASE WHEN orientation = 'C' THEN '-' ELSE '+' END || chr(9) || '.' || chr(9) || 'Target=' || subj_name || ' ' || subj_start || ' ' || subj_end AS line FROM hits
 UNION ALL SELECT '##sequence-region ' || query_name || ' 1 ' || max(query_end) FROM hits GROUP BY query_name""")
 def gff3_lines(spark, sf_dir):

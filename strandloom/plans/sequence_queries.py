@@ -217,6 +217,13 @@ def labelled_totals(spark, sf_dir):
     return both.groupBy(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query(f"WITH {SEQUENCES} SELECT seq_id, length(sequence) - length(translate(sequence, 'ACGT', '')) AS known FROM seqs WHERE length(sequence) - length(translate(sequence, 'ACGT', '')) >= 15")
+def searchable_sequences(spark, sf_dir):
+    # what is left to search: sequences of at least 15 letters that are bases (fixed value)
+    known = F.length("sequence") - F.length(F.translate("sequence", "ACGT", ""))
+    return sequences(spark, sf_dir).select("seq_id", known.cast("long").alias("known")).where("known >= 15")
+
+
 # alignments: pairs of benchmark texts as letters of DNA, without gaps, so that a pair ends where its shorter text does
 def _pairs(spark, sf_dir):
     dna = lambda c: F.translate(F.upper(F.regexp_replace(c, "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
@@ -232,6 +239,23 @@ def pair_divergence(spark, sf_dir):
     return _pairs(spark, sf_dir).select("item_id", A.kimura_column(F.col("q"), F.col("s")).alias("k")).select("item_id", "k.*")
 
 
+GAPPED = """t AS (SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGT-C') AS q FROM benchmark),
+p AS (SELECT a.item_id, left(a.q, CAST(least(length(a.q), length(b.q)) AS BIGINT)) AS q, left(translate(b.q, 'T', '-'), CAST(least(length(a.q), length(b.q)) AS BIGINT)) AS s FROM t a JOIN t b ON b.item_id = a.item_id + 1),
+n AS (SELECT item_id, length(q) AS n, count(*) FILTER ((x = '-') <> (y = '-')) AS gaps, count(*) FILTER (x <> '-' AND y <> '-') AS bases, count(*) FILTER (x || y IN ('AG', 'GA', 'CT', 'TC')) AS ti,
+  count(*) FILTER (x || y IN ('AC', 'CA', 'AT', 'TA', 'GC', 'CG', 'GT', 'TG')) AS tv FROM (SELECT item_id, q, unnest(string_split(q, '')) AS x, unnest(string_split(s, '')) AS y FROM p) GROUP BY 1, q),
+v AS (SELECT *, (2e0 * n - gaps) / (2 * n) AS w, (bases - ti - tv) / CAST(n AS DOUBLE) AS same, ti / CAST(n AS DOUBLE) AS pp, tv / CAST(n AS DOUBLE) AS qq FROM n)"""
+
+
+@query(f"WITH {GAPPED} SELECT item_id, CAST(gaps AS INTEGER) AS gaps, CAST(bases AS INTEGER) AS bases, round(100 * (0.75e0 * w * ln(w) - w / 2 * CASE WHEN same + pp > qq AND same > pp THEN ln((same - pp) * sqrt(same + pp - qq)) ELSE 1 END), 6) AS percent FROM v WHERE bases > 0")
+def pair_gapped_divergence(spark, sf_dir):
+    letters = lambda c: F.translate(F.upper(F.regexp_replace(c, "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGT-C")
+    b = table(spark, sf_dir, "benchmark").select("item_id", letters("text").alias("q"))
+    both = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.translate("q", "T", "-").alias("s")), "item_id")
+    n = F.least(F.length("q"), F.length("s"))
+    k = A.kimura_gapped_column(F.substr("q", F.lit(1), n), F.substr("s", F.lit(1), n))
+    return both.select("item_id", k.alias("k")).where("k.bases > 0").select("item_id", "k.gaps", "k.bases", F.round("k.percent", 6).alias("percent"))
+
+
 @query(None)
 def pair_encoding(spark, sf_dir):
     return _pairs(spark, sf_dir).select("item_id", A.caf_column(F.col("q"), F.col("s")).alias("caf"))

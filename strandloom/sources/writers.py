@@ -38,6 +38,32 @@ def native_lines(hits: DataFrame) -> DataFrame:
     return hits.select("hit_id", F.concat_ws(" ", "score", percent("div_permille"), percent("del_permille"), percent("ins_permille"), "query_name", "query_start", "query_end", F.lit("(0)"), minus, F.concat("subj_name", F.lit("#"), "subj_type"), *strand_fields(), F.concat(F.lit("m_b1s"), "stage", F.lit("i"), "hit_id")).alias("line"))
 
 
+def _sign() -> Column:
+    return F.when(F.col("orientation") == "C", "-").otherwise("+")
+
+
+def match_lines(hits: DataFrame) -> DataFrame:
+    """Lines of the plain match format: name#class, always with a strand, then a star where a better hit overlaps (`overlap`)."""
+    mark = F.when(F.col("overlap"), "*").otherwise("")
+    return hits.select("hit_id", F.concat_ws(" ", "score", percent("div_permille"), percent("del_permille"), percent("ins_permille"), "query_name", "query_start", "query_end", F.lit("(0)"), "orientation", F.concat("subj_name", F.lit("#"), "subj_type"), *strand_fields(), mark).alias("line"))
+
+
+def motif_lines(hits: DataFrame, source: str = "strandloom") -> DataFrame:
+    """Motif homologies of an ACeDB file, the subject's end before its start on both strands."""
+    return hits.select("hit_id", F.concat_ws(" ", F.concat(F.lit('Motif_homol "'), "subj_name", F.lit(f'" "{source}"')), percent("div_permille"), "query_start", "query_end", _sign(), "subj_end", "subj_start").alias("line"))
+
+
+def polymorphic(hits: DataFrame) -> DataFrame:
+    """The simple repeats likely to differ between individuals: below 10 percent of differences and gaps; for out_table()."""
+    return hits.where((F.col("subj_type") == "Simple_repeat") & (F.col("div_permille") + F.col("del_permille") + F.col("ins_permille") < 100))
+
+
+def gff2(hits: DataFrame, source: str = "strandloom") -> DataFrame:
+    """Similarities with their motif as target, for duplicated segments."""
+    target = F.concat(F.lit('Target "Motif:'), "subj_name", F.lit('" '), "subj_start", F.lit(" "), "subj_end")
+    return hits.select("hit_id", F.concat_ws("\t", "query_name", F.lit(source), F.lit("similarity"), "query_start", "query_end", "score", _sign(), F.lit("."), target).alias("line"))
+
+
 def gff3(hits: DataFrame) -> DataFrame:
     """Features, after a region line for each sequence (rank 0)."""
     body = hits.select("query_name", F.lit(1).alias("rank"), "query_start", F.concat_ws("\t", "query_name", F.lit("strandloom"), F.lit("dispersed_repeat"), "query_start", "query_end", "score", F.when(F.col("orientation") == "C", "-").otherwise("+"), F.lit("."), F.concat(F.lit("Target="), "subj_name", F.lit(" "), "subj_start", F.lit(" "), "subj_end")).alias("line"))
