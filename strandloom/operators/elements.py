@@ -8,8 +8,18 @@ from strandloom.operators.interval import by_position, overlap_pairs
 
 #: Divergence (thousandths) below which an element of a class is younger than a split of species, and above which older.
 SPLITS = {"SINE/Alu": (60, 120), "LINE/L1": (80, 160), "LTR/ERVL": (100, 200)}
-#: Shifts of consensus coordinates into a common frame, by name.
-ANCHORS = {"view_0": 120, "view_1": 250, "view_2": -30}
+# Families of one frame, the chain's start above which they are moved, and what is subtracted
+FRAMES = [
+    ("^MLT2A", 270, -108),
+    ("^MLT2B[12]$", 265, -47),
+    ("^MLT2B5$", 415, 162),
+    ("^MLT2B5$", 180, 116),
+    ("^MLT2C1$", 220, -166),
+    ("^MLT2C2$", 275, -95),
+    ("^MLT2D$", 225, -146),
+    ("^MLT2E$", 520, 65),
+    ("^MLT2F$", 550, 100),
+]
 
 
 def lookup(values: dict, key: Column) -> Column:
@@ -66,18 +76,50 @@ def trimmed_edges(hits: DataFrame, known: int = 4) -> DataFrame:
     return hits.withColumn("query_end", F.when(F.coalesce(give, F.lit(False)), nxt("query_start") - 1).otherwise(F.col("query_end")))
 
 
-def anchored(hits: DataFrame) -> DataFrame:
-    """hits with consensus coordinates in the common frame of their name."""
-    shift = F.coalesce(lookup(ANCHORS, F.col("subj_name")), F.lit(0)).cast("long")
-    return hits.withColumn("subj_start", F.col("subj_start") + shift).withColumn("subj_end", F.col("subj_end") + shift)
+def anchored(hits: DataFrame, shifts: DataFrame, chain_begin: Column | None = None) -> DataFrame:
+    """hits with consensus coordinates in the common frame of their family.
 
+    `shifts` has (name, shift) for families with a place on a longer scaffold, one row a name, and is joined; the families of
+    FRAMES are moved by where their chain begins (by default the hit itself). Others stay.
+    """
+    begin = F.col("subj_start") if chain_begin is None else chain_begin
+    moved = F.lit(0)
+    for pattern, above, less in reversed(FRAMES):
+        moved = F.when(F.col("subj_name").rlike(pattern) & (begin > above), -less).otherwise(moved)
+    named = shifts.select(F.col("name").alias("__name"), F.col("shift").alias("__s"))
+    both = hits.join(named, F.col("subj_name") == F.col("__name"), "left").withColumn("__m", F.coalesce("__s", moved).cast("long"))
+    return both.withColumns({"subj_start": F.col("subj_start") + F.col("__m"), "subj_end": F.col("subj_end") + F.col("__m")}).drop("__name", "__s", "__m")
 
-def ambiguous(hits: DataFrame, points: int = 100, most: int = 3) -> DataFrame:
-    """(query_name, stage, n_close, name): where more than `most` names come close to the best, the class stands for the name."""
-    best = F.max("score").over(Window.partitionBy("query_name", "stage"))
-    close = hits.withColumn("__b", best).where(F.col("score") >= F.col("__b") - points)
-    g = close.groupBy("query_name", "stage").agg(F.count_distinct("subj_name").alias("n_close"), F.max_by("subj_name", F.struct("score", "hit_id")).alias("b"), F.max_by("subj_type", F.struct("score", "hit_id")).alias("t"))
-    return g.select("query_name", "stage", "n_close", F.when(F.col("n_close") > most, F.col("t")).otherwise(F.col("b")).alias("name"))
+
+def ambiguous(hits: DataFrame, group: list[str], generic: Column, points: int = 10, most: int = 10) -> DataFrame:
+    """(group, n_close, name): the best-scoring name, or the generic one where more than `most` others come within `points` of it."""
+    best = F.max("score").over(Window.partitionBy(*group))
+    close = hits.withColumn("__b", best).withColumn("__g", generic).where(F.col("score") >= F.col("__b") - points)
+    g = close.groupBy(*group).agg((F.count(F.lit(1)) - 1).alias("n_close"), F.max_by("subj_name", F.struct("score", "hit_id")).alias("b"), F.max_by("__g", F.struct("score", "hit_id")).alias("t"))
+    return g.select(*group, "n_close", F.when(F.col("n_close") > most, F.col("t")).otherwise(F.col("b")).alias("name"))
+
+
+def without_lone_fragments(hits: DataFrame, linked: Column) -> DataFrame:
+    """hits without those of less than 10 bases that belong to no chain."""
+    return hits.where(linked | (F.col("query_end") - F.col("query_start") + 1 >= 10))
+
+
+def without_fragments(hits: DataFrame, simple: bool = True) -> DataFrame:
+    """hits without those of at most 10 bases, or 5 for simple repeats; with `simple` off, without simple and low-complexity ones."""
+    step = F.col("query_end") - F.col("query_start")
+    kept = hits.where(~(((~F.col("subj_type").contains("Simple")) & (step < 10)) | (step < 5)))
+    return kept if simple else kept.where(~F.col("subj_type").rlike("Low_complexity|Simple_repeat"))
+
+
+def full_length_alu(name: Column, begin: Column, end: Column, left: Column) -> Column:
+    """Whether an element is whole but for its tail: an Alu by its ends' places, any other by what is missing."""
+    return (name.rlike("^Alu") & (begin < 70) & (end > 185)) | ((begin < 6) & (left < 5))
+
+
+def full_length(family: Column, begin: Column, left: Column) -> Column:
+    """Whether an element, by name#class, is whole enough to be cut out: no LINEs; SINEs may lack 19 bases of their tail; no small RNAs' kin."""
+    whole = ((begin < 6) & (left < 5) & ~family.contains("LINE")) | (family.contains("SINE") & (begin < 6) & (left < 20))
+    return whole & ~family.rlike(r"^BC[12]\S+SINE")
 
 
 def display_names(name: Column) -> Column:

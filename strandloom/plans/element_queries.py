@@ -61,14 +61,40 @@ def trimmed_edges(h):
     return E.trimmed_edges(h).select("hit_id", "query_start", "query_end")
 
 
-@query(f"SELECT hit_id, subj_start + coalesce({cases(E.ANCHORS, 'subj_name')}, 0) AS subj_start, subj_end + coalesce({cases(E.ANCHORS, 'subj_name')}, 0) AS subj_end FROM hits")
+FRAMED = ["MLT2A1", "MLT2B1", "MLT2B5", "MLT2C1", "MLT2C2", "MLT2D", "MLT2E", "MLT2F", "L1M1", "MLT2B3"]
+# the start above which each is moved, and by how much
+MOVES = "(VALUES ('MLT2A1', 270, 108), ('MLT2B1', 265, 47), ('MLT2C1', 220, 166), ('MLT2C2', 275, 95), ('MLT2D', 225, 146), ('MLT2E', 520, -65), ('MLT2F', 550, -100), ('L1M1', -1, 300)) m(n, above, move)"
+
+
+@query(
+    f"SELECT hit_id, s + by_ AS subj_start, e + by_ AS subj_end FROM (SELECT hit_id, s, e, CASE WHEN name = 'MLT2B5' THEN CASE WHEN s > 415 THEN -162 WHEN s > 180 THEN -116 ELSE 0 END WHEN s > above THEN move ELSE 0 END AS by_ FROM (SELECT hit_id, {FRAMED}[1 + hit_id % 10] AS name, subj_start + hit_id % 250 AS s, subj_end + hit_id % 250 AS e FROM hits) LEFT JOIN {MOVES} ON n = name)"
+)
 def anchored(h):
-    return E.anchored(h).select("hit_id", "subj_start", "subj_end")
+    at = F.col("hit_id") % 250
+    name = F.element_at(F.array(*map(F.lit, FRAMED)), (F.col("hit_id") % 10 + 1).cast("int"))
+    h = h.withColumns({"subj_name": name, "subj_start": F.col("subj_start") + at, "subj_end": F.col("subj_end") + at})
+    scaffold = h.sparkSession.createDataFrame([("L1M1", 300)], "name string, shift long")
+    return E.anchored(h, scaffold).select("hit_id", "subj_start", "subj_end")
 
 
-@query("SELECT query_name, stage, n_close, CASE WHEN n_close > 3 THEN t ELSE b END AS name FROM (SELECT query_name, stage, count(DISTINCT subj_name) AS n_close, arg_max(subj_name, {'s': score, 'i': hit_id}) AS b, arg_max(subj_type, {'s': score, 'i': hit_id}) AS t FROM (SELECT *, max(score) OVER (PARTITION BY query_name, stage) AS m FROM hits) WHERE score >= m - 100 GROUP BY 1, 2)")
+@query("SELECT query_name, count(*) - 1 AS n_close, CASE WHEN count(*) > 11 THEN arg_max(subj_type, {'s': s, 'i': hit_id}) ELSE arg_max(subj_name, {'s': s, 'i': hit_id}) END AS name FROM (SELECT *, score % 60 AS s, max(score % 60) OVER (PARTITION BY query_name) AS m FROM hits) WHERE s >= m - 10 GROUP BY 1")
 def ambiguous_names(h):
-    return E.ambiguous(h)
+    return E.ambiguous(h.withColumn("score", F.col("score") % 60), ["query_name"], F.col("subj_type"))
+
+
+@query("SELECT hit_id FROM (SELECT *, (query_end - query_start) // 10 AS step, count(*) OVER (PARTITION BY query_name, subj_name) > 20 AS linked FROM hits) WHERE (linked OR step >= 9) AND step >= CASE WHEN subj_type = 'Simple_repeat' THEN 5 ELSE 10 END")
+def small_fragments_out(h):
+    linked = F.count(F.lit(1)).over(Window.partitionBy("query_name", "subj_name")) > 20
+    h = h.withColumn("linked", linked).withColumn("query_end", F.col("query_start") + F.floor((F.col("query_end") - F.col("query_start")) / 10))
+    return E.without_fragments(E.without_lone_fragments(h, F.col("linked"))).select("hit_id")
+
+
+@query("""SELECT hit_id, CASE WHEN subj_type = 'SINE/Alu' AND subj_start < 70 AND subj_end > 185 THEN true ELSE subj_start < 6 AND subj_remaining < 5 END AS whole_alu,
+  CASE split_part(subj_type, '/', 1) WHEN 'LINE' THEN false WHEN 'SINE' THEN subj_start < 6 AND subj_remaining < 20 ELSE subj_start < 6 AND subj_remaining < 5 END AS whole FROM hits""")
+def full_length(h):
+    name = F.when(F.col("subj_type") == "SINE/Alu", F.concat(F.lit("Alu"), "subj_name")).otherwise(F.col("subj_name"))
+    c = F.col
+    return h.select("hit_id", E.full_length_alu(name, c("subj_start"), c("subj_end"), c("subj_remaining")).alias("whole_alu"), E.full_length(F.concat(name, F.lit("#"), "subj_type"), c("subj_start"), c("subj_remaining")).alias("whole"))
 
 
 @query("SELECT hit_id, CAST(r AS BIGINT) AS new_id FROM hits JOIN (SELECT subj_name, dense_rank() OVER (ORDER BY subj_name) AS r FROM (SELECT DISTINCT subj_name FROM hits)) USING (subj_name)")

@@ -306,24 +306,11 @@ def pre_mask_filter(h):
     return h.where(~S.pre_mask_drop(name, F.col("subj_start") + 700, F.col("subj_end") + 700, F.col("score"))).select("hit_id")
 
 
-@query("SELECT hit_id, subj_start, subj_end FROM hits WHERE subj_type LIKE 'SINE%' AND ((subj_start < 70 AND subj_end > 185) OR (subj_start < 6 AND subj_remaining < 5)) OR (subj_type NOT LIKE 'LINE%' AND subj_start < 6 AND subj_remaining < 20)")
-def full_length(h):
-    sine = F.col("subj_type").like("SINE%") & (((F.col("subj_start") < 70) & (F.col("subj_end") > 185)) | ((F.col("subj_start") < 6) & (F.col("subj_remaining") < 5)))
-    return h.where(sine | (~F.col("subj_type").like("LINE%") & (F.col("subj_start") < 6) & (F.col("subj_remaining") < 20))).select("hit_id", "subj_start", "subj_end")
-
-
 @query(f"SELECT hit_id FROM hits WHERE score BETWEEN 300 AND 2000 AND {LEN} >= 50 AND div_permille < 250")
 def range_filters(h):
     return h.where(F.col("score").between(300, 2000) & (report.length() >= 50) & (F.col("div_permille") < 250)).select("hit_id")
 
 
-@query(f"SELECT hit_id FROM (SELECT *, count(*) OVER (PARTITION BY query_name, subj_name) AS n FROM hits) WHERE NOT (({LEN} < 25 AND subj_type <> 'Simple_repeat' AND n = 1) OR {LEN} < 22)")
-def small_fragments_out(h):
-    alone = F.count(F.lit(1)).over(Window.partitionBy("query_name", "subj_name")) == 1
-    n = report.length()
-    return h.withColumn("__a", alone).where(~(((n < 25) & (F.col("subj_type") != "Simple_repeat") & F.col("__a")) | (n < 22))).select("hit_id")
-
-
 @query("SELECT hit_id, string_split(subj_type, '/')[1] AS class, coalesce(string_split(subj_type, '/')[2], '') AS subclass, CASE WHEN contains(subj_type, '?') THEN 0 ELSE 1 END AS sure FROM hits")
 def class_parts(h):
     p = F.split("subj_type", "/")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import scalar as S
 from strandloom.functions.graph_groups import GRAPH_GROUPS
-from strandloom.operators import greedy, report
+from strandloom.operators import elements as E, greedy, report
 
 
 def one(spark, *columns):
@@ -81,3 +81,26 @@ def test_resolved_overlaps(spark, mode):
     key = {"score": lambda r: -r[3], "length": lambda r: r[1] - r[2], "divergence": lambda r: 1010 if r[5] == "Simple_repeat" else r[4]}[mode]
     got = sorted((x["hit_id"], x["query_start"], x["query_end"]) for x in greedy.resolve_overlaps(h, mode).collect())
     assert got == brute_resolve(rows, key)
+
+
+def test_whole_elements_and_fragments(spark):
+    alu = lambda n, a, b, r: E.full_length_alu(F.lit(n), F.lit(a), F.lit(b), F.lit(r))
+    assert one(spark, alu("AluY", 69, 186, 99), alu("AluY", 69, 185, 99), alu("FLAM", 5, 90, 4), alu("B1", 69, 186, 99)) == (True, False, True, False)
+    cut = lambda n, a, r: E.full_length(F.lit(n), F.lit(a), F.lit(r))
+    assert one(spark, cut("MER5A#DNA/hAT", 5, 4), cut("MER5A#DNA/hAT", 5, 5), cut("L1#LINE/L1", 1, 0), cut("B2#SINE/B2", 5, 19), cut("B2#SINE/B2", 6, 0), cut("BC1_MM#SINE", 1, 0)) == (True, False, False, True, False, False)
+    rows = [(1, 9, "DNA"), (1, 10, "DNA"), (1, 11, "DNA"), (1, 6, "Simple_repeat"), (1, 5, "Simple_repeat"), (1, 50, "Low_complexity")]
+    h = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "hit_id int, query_start int, query_end int, subj_type string")
+    ids = lambda d: sorted(r.hit_id for r in d.collect())
+    assert ids(E.without_lone_fragments(h, F.lit(False))) == [1, 2, 5] and ids(E.without_lone_fragments(h, F.col("hit_id") == 0)) == [0, 1, 2, 5]
+    assert ids(E.without_fragments(h)) == [2, 3, 5] and ids(E.without_fragments(h, simple=False)) == [2]
+
+
+def test_frames_and_names(spark):
+    rows = [("MLT2A2", 270, 0), ("MLT2A2", 271, 108), ("MLT2B5", 180, 0), ("MLT2B5", 181, -116), ("MLT2B5", 416, -162), ("MLT2B12", 999, 0), ("MLT2F", 551, -100), ("L1M1", 10, 300), (None, 10, 0)]
+    h = spark.createDataFrame([(k, n, s, s + 5) for k, (n, s, _) in enumerate(rows)], "hit_id int, subj_name string, subj_start long, subj_end long")
+    shifts = spark.createDataFrame([("L1M1", 300)], "name string, shift long")
+    found = {r.hit_id: r.subj_start for r in E.anchored(h, shifts).collect()}
+    assert found == {k: s + m for k, (_, s, m) in enumerate(rows)}
+    close = spark.createDataFrame([(1, k, f"Alu{k}", 90 + k) for k in range(12)] + [(2, k, f"Alu{k}", 89 + k) for k in range(12)], "g int, hit_id int, subj_name string, score int")
+    assert sorted(tuple(r) for r in E.ambiguous(close, ["g"], F.lit("Alu")).collect()) == [(1, 10, "Alu11"), (2, 10, "Alu11")]
+    assert sorted(tuple(r) for r in E.ambiguous(close, ["g"], F.lit("Alu"), points=11).collect()) == [(1, 11, "Alu"), (2, 11, "Alu")]
