@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from strandloom.llm import fingerprints, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, token_counts, token_files, topk
+from strandloom.llm import filter_audit, fingerprints, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, substring_dedup, token_counts, token_files, topk, whitening
 from strandloom.llm.common import crc32_text, table
 from strandloom.session import shipped
 
@@ -57,10 +57,31 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.long_form(whitening.whiten(table(spark, sf_dir, "embeddings")))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: shipped(f) for f in (op1_mix_sources, op2_near_duplicates, op3_identify_languages, op4_scan_licenses, op5_pack_documents, op6_count_tokens, op7_score_lm, op8_top_k, op9_fingerprint_documents, op10_token_files)}
+    numbered = (
+        op1_mix_sources, op2_near_duplicates, op3_identify_languages, op4_scan_licenses, op5_pack_documents, op6_count_tokens, op7_score_lm,
+        op8_top_k, op9_fingerprint_documents, op10_token_files, op11_substring_dedup, op12_filter_audit, op13_whiten_embeddings,
+    )
+    found = {f.__name__: shipped(f) for f in numbered}
     return found | {"pipeline": shipped(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_scan_licenses": license_scan.scan_sql(), "op8_top_k": topk.top_k_sql()}
+    return {
+        "op4_scan_licenses": license_scan.scan_sql(), "op8_top_k": topk.top_k_sql(),
+        "op11_substring_dedup": substring_dedup.remove_repeats_sql(), "op12_filter_audit": filter_audit.audit_sql(),
+    }
