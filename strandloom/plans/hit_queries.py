@@ -275,17 +275,6 @@ def buffers_and_rna_out(h):
     return h.where(~F.col("subj_name").contains("error") & ~F.col("subj_type").rlike("RNA$")).select("hit_id", "subj_name")
 
 
-RULES = [("^SINE", 300, 0, 200), ("^LINE", 500, 0, 350), ("^LTR", 400, 50, 350), (".*", 250, 0, 300)]
-
-
-@query(f"SELECT hit_id, min(rule) AS rule FROM (SELECT hit_id, rule FROM hits, (VALUES {', '.join(f'''({i}, '{p}', {s}, {a}, {b})''' for i, (p, s, a, b) in enumerate(RULES))}) r(rule, pattern, least, a, b) WHERE regexp_matches(subj_type, pattern) AND score >= least AND div_permille BETWEEN a AND b) GROUP BY 1")
-def rule_filters(h):
-    found = F.lit(None).cast("int")
-    for i, (p, s, a, b) in reversed(list(enumerate(RULES))):
-        found = F.when(F.col("subj_type").rlike(p) & (F.col("score") >= s) & F.col("div_permille").between(a, b), i).otherwise(found)
-    return h.select("hit_id", found.alias("rule")).where("rule is not null")
-
-
 #: Names of simple repeats, and of families with a rule before mask levels, in the place of the view's.
 UNITS, FAMILIES_BEFORE = ["(CA)n", "(GAAA)n", "(A)n", "(TTAGGG)n", "(GA)n", "TTTTTTAAAAA", "Satellite"], ["SVA_A", "SVA_F", "LAVA_B", "AluY"]
 
