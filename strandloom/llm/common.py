@@ -55,6 +55,18 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, keys: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the keys in one struct, so that no name of theirs meets one of an operator's own; and the way back."""
+    others = [c for c in docs.columns if c not in keys]
+    own = [c for c in keys if c in docs.columns]
+    base = docs.select(*own, F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in others)).alias("__rest")) if others else docs.select(*own)
+
+    def restored(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c) if c in own else F.col("__rest").getField(c).alias(c) for c in docs.columns))
+
+    return base, restored
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -119,10 +131,10 @@ FILTER_BITS = 1 << 20
 def may_hold(df: DataFrame, probe: Column, ids: DataFrame, column: str, out: str) -> DataFrame:
     """df with a flag that is true for every probe among the ids, and for few others while the ids are few.
 
-    A bitmap of fixed size, joined by broadcast, so that rows which can't have a partner needn't be shuffled; an exact
+    Both are of one type, whichever. A bitmap of fixed size, joined by broadcast, so that rows which can't have a partner needn't be shuffled; an exact
     join must follow.
     """
-    spread = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS))
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bit = lambda c: c.bitwiseAND(31).cast("int")
     at = ids.select(spread(F.col(column)).alias("__at"))
     words = at.groupBy((F.col("__at") - F.pmod("__at", F.lit(32))).alias("__w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("__at")))).alias("__v"))

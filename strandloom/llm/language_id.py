@@ -6,12 +6,14 @@ the largest margin wins. Within it, one machine for each pair of its languages v
 wins, ties going to the larger sum of margins and then to the name.
 
 Learning. The machines learn from at most PER_LANGUAGE rows of each language, and SAMPLE_ROWS in all, those with the least
-hash of their id, whole texts, held-out rows excluded: what the driver holds is SAMPLE_ROWS vectors of 2^BITS floats (131 MB).
+hash of their id and text, whole texts, held-out rows excluded, rows that repeat once: what the driver holds is SAMPLE_ROWS vectors of 2^BITS floats (131 MB).
 Only rows whose hash is low enough for their language's count are ranked, so a language with a third of all rows is no
 large task. Families are a table of codes; a code that it lacks is a family of its own.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; if nothing can be learned, all texts are;
-one learned language is predicted for every text with letters, with score 1; rows that repeat are predicted each;
+one learned language is predicted for every text with letters, with score 1; rows that repeat are predicted each; rows
+without an id are of no known fold, so none of them is learned from; of more than MOST_LANGUAGES labels those of most rows
+are learned, the first by name of equals;
 other columns of the input don't matter to predict(), and keep_identified() keeps them, with the predicted language in
 the column `lang` where there is one.
 """
@@ -167,31 +169,32 @@ class Model:
 
 def fit(docs: DataFrame, folds: int | None = 5, held_out: int = 0) -> Model:
     """A model from the bounded sample of labelled rows; rows of the held-out fold take no part."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     if folds:
-        rows = rows.where(crc32_text(F.col("doc_id")) % folds != held_out)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in the labels")
+        rows = rows.where(F.col("doc_id").isNotNull() & (crc32_text(F.col("doc_id")) % folds != held_out))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    each = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("kinds"))
+    counts = {r["lang"]: r["kinds"] for r in each.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     most = min(PER_LANGUAGE, SAMPLE_ROWS // max(1, len(counts)))
     # the share of the hashes' range that holds a few more than `most` of a language's rows
     spark = docs.sparkSession
-    shares = spark.createDataFrame([(lang, min(1.0, (2 * most + 100) / n)) for lang, n in counts.items()], "__lang string, __share double")
-    low = (F.shiftright(F.xxhash64("doc_id"), 32) / float(1 << 32) + 0.5) <= F.col("__share")
-    near = rows.select("doc_id", "lang").join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(low)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = near.select("doc_id", "lang").withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most).select("doc_id", "lang").distinct().collect()
-    langs = sorted({r["lang"] for r in chosen})
+    shares = spark.createDataFrame([(lang, min(1.0, (2 * most + 100) / max(1, n))) for lang, n in counts.items()], "__lang string, __share double")
+    low = (F.shiftright("h", 32) / float(1 << 32) + 0.5) <= F.col("__share")
+    near = rows.select("lang", "h").join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(low).select("lang", "h").distinct()
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "h").collect()
     if not chosen:
         return Model()
     # SAMPLE_ROWS rows at most
-    picked = F.broadcast(spark.createDataFrame([(r["doc_id"], r["lang"]) for r in chosen], docs.select("doc_id", "lang").schema))
+    picked = F.broadcast(spark.createDataFrame([(r["lang"], r["h"]) for r in chosen], "lang string, h long"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(features(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packed(features(t)) for t in batch.column(2).to_pylist()], pa.binary())], ["lang", "h", "x"])
 
-    sample = rows.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(describe, "lang string, x binary").limit(most * len(langs)).collect()
+    # rows that repeat have one hash and one text
+    described = rows.join(picked, ["lang", "h"], "left_semi").select("lang", "h", "text").mapInArrow(describe, "lang string, h long, x binary")
+    sample = described.groupBy("lang", "h").agg(F.first("x").alias("x")).collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["x"])))  # the same model whatever the order of rows
     x = np.zeros((len(sample), (1 << BITS) + 1), np.float32)
     x[:, -1] = 1

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.llm.common import clip, cut, leaves_no_memory, n_words, slices
+from strandloom.llm.common import clip, cut, leaves_no_memory, n_words, packed, slices
 
 WEIGHTS, CAP = (5.0, 2.0, 1.0), 3.0
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 1 << 14, 20240607
@@ -221,6 +221,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap=CAP, block_words=BLOCK
     A row's text is the document's words that the epoch takes, with the white space between them; spans that don't
     touch are joined by a line end. A document that an epoch takes whole keeps its text as it is. n_chars follows.
     """
+    docs, restored = packed(docs, ["doc_id", "text", "source", "n_chars"])
     rows, slots = plan(docs, weights, cap, block_words, seed)
     # rows of one key are numbered alike on both sides; those that agree in id, text and source may stand for one another
     key = F.xxhash64("doc_id", "__h", "source").alias("__key")
@@ -254,4 +255,4 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap=CAP, block_words=BLOCK
             new = {"text": out, "n_chars": [len(x) for x in out]}
             yield pa.RecordBatch.from_arrays([pa.array(new[c], kept.schema.field(c).type) if c in new else kept.column(c) for c in names], schema=kept.schema)
 
-    return both.mapInArrow(build, docs.schema)
+    return restored(both.mapInArrow(build, docs.schema))

@@ -19,10 +19,11 @@ are compared: in buckets of at most CHUNK nodes pair by pair, in larger ones blo
 bucket's largest component are dealt into blocks, and so are those inside; each block of the former meets all other
 blocks of its bucket, and one task counts the shared shingles of two blocks at once. So every two nodes that meet in a
 band are compared or known to be of one component. Components come from links by minimum labels with pointer jumping, in
-checkpointed rounds. No bucket, chunk or component is held by one task or the driver.
+checkpointed rounds. No bucket, chunk or component is held by one task or the driver; joins by bucket deal both sides anew,
+so that adaptive execution splits a bucket that is much larger than others.
 
 Defined cases: texts without words are alike only if equal, null counts as empty; rows that repeat belong to one
-class; the class id is the least doc_id of the class (null only if all are); other columns of the input don't matter
+class; the class id is the least doc_id of the class (null only if all are); ids may be of any type that can be ordered; other columns of the input don't matter
 to classes(), and deduplicate() keeps them.
 """
 
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from strandloom.llm.common import cut, leaves_no_memory, may_hold, slices, stored
+from strandloom.llm.common import cut, leaves_no_memory, may_hold, packed, slices, stored
 
 WORDS, SIMILARITY = 5, (4, 5)
 REGISTERS, BANDS, ROWS = 48, 16, 3
@@ -340,7 +341,7 @@ def block_links(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFr
     buckets = each.groupBy("band", "h").agg(F.max(F.struct("c", "comp", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("main.c < c")
     parts = lambda c, s: F.ceil(F.greatest(c / BLOCK_NODES, s / BLOCK_SHINGLES)).cast("int")
     buckets = buckets.select("band", "h", F.col("main.comp").alias("main"), parts(F.col("main.c"), F.col("main.s")).alias("inner"), parts(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("outer"))
-    rows = placed.join(buckets, ["band", "h"]).withColumn("inside", F.col("comp") == F.col("main"))
+    rows = placed.join(cut(buckets), ["band", "h"]).withColumn("inside", F.col("comp") == F.col("main"))
     rows = rows.withColumn("p", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     row = lambda inside, i, j, side: F.struct(F.lit(inside).alias("inside"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
@@ -360,6 +361,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, shared: DataFrame | None, bit
     nodes = rows.groupBy("node", "even").agg(F.min("doc_id").alias("id"), *(F.first(n).alias(n) for n in names))
     each = nodes.select("node", "id", F.posexplode(F.array(*names)).alias("band", "h")).where("h is not null")
     counts = each.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+    counts = stored(counts, "buckets")  # so that both sides are dealt for the join, and Spark can split a bucket of many nodes
     members = stored(each.join(counts, ["band", "h"]), "members")  # of buckets with more than one node
     wanted = stored(members.select("node", "id").distinct(), "candidates")
     sets = stored(shingle_sets(docs, wanted, shared, bits).withColumn("size", F.length("sh") / 8), "shingles")
@@ -398,6 +400,7 @@ def with_classes(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each class the one of least doc_id (of rows that repeat, one)."""
+    docs, restored = packed(docs, ["doc_id", "text"])
     found, shared = with_classes(docs)
     found = stored(found, "classes")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
@@ -422,4 +425,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     if kept.where("n > 1").limit(1).count():
         keyed = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("doc_id"))).where("__r = 1").drop("__r")
     on = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__node") == F.col("__k"))
-    return flagged.where(~unsure).select(*names).unionByName(keyed.join(kept, on, "left_semi").select(*names))
+    return restored(flagged.where(~unsure).select(*names).unionByName(keyed.join(kept, on, "left_semi").select(*names)))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandloom.llm import language_id, mixing, near_dedup, packing
@@ -80,3 +81,38 @@ def test_pieces_with_clashing_names(spark):
     pieces = spark.createDataFrame([(1, 5, "a", "b"), (2, 7, "c", "d")], "i int, length int, offset string, sequence_id string")
     got = packing.pack(pieces, ["i"], 16)
     assert got.columns == ["i", "length", "sequence_id", "offset"] and got.count() == 2
+
+
+def test_columns_named_as_the_operators_own(spark, odd):
+    names = ["__h", "__key", "__no", "__node", "__check", "__i", "__may", "__rest", "__p"]
+    clashing = odd
+    for k, name in enumerate(names):
+        clashing = clashing.withColumn(name, F.lit(k))
+    for stage in (near_dedup.deduplicate, mixing.mixed_documents):
+        made = stage(clashing)
+        assert made.columns == clashing.columns
+        rows = made.collect()
+        assert rows and all([r[n] for n in names] == list(range(len(names))) for r in rows)
+        plain = stage(odd).collect()
+        assert sorted(str(r[: len(odd.columns)]) for r in rows) == sorted(str(tuple(r)) for r in plain)
+
+
+def test_ids_of_other_types(spark, odd):
+    texts = odd.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    name = lambda i: None if i is None else f"d{i:04d}"
+    want = sorted((str(name(r["doc_id"])), str(name(r["class_id"]))) for r in near_dedup.classes(odd).collect())
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_dedup.classes(texts).collect()) == want
+    assert sorted(str(r["doc_id"]) for r in near_dedup.deduplicate(texts).collect()) == sorted(str(name(r["doc_id"])) for r in near_dedup.deduplicate(odd).collect())
+
+
+def test_languages_of_repeated_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("doc_id", "text", "lang").limit(100)
+    many = docs.crossJoin(spark.range(20)).drop("id")
+    told = lambda learned: {r["lang_pred"] for r in language_id.predict(docs, language_id.fit(learned)).collect()}
+    assert len(told(many)) > 2
+    assert len(told(many.withColumn("doc_id", F.lit(1)))) > 2
+    assert told(many.withColumn("doc_id", F.lit(None).cast("long"))) == {"und"}
+    # more languages than can be learned: those of most rows
+    labelled = docs.withColumn("lang", F.when(F.col("lang") == "en", "en").otherwise(F.concat(F.lit("x"), F.col("doc_id"))))
+    lots = labelled.unionByName(spark.range(1000, 1400).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of a"), F.col("id")).alias("text"), F.concat(F.lit("y"), F.col("id")).alias("lang")))
+    assert "en" in told(lots)
