@@ -67,7 +67,7 @@ def mask_level(hits: DataFrame, value: int) -> DataFrame:
 
 
 def tail_level(hits: DataFrame, value: int) -> DataFrame:
-    """As mask_level(), but a hit counts by its longer tail beyond a kept one, and an exact tie with the limit stays."""
+    """As mask_level(), but a hit counts by both its tails beyond a kept one together, and an exact tie with the limit stays."""
     if value >= 101:
         return hits
 
