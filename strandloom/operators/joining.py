@@ -129,3 +129,9 @@ def joined_chains(hits: DataFrame, allowed: DataFrame, slice_rows: int = folds.S
     """hits with chain: the least hit_id of the chain."""
     found = components(joined_links(hits, allowed, slice_rows)).withColumnsRenamed({"id": "__id", "component": "__c"})
     return hits.join(found, F.col("hit_id") == F.col("__id"), "left").withColumn("chain", F.coalesce("__c", "hit_id")).drop("__id", "__c")
+
+
+def with_heads(hits: DataFrame, made: DataFrame) -> DataFrame:
+    """hits with is_head: whether nothing is linked to it from its left, so that it stands for its element in counts."""
+    rights = made.select(F.col("partner_id").alias("__p"), F.lit(True).alias("__linked"))
+    return hits.join(rights, F.col("hit_id") == F.col("__p"), "left").withColumn("is_head", F.col("__linked").isNull()).drop("__p", "__linked")

@@ -114,3 +114,8 @@ def stream_clusters(spark, sf_dir):
     start = 1 + (F.col("event_id") * 7919 + F.col("user_id") * 104729) % 20000
     found = e.select(F.concat(F.lit("chr"), F.col("user_id")).alias("query_name"), start.alias("query_start"), (start + 19 + (F.col("event_id") * 31) % 280).alias("query_end"))
     return windows.run_once(windows.clustered(found), "update")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, sf_dir):
+    return windows.run_once(windows.first_seen(windows.event_stream(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"), "append")

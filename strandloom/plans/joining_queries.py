@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.operators import joining, pair_scores as P
+from strandloom.operators import joining, pair_scores as P, report
 from strandloom.plans.pair_queries import named
 from strandloom.plans.views import HITS, hits
 
@@ -46,6 +46,12 @@ def joined_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joining.joined_chains(pieces(spark, sf_dir), allowed(spark)).select("hit_id", "chain")
 
 
+def element_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements, not pieces, and newly covered bases of each class."""
+    h = pieces(spark, sf_dir)
+    return report.class_coverage(joining.with_heads(h, joining.joined_links(h, allowed(spark))), F.col("is_head"))
+
+
 CASES = """CASE WHEN subj_type = 'SINE/Alu' THEN ['AluSx', 'AluSx1', 'AluY', 'MIR3', 'MIR3b'][1 + hit_id % 5] WHEN subj_type = 'LTR/ERVL' THEN ['MLT1A', 'MSTC', 'THE1B', 'MER21A', 'HERVL-int'][1 + hit_id % 5]
   WHEN subj_type = 'DNA/hAT-Charlie' THEN ['MER5A', 'MER5B', 'Charlie1', 'Charlie1a', 'Tigger1'][1 + hit_id % 5] WHEN subj_type = 'LINE/L1' THEN ['L1PA2_3end', 'L1PA2_5end', 'L1M1_orf2', 'L1M2_3end', 'HAL1'][1 + hit_id % 5] ELSE subj_name END"""
 PIECES_SQL = f"""pieces AS (SELECT * REPLACE ({CASES} AS subj_name, CASE WHEN subj_type = 'LTR/ERVL' AND hit_id % 5 < 3 THEN 'LTR/ERVL-MaLR' WHEN subj_type = 'SINE/Alu' AND hit_id % 5 >= 3 THEN 'SINE/MIR' ELSE subj_type END AS subj_type),
@@ -111,3 +117,9 @@ QUERIES["joined_chains"] = (
     f"""{ALL}, path AS (SELECT hit_id AS root, hit_id FROM hits WHERE hit_id NOT IN (SELECT partner_id FROM links) UNION ALL SELECT p.root, l.partner_id FROM path p JOIN links l ON l.hit_id = p.hit_id)
 SELECT hit_id, min(hit_id) OVER (PARTITION BY root) AS chain FROM path""",
 )
+QUERIES["element_coverage"] = (
+    element_coverage,
+    f"""{ALL}, n AS (SELECT subj_type, hit_id NOT IN (SELECT partner_id FROM links) AS head, greatest(0, query_end - greatest(query_start - 1,
+  coalesce(max(query_end) OVER (PARTITION BY query_name ORDER BY query_start, query_end DESC, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS new_bp FROM pieces)
+SELECT subj_type, count(*) FILTER (head) AS n_hits, CAST(sum(new_bp) AS BIGINT) AS bp FROM n GROUP BY 1""",
+)

@@ -30,6 +30,11 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "30 minutes")
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """The first event of each key; the key is forgotten once the watermark is `late` beyond it, so that the state stays bounded."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
 def clustered(hits: DataFrame) -> DataFrame:
     """Per sequence the number of hits, their outer range and the clusters of overlapping ones so far, kept as state across batches."""
 
