@@ -135,3 +135,86 @@ def with_heads(hits: DataFrame, made: DataFrame) -> DataFrame:
     """hits with is_head: whether nothing is linked to it from its left, so that it stands for its element in counts."""
     rights = made.select(F.col("partner_id").alias("__p"), F.lit(True).alias("__linked"))
     return hits.join(rights, F.col("hit_id") == F.col("__p"), "left").withColumn("is_head", F.col("__linked").isNull()).drop("__p", "__linked")
+
+
+# Bases of the query that pieces share, or lie apart, to be one; bases of the consensus; percent that a merge may lose
+LEAST_SHARED, MOST_APART, MOST_CONSENSUS, MOST_SHARED, MOST_LOST = 33, 10, 100, 20, 50
+PIECE = ["query_start", "query_end", "hit_id", "subj_start", "subj_end", "subj_remaining", "subj_name", "orientation", "stage", "score", "div", "del", "ins"]
+
+
+def shares(a: dict, b: dict) -> tuple[int, int]:
+    """Bases of the query and of the consensus that a piece and the next one share; negative: bases between."""
+    query = min(a["query_end"], b["query_end"]) - max(a["query_start"], b["query_start"]) + 1
+    return query, (b["subj_end"] - a["subj_start"] if a["orientation"] == "C" else a["subj_end"] - b["subj_start"]) + 1
+
+
+def joint_levels(a: dict, b: dict) -> dict[str, float]:
+    """Divergence, deletions and insertions (percent, two decimals) of two pieces as one.
+
+    What they share of the query counts for the less diverged; if that is little, consensus bases that both have are an
+    insertion, and those that neither has a deletion.
+    """
+    query, consensus = shares(a, b)
+    less, more = (a, b) if a["div"] <= b["div"] else (b, a)
+    size = lambda x: x["query_end"] - x["query_start"] + 1
+    sums = {c: size(less) * less[c] + (size(more) - query) * more[c] for c in ("div", "del", "ins")}
+    if query <= MOST_APART:
+        step = (consensus - query) * 100
+        sums["ins" if step > 0 else "del"] += abs(step)
+    whole = max(1, size(a) + size(b) - query)
+    return {c: float(f"{v / whole:.2f}") for c, v in sums.items()}
+
+
+def one_piece(a: dict, b: dict) -> dict:
+    """Two pieces as one: the outer range, the better one's score and name; the consensus of both, unless that is over twice the query."""
+    out = a | joint_levels(a, b) | {"query_start": min(a["query_start"], b["query_start"]), "query_end": max(a["query_end"], b["query_end"])}
+    low, high = min(a["subj_start"], b["subj_start"]), max(a["subj_end"], b["subj_end"])
+    better = b if a["score"] < b["score"] else a
+    if high - low + 1 > 2 * (out["query_end"] - out["query_start"] + 1):
+        out |= {c: better[c] for c in ("subj_start", "subj_end", "subj_remaining")}
+    else:
+        out |= {"subj_start": low, "subj_end": high, "subj_remaining": (b if a["subj_end"] < b["subj_end"] else a)["subj_remaining"]}
+    return out | {"score": better["score"], "subj_name": better["subj_name"], "n_pieces": a["n_pieces"] + b["n_pieces"]}
+
+
+def merges(a: dict, b: dict) -> bool:
+    query, consensus = shares(a, b)
+    if -query > MOST_APART:
+        return False
+    if a["query_end"] - b["query_start"] + 1 > LEAST_SHARED:
+        return True
+    near = a["stage"] == b["stage"] and consensus >= -MOST_CONSENSUS and (consensus <= MOST_SHARED or (query > 0 and consensus - query <= MOST_SHARED))
+    return near and joint_levels(a, b)["del"] <= MOST_LOST
+
+
+def merged_pieces(hits: DataFrame, made: DataFrame) -> DataFrame:
+    """Hits after linked neighbours that overlap or nearly touch have become one: the columns of PIECE, and n_pieces.
+
+    Goes along each chain; a merged hit meets the next piece as it is then, and keeps the first one's hit_id. hits: with
+    `del` and `ins` in percent. Chains are elements, of few pieces; hits outside chains stay as they are.
+    """
+    found = components(made).withColumnsRenamed({"id": "__id", "component": "__c"})
+    linked = hits.join(found, F.col("hit_id") == F.col("__id"), "left")
+    order = F.struct(F.col("query_start").alias("__a"), (-F.col("query_end")).alias("__b"), (-F.col("score")).alias("__s"), F.col("hit_id").alias("__i"), *PIECE)
+    chains = linked.where("__c is not null").groupBy("__c").agg(F.sort_array(F.collect_list(order)).alias("pieces"))
+    fields = {c: hits.schema[c].dataType.simpleString() for c in PIECE} | {"div": "double", "del": "double", "ins": "double", "n_pieces": "int"}
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for pieces in batch.column(0).to_pylist():
+                held = None
+                for p in pieces:
+                    p = {c: p[c] for c in PIECE} | {"n_pieces": 1}
+                    if held and merges(held, p):
+                        held = one_piece(held, p)
+                        continue
+                    out += [held] if held else []
+                    held = p
+                out.append(held)
+            kinds = batch.schema.field(0).type.value_type
+            of = lambda c: pa.int32() if c == "n_pieces" else kinds.field(c).type  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], of(c)) for c in fields], list(fields))
+
+    single = linked.where("__c is null").select(*PIECE, F.lit(1).cast("int").alias("n_pieces"))
+    return chains.select("pieces").mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in fields.items())).unionByName(single)

@@ -52,6 +52,12 @@ def element_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.class_coverage(joining.with_heads(h, joining.joined_links(h, allowed(spark))), F.col("is_head"))
 
 
+def merged_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits after linked neighbours have become one."""
+    h = pieces(spark, sf_dir).withColumns({"del": F.col("del_permille") / 10, "ins": F.col("ins_permille") / 10})
+    return joining.merged_pieces(h, joining.joined_links(h, allowed(spark))).drop("orientation", "stage")
+
+
 CASES = """CASE WHEN subj_type = 'SINE/Alu' THEN ['AluSx', 'AluSx1', 'AluY', 'MIR3', 'MIR3b'][1 + hit_id % 5] WHEN subj_type = 'LTR/ERVL' THEN ['MLT1A', 'MSTC', 'THE1B', 'MER21A', 'HERVL-int'][1 + hit_id % 5]
   WHEN subj_type = 'DNA/hAT-Charlie' THEN ['MER5A', 'MER5B', 'Charlie1', 'Charlie1a', 'Tigger1'][1 + hit_id % 5] WHEN subj_type = 'LINE/L1' THEN ['L1PA2_3end', 'L1PA2_5end', 'L1M1_orf2', 'L1M2_3end', 'HAL1'][1 + hit_id % 5] ELSE subj_name END"""
 PIECES_SQL = f"""pieces AS (SELECT * REPLACE ({CASES} AS subj_name, CASE WHEN subj_type = 'LTR/ERVL' AND hit_id % 5 < 3 THEN 'LTR/ERVL-MaLR' WHEN subj_type = 'SINE/Alu' AND hit_id % 5 >= 3 THEN 'SINE/MIR' ELSE subj_type END AS subj_type),
@@ -123,3 +129,21 @@ QUERIES["element_coverage"] = (
   coalesce(max(query_end) OVER (PARTITION BY query_name ORDER BY query_start, query_end DESC, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS new_bp FROM pieces)
 SELECT subj_type, count(*) FILTER (head) AS n_hits, CAST(sum(new_bp) AS BIGINT) AS bp FROM n GROUP BY 1""",
 )
+LEVEL = lambda c, more: f"CAST(format('{{:.2f}}', (CASE WHEN w.div <= x.div THEN (w.qe - w.qs + 1) * w.{c} + (x.qe - x.qs + 1 - q) * x.{c} ELSE (x.qe - x.qs + 1) * x.{c} + (w.qe - w.qs + 1 - q) * w.{c} END + {more}) / greatest(1, w.qe - w.qs + 1 + x.qe - x.qs + 1 - q)) AS DOUBLE)"
+MERGED = f"""path AS (SELECT hit_id AS root, hit_id, CAST(1 AS BIGINT) AS k FROM hits WHERE hit_id IN (SELECT hit_id FROM links) AND hit_id NOT IN (SELECT partner_id FROM links) UNION ALL SELECT p.root, l.partner_id, p.k + 1 FROM path p JOIN links l ON l.hit_id = p.hit_id),
+x AS (SELECT root, k, path.hit_id, query_start AS qs, query_end AS qe, subj_start AS ss, subj_end AS se, subj_remaining AS rest, subj_name AS name, orientation AS o, stage, score, div, CAST(del_permille AS DOUBLE) / 10 AS del, CAST(ins_permille AS DOUBLE) / 10 AS ins FROM path JOIN pieces p ON p.hit_id = path.hit_id),
+w(root, k, hit_id, qs, qe, ss, se, rest, name, o, stage, score, div, del, ins, n, fresh) AS (SELECT root, k, hit_id, qs, qe, ss, se, rest, name, o, stage, score, div, del, ins, 1, true FROM x WHERE k = 1
+  UNION ALL SELECT root, k2, CASE WHEN m THEN hit_id ELSE hit2 END, CASE WHEN m THEN least(qs, qs2) ELSE qs2 END, CASE WHEN m THEN greatest(qe, qe2) ELSE qe2 END,
+   CASE WHEN NOT m THEN ss2 WHEN far THEN CASE WHEN score < score2 THEN ss2 ELSE ss END ELSE least(ss, ss2) END, CASE WHEN NOT m THEN se2 WHEN far THEN CASE WHEN score < score2 THEN se2 ELSE se END ELSE greatest(se, se2) END,
+   CASE WHEN NOT m THEN rest2 WHEN far THEN CASE WHEN score < score2 THEN rest2 ELSE rest END WHEN se < se2 THEN rest2 ELSE rest END, CASE WHEN NOT m OR score < score2 THEN name2 ELSE name END, CASE WHEN m THEN o ELSE o2 END, CASE WHEN m THEN stage ELSE stage2 END,
+   CASE WHEN m THEN greatest(score, score2) ELSE score2 END, CASE WHEN m THEN d1 ELSE div2 END, CASE WHEN m THEN d2 ELSE del2 END, CASE WHEN m THEN d3 ELSE ins2 END, CASE WHEN m THEN n + 1 ELSE 1 END, NOT m FROM (
+   SELECT *, -q <= 10 AND (qe - qs2 + 1 > 33 OR stage = stage2 AND c >= -100 AND (c <= 20 OR q > 0 AND c - q <= 20) AND d2 <= 50) AS m, greatest(se, se2) - least(ss, ss2) + 1 > 2 * (greatest(qe, qe2) - least(qs, qs2) + 1) AS far FROM (
+    SELECT w.*, x.k AS k2, x.hit_id AS hit2, x.qs AS qs2, x.qe AS qe2, x.ss AS ss2, x.se AS se2, x.rest AS rest2, x.name AS name2, x.o AS o2, x.stage AS stage2, x.score AS score2, x.div AS div2, x.del AS del2, x.ins AS ins2, q, c,
+     {LEVEL('div', '0')} AS d1, {LEVEL('del', 'CASE WHEN q <= 10 AND c - q <= 0 THEN (q - c) * 100 ELSE 0 END')} AS d2, {LEVEL('ins', 'CASE WHEN q <= 10 AND c - q > 0 THEN (c - q) * 100 ELSE 0 END')} AS d3
+    FROM w JOIN x ON x.root = w.root AND x.k = w.k + 1, LATERAL (SELECT least(w.qe, x.qe) - greatest(w.qs, x.qs) + 1 AS q, CASE WHEN w.o = 'C' THEN x.se - w.ss ELSE w.se - x.ss END + 1 AS c)))),
+ends AS (SELECT * FROM w QUALIFY coalesce(lead(fresh) OVER (PARTITION BY root ORDER BY k), true))"""
+QUERIES["merged_pieces"] = (
+    merged_pieces,
+    f"""{ALL}, {MERGED} SELECT hit_id, qs AS query_start, qe AS query_end, ss AS subj_start, se AS subj_end, rest AS subj_remaining, name AS subj_name, score, div, del, ins, n AS n_pieces FROM ends
+UNION ALL SELECT hit_id, query_start, query_end, subj_start, subj_end, subj_remaining, subj_name, score, div, CAST(del_permille AS DOUBLE) / 10, CAST(ins_permille AS DOUBLE) / 10, 1 FROM pieces WHERE hit_id NOT IN (SELECT hit_id FROM links) AND hit_id NOT IN (SELECT partner_id FROM links)""",
+)

@@ -228,3 +228,27 @@ def test_fragments(spark):
     for x in excision.fragments(h, cuts).collect():
         got.setdefault(x["hit_id"], []).append((x["frag_start"], x["frag_end"]))
     assert {k: sorted(v) for k, v in got.items()} == {1: [(1, 9), (20, 29), (40, 50)], 2: [(10, 25)], 3: [(30, 39)], 4: [(40, 50)], 5: [(25, 29)], 6: [(5, 9), (20, 29), (40, 59)]}
+
+
+def test_linked_pieces_merge(spark):
+    base = LINE | {"del": 2.0, "ins": 1.0, "n_pieces": 1, "subj_remaining": 100, "hit_id": 1}
+    a = base | dict(query_start=1, query_end=100, subj_start=1, subj_end=100)
+    b = base | dict(query_start=106, query_end=205, subj_start=126, subj_end=225, div=20.0, score=700, subj_name="L1PA4", subj_remaining=75, hit_id=2)
+    # 5 bases apart on the query, 25 on the consensus: 20 more are deleted, of 205 in all
+    assert joining.shares(a, b) == (-5, -25)
+    assert joining.merges(a, b) and joining.joint_levels(a, b) == {"div": 15.12, "del": 11.8, "ins": 1.02}
+    one = joining.one_piece(a, b)
+    assert [one[c] for c in ("query_start", "query_end", "subj_start", "subj_end", "subj_remaining", "score", "subj_name", "n_pieces", "hit_id")] == [1, 205, 1, 225, 75, 700, "L1PA4", 2, 1]
+    # too far apart, on the query and on the consensus; of another stage
+    assert not joining.merges(a, b | dict(query_start=112, query_end=211))
+    assert not joining.merges(a, b | dict(subj_start=202, subj_end=301)) and joining.merges(a, b | dict(subj_start=201, subj_end=300))
+    assert not joining.merges(a, b | dict(stage=45))
+    # 34 shared bases merge whatever the consensus; 33 don't
+    assert joining.merges(a, b | dict(query_start=67, query_end=166, stage=45)) and not joining.merges(a, b | dict(query_start=68, query_end=167, stage=45))
+    # a consensus of over twice the query: that of the better one
+    far = joining.one_piece(a, b | dict(query_start=60, subj_start=900, subj_end=999))
+    assert (far["subj_start"], far["subj_end"]) == (900, 999)
+    rows = [{k: v for k, v in r.items() if k != "n_pieces"} | {"hit_id": k + 1, "query_remaining": 9} for k, r in enumerate([a, b, b | dict(query_start=211, query_end=300, subj_start=231, subj_end=320), b | dict(query_start=900, query_end=950)])]
+    made = spark.createDataFrame([("q", 1, 2, 1.0), ("q", 2, 3, 1.0)], "query_name string, hit_id long, partner_id long, pair_score double")
+    got = {x["hit_id"]: x for x in joining.merged_pieces(spark.createDataFrame(rows), made).collect()}
+    assert {k: (x["query_start"], x["query_end"], x["n_pieces"]) for k, x in got.items()} == {1: (1, 300, 3), 4: (900, 950, 1)}
