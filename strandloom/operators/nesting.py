@@ -87,7 +87,7 @@ def split_at_inserts(hits: DataFrame, slice_rows: int = folds.SLICE_ROWS) -> Dat
     one that holds its name) and stage. The first one trims the start if it begins within NEAR bases of it, one that ends
     within NEAR bases of the end trims that; inserts inside the last one don't count, and near ones are one. Only what lies
     on a sequence behind one another is looked at, so a nest of any depth is told in one sweep; open hits are as many as
-    the nest is deep. A hit without inserts is one piece; nulls in ranges are not allowed; rows that repeat hold one another.
+    the nest is deep. Where inserts leave no base of the query, pieces get no share of the consensus. A hit without inserts is one piece; nulls in ranges are not allowed; rows that repeat hold one another.
     """
     counts = hits.groupBy(F.col("query_name").alias("__q")).agg(F.count(F.lit(1)).alias("rows"))
     placed = folds.in_slices(folds.numbered_rows(hits), 0, slice_rows).join(counts, F.col("query_name").eqNullSafe(F.col("__q")))

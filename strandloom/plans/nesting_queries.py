@@ -69,7 +69,7 @@ w(pid, j, qs, qe, ss, se, plus, b, ins) AS (SELECT hit_id, CAST(0 AS BIGINT), qu
    FROM (SELECT c.pid, c.j, c.s, c.e, w.qs, w.qe, w.ss, w.se, w.plus, w.b, w.ins, CASE WHEN c.kin OR c.s < w.qs THEN 'skip' WHEN c.j = 1 AND c.s <= w.qs + 5 THEN 'head' WHEN c.e >= w.qe - 5 THEN 'tail'
      WHEN c.e < w.b THEN 'skip' WHEN c.s < w.b + 5 AND len(w.ins) > 0 THEN 'near' ELSE 'new' END AS act FROM w JOIN c ON c.pid = w.pid AND c.j = w.j + 1 WHERE c.e <= w.qe)),
 f AS (SELECT w.*, r.subj_start AS s0, r.subj_end AS e0, r.subj_remaining AS rest, [w.qs] || list_transform(ins, lambda x, k: CASE WHEN k % 2 = 1 THEN x - 1 ELSE x + 1 END) || [w.qe] AS edges,
-  (se - ss + 1) / CAST(qe - qs + 1 - coalesce(list_sum(list_transform(range(1, len(ins), 2), lambda k: ins[k + 1] - least(ins[k], qe))), 0) AS DOUBLE) AS rate FROM w JOIN r ON r.hit_id = w.pid QUALIFY row_number() OVER (PARTITION BY w.pid ORDER BY w.j DESC) = 1),
+  coalesce((se - ss + 1) / nullif(CAST(qe - qs + 1 - coalesce(list_sum(list_transform(range(1, len(ins), 2), lambda k: ins[k + 1] - least(ins[k], qe))), 0) AS DOUBLE), 0), 0) AS rate FROM w JOIN r ON r.hit_id = w.pid QUALIFY row_number() OVER (PARTITION BY w.pid ORDER BY w.j DESC) = 1),
 p AS (SELECT *, unnest(range(1, len(edges), 2)) AS k FROM f), q AS (SELECT *, edges[k] AS a, edges[k + 1] AS z, k = len(edges) - 1 AS final, CAST(trunc((edges[k + 1] - edges[k]) * rate) AS BIGINT) AS size FROM p),
 t AS (SELECT *, coalesce(sum(size + 1) OVER (PARTITION BY pid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, len(ins) = 0 AS whole FROM q)
 SELECT pid AS hit_id, a AS query_start, z AS query_end, CAST(CASE WHEN whole THEN ss WHEN plus THEN s0 + done WHEN final THEN ss ELSE e0 - done - size END AS BIGINT) AS subj_start,
