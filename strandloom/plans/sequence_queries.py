@@ -148,9 +148,9 @@ def is_a(spark, sf_dir):
     return taxonomy.is_a(taxa(spark, sf_dir), "r2")
 
 
-@query(f"WITH RECURSIVE {ROLES}, {FAMILIES} SELECT accession, name, role FROM families JOIN roles USING (clade) WHERE NOT is_uncurated AND stage = 50")
+@query(f"WITH RECURSIVE {ROLES}, {FAMILIES} SELECT accession, name, role FROM families JOIN roles USING (clade) WHERE NOT is_uncurated AND stage = 45")
 def family_query(spark, sf_dir):
-    found = taxonomy.in_lineage(taxonomy.filtered(families(spark, sf_dir), stage=50, only_curated=True), taxa(spark, sf_dir), "r1")
+    found = taxonomy.in_lineage(taxonomy.filtered(families(spark, sf_dir), stage=45, only_curated=True), taxa(spark, sf_dir), "r1")
     return found.select("accession", "name", "role")
 
 
@@ -176,9 +176,9 @@ def database_counts(spark, sf_dir):
     return families(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_uncurated").alias("n_uncurated"), F.count_distinct("clade").alias("n_clades"), F.max("length").alias("longest"))
 
 
-@query(f"WITH {TAXA} SELECT tax_id, name, 3 AS match FROM taxa WHERE contains(lower(name), 'a_1') AND lower(name) <> 'a_1'")
+@query(f"WITH {TAXA} SELECT tax_id, name, 3 AS match FROM taxa WHERE contains(lower(name), 'n_1') AND lower(name) <> 'n_1'")
 def name_parts(spark, sf_dir):
-    return taxonomy.resolve_names(taxa(spark, sf_dir), "A_1").where("match = 3")
+    return taxonomy.resolve_names(taxa(spark, sf_dir), "N_1").where("match = 3")
 
 
 @query(f"WITH {FAMILIES} SELECT accession, name FROM families UNION ALL SELECT 'DX' || substr(accession, 3), name FROM families WHERE stage = 40")
