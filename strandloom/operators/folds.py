@@ -23,9 +23,9 @@ def order_of_hits() -> list[Column]:
     return [F.col("query_start"), F.desc("query_end"), F.desc("score"), F.col("hit_id")]
 
 
-def numbered_rows(rows: DataFrame, order: list[Column] | None = None, key: str = "query_name", at: str = "query_start", out: str = "rank") -> DataFrame:
-    """rows with their number on the sequence, from 1. Counted by bin and added up over bins, so that no task has a whole sequence; the order begins with `at`."""
-    binned = rows.withColumn("__bin", F.floor(F.col(at) / BIN_BASES))
+def numbered_rows(rows: DataFrame, order: list[Column] | None = None, key: str = "query_name", at: str = "query_start", out: str = "rank", width: int = BIN_BASES) -> DataFrame:
+    """rows with their number on the sequence, from 1. Counted by bin and added up over bins, so that no task has a whole sequence; the order begins with `at`, and `width` is a bin's."""
+    binned = rows.withColumn("__bin", F.floor(F.col(at) / width))
     so_far = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bins = binned.groupBy(F.col(key).alias("__k"), F.col("__bin").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     bins = bins.withColumn("__before", F.coalesce(F.sum("__n").over(so_far), F.lit(0))).drop("__n")

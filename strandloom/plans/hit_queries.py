@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.functions import scalar as S
-from strandloom.operators import chain, greedy, interval, report
+from strandloom.operators import chain, folds, greedy, interval, report
 from strandloom.plans.views import HITS, hits, table
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
@@ -378,7 +378,8 @@ def combined_ids(h):
     a = h.where("hit_id % 2 = 0").select((F.col("hit_id") % 500).cast("string").alias("id"), "query_start")
     b = h.where("hit_id % 2 = 1").select(F.concat(F.lit("t"), F.col("hit_id") % 500).alias("id"), "query_start")
     first = a.unionByName(b).groupBy("id").agg(F.min("query_start").alias("f"))  # one row an id
-    return first.select("id", F.dense_rank().over(Window.orderBy("f", "id")).cast("long").alias("new_id"))
+    placed = folds.numbered_rows(first.withColumn("all", F.lit(0)), [F.col("f"), F.col("id")], key="all", at="f", out="new_id", width=256)
+    return placed.select("id", F.col("new_id").cast("long").alias("new_id"))
 
 
 @query("""SELECT a.hit_id, b.hit_id AS other_id, least(a.query_end, b.query_end) - greatest(a.query_start, b.query_start) + 1 AS shared, CASE WHEN a.orientation = 'C' THEN b.subj_end - a.subj_start + 1 ELSE a.subj_end - b.subj_start + 1 END AS cons,
