@@ -6,7 +6,8 @@ Hits of different overlap islands never meet, so a group is one island of one se
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,39 @@ def per_island(hits: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], ga
     return dealt.groupBy("query_name", "__g").applyInPandas(run, hits.schema)
 
 
+class Kept:
+    """Ranges that stay, by bins of the query, so that a hit meets those near it and no others."""
+
+    WIDTH = 1024
+
+    def __init__(self, start: list[int], end: list[int]):
+        self.start, self.end = start, end
+        self.bins: defaultdict[int, list[int]] = defaultdict(list)
+
+    def of(self, i: int) -> range:
+        return range(self.start[i] // self.WIDTH, self.end[i] // self.WIDTH + 1)
+
+    def add(self, i: int) -> None:
+        for b in self.of(i):
+            self.bins[b].append(i)
+
+    def overlapping(self, i: int) -> Iterator[int]:
+        """Those that share a base with range i; one that lies in several bins may come more than once."""
+        return (k for b in self.of(i) for k in self.bins.get(b, ()) if self.start[k] <= self.end[i] and self.end[k] >= self.start[i])
+
+
 def half_even_percent(part: int, whole: int) -> int:
     """100 * part / whole to the nearest whole number, halves to the even one."""
     n, rest = divmod(100 * part, whole)
     return n + (2 * rest > whole or (2 * rest == whole and n % 2 == 1))
 
 
+def ranked(pdf: pd.DataFrame) -> tuple[list[int], list[int], list[int]]:
+    """(rows by score descending, then the shorter one, then start and id; starts; ends)."""
+    start, end = pdf["query_start"].to_numpy(), pdf["query_end"].to_numpy()
+    return np.lexsort((pdf["hit_id"], start, end - start, -pdf["score"])).tolist(), start.tolist(), end.tolist()
+
+
 def mask_level(hits: DataFrame, value: int) -> DataFrame:
     """Keep a hit if, for each kept one that ranks before it and overlaps it, more than 100 - value percent of it lie outside.
 
@@ -53,14 +81,13 @@ def mask_level(hits: DataFrame, value: int) -> DataFrame:
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 1:
             return pdf
-        start, end = pdf["query_start"].to_numpy(), pdf["query_end"].to_numpy()
-        order = np.lexsort((pdf["hit_id"], start, end - start, -pdf["score"]))
-        kept: list[int] = []
+        order, start, end = ranked(pdf)
+        kept, near = [], Kept(start, end)
         for i in order:
             length = end[i] - start[i] + 1
-            shared = (min(end[i], end[k]) - max(start[i], start[k]) + 1 for k in kept if start[k] <= end[i] and end[k] >= start[i])
-            if all(half_even_percent(int(length - s), int(length)) > 100 - value for s in shared):
+            if all(half_even_percent(length - (min(end[i], end[k]) - max(start[i], start[k]) + 1), length) > 100 - value for k in near.overlapping(i)):
                 kept.append(i)
+                near.add(i)
         return pdf.iloc[sorted(kept)]
 
     return per_island(hits, fold)
@@ -72,14 +99,13 @@ def tail_level(hits: DataFrame, value: int) -> DataFrame:
         return hits
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end = pdf["query_start"].to_numpy(), pdf["query_end"].to_numpy()
-        order = np.lexsort((pdf["hit_id"], start, end - start, -pdf["score"]))
-        kept: list[int] = []
+        order, start, end = ranked(pdf)
+        kept, near = [], Kept(start, end)
         for i in order:
-            length = int(end[i] - start[i] + 1)
-            tails = (max(0, int(start[k] - start[i])) + max(0, int(end[i] - end[k])) for k in kept if start[k] <= end[i] and end[k] >= start[i])
-            if all(100 * t >= (100 - value) * length for t in tails):
+            length = end[i] - start[i] + 1
+            if all(100 * (max(0, start[k] - start[i]) + max(0, end[i] - end[k])) >= (100 - value) * length for k in near.overlapping(i)):
                 kept.append(i)
+                near.add(i)
         return pdf.iloc[sorted(kept)]
 
     return per_island(hits, fold)

@@ -104,3 +104,17 @@ def test_fragments_cover_every_base(spark):
     assert got[2] == [(1, 60_000)] and got[3] == [(1, 5)]
     assert got[1][0][0] == 1 and got[1][-1][1] == 130_001
     assert all(a[1] - b[0] + 1 == 2000 for a, b in zip(got[1], got[1][1:]))
+
+
+def test_tail_level_on_a_long_island(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(k, "q", a := r.randrange(1, 20_000), a + r.randrange(3000), r.randrange(100)) for k in range(400)]
+    df = spark.createDataFrame(rows, "hit_id long, query_name string, query_start long, query_end long, score long")
+    for value in (30, 80):
+        kept = []
+        for k, _, a, b, _ in sorted(rows, key=lambda x: (-x[4], x[3] - x[2], x[2], x[0])):
+            if all(100 * (max(0, c - a) + max(0, b - d)) >= (100 - value) * (b - a + 1) for _, c, d in kept if c <= b and d >= a):
+                kept.append((k, a, b))
+        assert {x["hit_id"] for x in greedy.tail_level(df, value).collect()} == {k for k, _, _ in kept}
