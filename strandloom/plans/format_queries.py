@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.operators import report
 from strandloom.plans.views import FAMILIES, HITS, families, hits, sequences
-from strandloom.sources import readers, writers
+from strandloom.sources import readers, reports, writers
 from strandloom.streaming import windows
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -36,6 +37,19 @@ def native_round_trip(spark, sf_dir):
     return readers.hits_from_lines(writers.native_lines(hits(spark, sf_dir))).select("lineage_id", *FIELDS)
 
 
+LETTERS = lambda key: f"translate(substr(repeat(md5({key}), 10), 1, query_end - query_start + 1), '0123456789abcdef', 'ACGTACGTACGT-ACG')"
+PAIR = {"query_string": LETTERS("CAST(hit_id AS {0})"), "subj_string": LETTERS("'s' || hit_id"), "matrix": "'25p' || (35 + hit_id % 5 * 2) || 'g.matrix'", "transitions": "CAST(hit_id % 40 AS INT)", "transversions": "CAST(hit_id % 23 AS INT)"}
+
+
+@query(f"WITH {HITS} SELECT 'm_b1s' || stage || 'i' || hit_id AS lineage_id, {', '.join(FIELDS).replace('score', 'CAST(score AS DOUBLE) AS score')}, div_permille / 100 AS kimura, {', '.join(f'{v} AS {k}' for k, v in PAIR.items()).format('VARCHAR')} FROM hits")
+def alignment_round_trip(spark, sf_dir):
+    """All hits with alignments made from hashes, written as a report and read in byte ranges."""
+    h = hits(spark, sf_dir).withColumns({k: F.expr(v.format("STRING")) for k, v in PAIR.items()}).withColumn("kimura", F.col("div_permille") / 100)
+    place = windows.checkpoint_path(spark, f"report_{uuid.uuid4().hex}")
+    writers.alignment_records(h).select("line").write.text(place)
+    return reports.alignments(spark, place, 1 << 16).select("lineage_id", *FIELDS, "kimura", *PAIR)
+
+
 PERCENT = "format('{{:4.1f}}', {0} / 10.0)"
 SIGN = "CASE WHEN orientation = 'C' THEN '-' ELSE '+' END"
 REST = "CASE WHEN orientation = 'C' THEN '(' || subj_remaining || ') ' || subj_end || ' ' || subj_start ELSE subj_start || ' ' || subj_end || ' (' || subj_remaining || ')' END"

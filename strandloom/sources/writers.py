@@ -38,6 +38,39 @@ def native_lines(hits: DataFrame) -> DataFrame:
     return hits.select("hit_id", F.concat_ws(" ", "score", percent("div_permille"), percent("del_permille"), percent("ins_permille"), "query_name", "query_start", "query_end", F.lit("(0)"), minus, F.concat("subj_name", F.lit("#"), "subj_type"), *strand_fields(), F.concat(F.lit("m_b1s"), "stage", F.lit("i"), "hit_id")).alias("line"))
 
 
+def _letters(s: Column) -> Column:
+    return F.length(F.replace(s, F.lit("-"), F.lit("")))
+
+
+def alignment_rows(query: str = "query_string", subj: str = "subj_string", width: int = 50) -> Column:
+    """Rows of an alignment: the query forward, marks of what differs, the subject turned on the minus strand; places count letters."""
+    pieces = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.length(s) / width) - 1), lambda k: F.substr(F.col(s), (k * width + 1).cast("int"), F.lit(width)))).otherwise(F.array())
+    q, d = pieces(query), pieces(subj)
+    minus = F.col("orientation") == "C"
+    changed = lambda a, b: (F.array_sort(F.array(a, b)) == F.array(F.lit("A"), F.lit("G"))) | (F.array_sort(F.array(a, b)) == F.array(F.lit("C"), F.lit("T")))
+    mark = lambda a, b: F.when(a == b, " ").when((a == "-") | (b == "-"), "-").when(changed(a, b), "i").otherwise("v")
+
+    def row(k: Column, a: Column) -> Column:
+        b = F.get(d, k.cast("int"))
+        before = lambda parts: F.aggregate(F.slice(parts, F.lit(1), k.cast("int")), F.lit(0), lambda n, x: n + _letters(x))
+        q0 = F.col("query_start") + before(q)
+        s0 = F.when(minus, F.col("subj_end") - before(d)).otherwise(F.col("subj_start") + before(d))
+        s1 = F.when(minus, s0 - _letters(b) + 1).otherwise(s0 + _letters(b) - 1)
+        head = F.greatest(F.length("query_name"), F.length("subj_name")) + 14
+        marks = F.array_join(F.zip_with(F.split(a, ""), F.split(b, ""), mark), "")
+        place = lambda sign, name, at: F.concat(F.rpad(F.concat(sign, name), head - 12, " "), F.lpad(at.cast("string"), 11, " "), F.lit(" "))
+        return F.concat_ws("\n", F.concat(place(F.lit("  "), F.col("query_name"), q0), a, F.lit(" "), q0 + _letters(a) - 1), F.concat(F.repeat(F.lit(" "), head), marks), F.concat(place(F.when(minus, "C ").otherwise("  "), F.col("subj_name"), s0), b, F.lit(" "), s1), F.lit(""))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(q) - 1), lambda k: row(k, F.get(q, k.cast("int")))), "\n")
+
+
+def alignment_records(hits: DataFrame) -> DataFrame:
+    """Records of hits with their alignments: a native line, the rows, and what is known of the pair (matrix, kimura, transitions, transversions)."""
+    lines = native_lines(hits).withColumnRenamed("hit_id", "__id")
+    pair = F.concat_ws("\n", F.concat(F.lit("Matrix = "), "matrix"), F.concat(F.lit("Kimura (with divCpGMod) = "), F.format_string("%.2f", "kimura")), F.concat(F.lit("Transitions / transversions = ("), "transitions", F.lit("/"), "transversions", F.lit(")")), F.lit("Gap_init rate = 0.00"))
+    return hits.join(lines, F.col("hit_id") == F.col("__id")).select("hit_id", F.concat_ws("\n", "line", F.lit(""), F.when((F.length("query_string") > 0) & (F.length("subj_string") > 0), alignment_rows()), pair, F.lit("")).alias("line"))
+
+
 def _sign() -> Column:
     return F.when(F.col("orientation") == "C", "-").otherwise("+")
 
