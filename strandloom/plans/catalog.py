@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import duplicon_queries, element_queries, format_queries, hit_queries, joining_queries, nesting_queries, pair_queries, rule_queries, sequence_queries
+from strandloom.plans import duplicon_queries, element_queries, format_queries, hit_queries, joining_queries, nesting_queries, pair_queries, rule_queries, sequence_queries, tail_queries
 from strandloom.session import shipped
 
 
@@ -15,7 +15,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:
-    return {**hit_queries.QUERIES, **sequence_queries.QUERIES, **format_queries.QUERIES, **element_queries.QUERIES, **pair_queries.QUERIES, **joining_queries.QUERIES, **rule_queries.QUERIES, **nesting_queries.QUERIES, **duplicon_queries.QUERIES}
+    return {**hit_queries.QUERIES, **sequence_queries.QUERIES, **format_queries.QUERIES, **element_queries.QUERIES, **pair_queries.QUERIES, **joining_queries.QUERIES, **rule_queries.QUERIES, **nesting_queries.QUERIES, **duplicon_queries.QUERIES, **tail_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
