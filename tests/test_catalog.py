@@ -9,7 +9,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["class_coverage", "masked_bp", "overlap_flags", "charged_overlaps", "overlap_islands", "covered_left", "not_contained", "chain_components", "id_epochs", "type_rollup", "divergence_histogram", "block_records", "rule_filters", "base_composition", "masked_n", "sequence_fragments", "lineage_totals", "out_round_trip", "bed_rows", "stream_sessions", "line_pair_scores", "joined_links", "merged_pieces", "split_at_inserts", "untangled_links", "cut_and_restored", "lifted_fragments"]
+NAMES = ["class_coverage", "masked_bp", "overlap_flags", "charged_overlaps", "overlap_islands", "covered_left", "not_contained", "chain_components", "id_epochs", "type_rollup", "divergence_histogram", "block_records", "rule_filters", "base_composition", "masked_n", "sequence_fragments", "lineage_totals", "out_round_trip", "bed_rows", "stream_sessions", "line_pair_scores", "joined_links", "merged_pieces", "split_at_inserts", "untangled_links", "cut_and_restored", "lifted_fragments", "duplicon_bounds", "duplicon_ranges", "alignment_round_trip", "tail_attachments"]
 
 
 @pytest.fixture(scope="module")
