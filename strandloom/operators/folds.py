@@ -9,11 +9,13 @@ that of one pass over the whole sequence whatever the slices' size.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of a slice, and bases of a bin in which rows are numbered.
 SLICE_ROWS, BIN_BASES = 4096, 1 << 17
@@ -43,31 +45,90 @@ def in_slices(rows: DataFrame, halo: int = 0, slice_rows: int = SLICE_ROWS) -> D
     return rows.withColumn("slice", F.explode(copies)).withColumn("own", F.col("slice") == number)
 
 
-def fold(rows: DataFrame, step: Callable[[pa.Table, Any], tuple[pa.Table, Any]], schema: str, first: Any = None, key: str = "query_name") -> DataFrame:
+def values(column: pa.ChunkedArray) -> list:
+    """A column as plain values."""
+    number = pa.types.is_integer(column.type) or pa.types.is_floating(column.type)
+    return column.to_numpy().tolist() if number and not column.null_count else column.to_pylist()
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal for neighbours of equal value."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy()
+    return pa.concat_arrays(column.chunks).dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole groups of rows of equal keys from a partition that is sorted by them: tables of many groups, with the row at which each begins, and the number of rows."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        last = held[-1].slice(held[-1].num_rows - 1) if held else t.slice(0, 1)
+        both = pa.concat_tables([last, t]).select(keys)
+        at = np.flatnonzero(np.logical_or.reduce([np.diff(_codes(c)) != 0 for c in both.columns]))
+        if not len(at):
+            held.append(t)
+            continue
+        n = sum(x.num_rows for x in held)
+        yield pa.concat_tables([*held, t.slice(0, at[-1])]), [0, *(at + n).tolist()]
+        held = [t.slice(at[-1])]
+    if held:
+        yield pa.concat_tables(held), [0, sum(x.num_rows for x in held)]
+
+
+def fold(rows: DataFrame, step: Callable[[Any, Any], tuple[Any, Any]], schema: str, first: Any = None, key: str = "query_name", plain: list[str] | None = None) -> DataFrame:
     """What step() returns for all slices, in order of each sequence.
 
     rows: with the key and slice. step(rows of a slice, state) gives (rows as schema says, state for the slice after it);
     states are what JSON holds, equal ones are one state. A slice without rows hands on its state.
+
+    step gets and gives a table; with `plain` it gets lists of these columns, by `rank`, and gives a list for each column of
+    schema, which costs little where sequences are many and short. One call of Python runs all slices of a partition.
     """
     begin = json.dumps(first)
     kind = rows.schema[key].dataType.simpleString()
     whole = f"__key {kind}, __slice long, __given string, __state string, __rows array<struct<{', '.join(f'{n}: {t}' for n, t in (x.strip().split(' ', 1) for x in schema.split(', ')))}>>"
-
-    def run(t: pa.Table) -> pa.Table:
-        given = t.column("__given")[0].as_py()
-        out, state = step(t.drop_columns(["__given"]), json.loads(given))
-        found = pa.StructArray.from_arrays([c.combine_chunks() for c in out.columns], out.column_names) if out.num_rows else pa.array([], pa.struct(out.schema))
-        found = found if isinstance(found, pa.StructArray) else found.combine_chunks()
-        return pa.table({"__key": pa.array([t.column(key)[0].as_py()], t.schema.field(key).type), "__slice": pa.array([t.column("slice")[0].as_py()]), "__given": [given], "__state": [json.dumps(state)], "__rows": pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)})
+    out_types = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in runs(batches, [key, "slice"]):
+            heads = t.take(pa.array(at[:-1]))
+            given, states, ends, found = heads.column("__given").to_pylist(), [], [0], []
+            lists = {c: values(t.column(c)) for c in plain or []}
+            t = t.drop_columns(["__given"])
+            gathered: dict[str, list] = {c: [] for c in out_types.names}
+            for a, b, g in zip(at[:-1], at[1:], given, strict=True):
+                if plain:
+                    out, state = step({c: v[a:b] for c, v in lists.items()}, json.loads(g))
+                    for c, v in gathered.items():
+                        v += out[c]
+                    n = len(out[out_types.names[0]])
+                else:
+                    out, state = step(t.slice(a, b - a), json.loads(g))
+                    found.append(out.select(out_types.names).cast(out_types))
+                    n = out.num_rows
+                ends.append(ends[-1] + n)
+                states.append(json.dumps(state))
+            made = pa.table([pa.array(v, f.type) for v, f in zip(gathered.values(), out_types, strict=True)], out_types) if plain else pa.concat_tables(found)
+            struct = pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in made.columns], fields=list(out_types))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(heads.column(key).chunks), heads.column("slice").cast(pa.int64()).combine_chunks(), pa.array(given, pa.string()), pa.array(states, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], ["__key", "__slice", "__given", "__state", "__rows"])
+
+    def ran(given: DataFrame) -> DataFrame:
+        return given.repartition(key, "slice").sortWithinPartitions(key, "slice", *(["rank"] if plain else [])).mapInArrow(run, whole)
 
     rows = rows.checkpoint()
-    done = rows.withColumn("__given", F.lit(begin)).groupBy(key, "slice").applyInArrow(run, whole).checkpoint()
+    done = ran(rows.withColumn("__given", F.lit(begin))).checkpoint()
+    # what follows another slice may have to run again; a sequence of one slice never does
+    long = done.where("__slice > 0").select(F.col("__key").alias("__l")).distinct()
     while True:
         before = F.coalesce(F.lag("__state").over(Window.partitionBy("__key").orderBy("__slice")), F.lit(begin))
-        wrong = done.select("__key", "__slice", "__given", before.alias("__before")).where("__before <> __given").select("__key", "__slice", F.col("__before").alias("__given")).checkpoint()
+        states = done.select("__key", "__slice", "__given", "__state").join(long, F.col("__key").eqNullSafe(F.col("__l")), "left_semi")
+        wrong = states.select("__key", "__slice", "__given", before.alias("__before")).where("__before <> __given").select("__key", "__slice", F.col("__before").alias("__given")).checkpoint()
         if wrong.isEmpty():
             return done.select(F.inline("__rows"))
         same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("slice") == F.col("__slice"))
-        again = rows.join(wrong, same).drop("__key", "__slice").groupBy(key, "slice").applyInArrow(run, whole)
+        again = ran(rows.join(wrong, same).drop("__key", "__slice"))
         kept = done.join(wrong.select(F.col("__key").alias("__k"), F.col("__slice").alias("__s")), F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__slice") == F.col("__s")), "left_anti")
         done = kept.unionByName(again).checkpoint()

@@ -8,33 +8,49 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from math import inf, nan
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from strandloom.operators.folds import runs, values
 from strandloom.operators.interval import islands
 
 
-#: Islands of a sequence that one call gets.
+#: Islands of a sequence that lie in one partition at least.
 ISLANDS = 512
 
 
-def per_island(hits: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], gap: int = 0) -> DataFrame:
-    """fold over each island of several hits; it gets and gives rows with the columns of hits. An island of one hit stays."""
+def per_island(hits: DataFrame, fold: Callable[[dict[str, list]], tuple], needs: list[str], changes: tuple[str, ...] = (), gap: int = 0) -> DataFrame:
+    """fold over each island of several hits. An island of one hit stays.
+
+    fold gets lists of the columns that it needs, and gives the places of those that stay, then for each column of `changes`
+    their values. Islands are many and small, so a partition's run in one call, without a frame for each.
+    """
     names = hits.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["island", "hit_id"], kind="stable").reset_index(drop=True)
-        island = pdf["island"].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], island[1:] != island[:-1]]))
-        sizes = np.diff(np.append(starts, len(island)))
-        rows = pdf[names]
-        alone = rows.iloc[starts[sizes == 1]]
-        return pd.concat([alone, *(fold(rows.iloc[a : a + n].reset_index(drop=True)) for a, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in runs(batches, ["query_name", "island"]):
+            lists = {c: values(t.column(c)) for c in needs}
+            kept: list[int] = []
+            new: dict[str, list] = {c: [] for c in changes}
+            for a, b in zip(at, at[1:]):
+                if b - a == 1:
+                    kept.append(a)
+                    for c, v in new.items():
+                        v.append(lists[c][a])
+                    continue
+                stay, *given = fold({c: v[a:b] for c, v in lists.items()})
+                kept += [a + k for k in stay]
+                for v, more in zip(new.values(), given, strict=True):
+                    v += more
+            out = t.select(names).take(pa.array(kept, pa.int64()))
+            for c, v in new.items():
+                out = out.set_column(names.index(c), out.schema.field(c), pa.array(v, out.schema.field(c).type))
+            yield from out.to_batches()
 
     dealt = islands(hits, gap).withColumn("__g", F.floor(F.col("island") / ISLANDS))
-    return dealt.groupBy("query_name", "__g").applyInPandas(run, hits.schema)
+    return dealt.repartition("query_name", "__g").sortWithinPartitions("query_name", "island").mapInArrow(run, hits.schema)
 
 
 class Kept:
@@ -64,10 +80,20 @@ def half_even_percent(part: int, whole: int) -> int:
     return n + (2 * rest > whole or (2 * rest == whole and n % 2 == 1))
 
 
-def ranked(pdf: pd.DataFrame) -> tuple[list[int], list[int], list[int]]:
+def best_first(numbers: list) -> list:
+    """Numbers turned round, so that the largest is the least; a missing one comes last."""
+    return [inf if x is None or x != x else -x for x in numbers]
+
+
+#: Columns that ranked() needs.
+RANKED = ["hit_id", "query_start", "query_end", "score"]
+
+
+def ranked(t: dict[str, list]) -> tuple[list[int], list[int], list[int]]:
     """(rows by score descending, then the shorter one, then start and id; starts; ends)."""
-    start, end = pdf["query_start"].to_numpy(), pdf["query_end"].to_numpy()
-    return np.lexsort((pdf["hit_id"], start, end - start, -pdf["score"])).tolist(), start.tolist(), end.tolist()
+    start, end = t["query_start"], t["query_end"]
+    key = list(zip(best_first(t["score"]), [e - s for s, e in zip(start, end, strict=True)], start, t["hit_id"], strict=True))
+    return sorted(range(len(key)), key=key.__getitem__), start, end
 
 
 def mask_level(hits: DataFrame, value: int) -> DataFrame:
@@ -78,19 +104,17 @@ def mask_level(hits: DataFrame, value: int) -> DataFrame:
     if value >= 101:
         return hits
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) == 1:
-            return pdf
-        order, start, end = ranked(pdf)
+    def fold(t: dict[str, list]) -> tuple[list[int]]:
+        order, start, end = ranked(t)
         kept, near = [], Kept(start, end)
         for i in order:
             length = end[i] - start[i] + 1
             if all(half_even_percent(length - (min(end[i], end[k]) - max(start[i], start[k]) + 1), length) > 100 - value for k in near.overlapping(i)):
                 kept.append(i)
                 near.add(i)
-        return pdf.iloc[sorted(kept)]
+        return (kept,)
 
-    return per_island(hits, fold)
+    return per_island(hits, fold, RANKED)
 
 
 def tail_level(hits: DataFrame, value: int) -> DataFrame:
@@ -98,48 +122,56 @@ def tail_level(hits: DataFrame, value: int) -> DataFrame:
     if value >= 101:
         return hits
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        order, start, end = ranked(pdf)
+    def fold(t: dict[str, list]) -> tuple[list[int]]:
+        order, start, end = ranked(t)
         kept, near = [], Kept(start, end)
         for i in order:
             length = end[i] - start[i] + 1
             if all(100 * (max(0, start[k] - start[i]) + max(0, end[i] - end[k])) >= (100 - value) * length for k in near.overlapping(i)):
                 kept.append(i)
                 near.add(i)
-        return pdf.iloc[sorted(kept)]
+        return (kept,)
 
-    return per_island(hits, fold)
+    return per_island(hits, fold, RANKED)
 
 
 def arrival_level(hits: DataFrame, value: int) -> DataFrame:
     """Hits in order of start and id: of two that overlap by `value` percent of either, the one of lower score goes."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end, score = (pdf[c].to_numpy() for c in ("query_start", "query_end", "score"))
+    def fold(t: dict[str, list]) -> tuple[list[int]]:
+        start, end, score = t["query_start"], t["query_end"], [nan if x is None else x for x in t["score"]]
+        key = list(zip(start, t["hit_id"], strict=True))
         kept: list[int] = []
-        for i in np.lexsort((pdf["hit_id"], start)):
+        live: list[int] = []  # of the kept ones those that reach as far as this one begins
+        gone = set()
+        for i in sorted(range(len(key)), key=key.__getitem__):
+            live = [k for k in live if end[k] >= start[i]]
             drop = False
-            for k in list(kept):
-                shared = min(end[i], end[k]) - max(start[i], start[k]) + 1
+            for k in list(live):
+                shared = min(end[i], end[k]) - start[i] + 1
                 shorter = min(end[i] - start[i], end[k] - start[k]) + 1
                 if shared > 0 and 100 * shared >= value * shorter:
                     if score[k] >= score[i]:
                         drop = True
                         break
-                    kept.remove(k)
+                    live.remove(k)
+                    gone.add(k)
             if not drop:
+                live.append(i)
                 kept.append(i)
-        return pdf.iloc[sorted(kept)]
+        return ([k for k in kept if k not in gone],)
 
-    return per_island(hits, fold)
+    return per_island(hits, fold, RANKED)
 
 
 #: What decides which of two overlapping hits wins, as numbers that are small for winners; without a divergence a hit comes last.
 MODES = {
-    "score": lambda t: -t["score"].to_numpy(),
-    "length": lambda t: -(t["query_end"] - t["query_start"]).to_numpy(),
-    "divergence": lambda t: t["div_permille"].where(~t["subj_type"].isin(NO_DIVERGENCE)).fillna(1010).to_numpy(),
+    "score": lambda t: best_first(t["score"]),
+    "length": lambda t: [s - e for s, e in zip(t["query_start"], t["query_end"], strict=True)],
+    "divergence": lambda t: [1010 if kind in NO_DIVERGENCE or d is None else d for d, kind in zip(t["div_permille"], t["subj_type"], strict=True)],
 }
+#: Columns that a mode needs beside ranges and ids.
+MODE_NEEDS = {"score": ["score"], "length": [], "divergence": ["div_permille", "subj_type"]}
 #: Classes whose divergence isn't measured.
 NO_DIVERGENCE = ("Simple_repeat", "Low_complexity")
 
@@ -148,13 +180,14 @@ def resolve_overlaps(hits: DataFrame, mode: str = "score") -> DataFrame:
     """Disjoint hits: of two that overlap the winner keeps its range; the other is dropped if either holds the other, else trimmed."""
     rank = MODES[mode]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end = pdf["query_start"].to_numpy(), pdf["query_end"].to_numpy()
+    def fold(t: dict[str, list]) -> tuple[list[int], list[int], list[int]]:
+        start, end = t["query_start"], t["query_end"]
+        key = list(zip(rank(t), start, t["hit_id"], strict=True))
         starts: list[int] = []  # of the kept ranges, which are disjoint, in order of place
         ends: list[int] = []
-        kept, new = [], []
-        for i in np.lexsort((pdf["hit_id"].to_numpy(), start, rank(pdf))):
-            s, e = int(start[i]), int(end[i])
+        kept, new = [], ([], [])
+        for i in sorted(range(len(key)), key=key.__getitem__):
+            s, e = start[i], end[i]
             a, b = bisect_left(ends, s), bisect_right(starts, e)  # kept ranges a to b - 1 overlap this one
             if any(s <= starts[k] and ends[k] <= e or starts[k] <= s and e <= ends[k] for k in range(a, min(b, a + 3))):
                 continue  # of more than two, one lies inside
@@ -166,12 +199,11 @@ def resolve_overlaps(hits: DataFrame, mode: str = "score") -> DataFrame:
             starts.insert(at, s)
             ends.insert(at, e)
             kept.append(i)
-            new.append((s, e))
-        out = pdf.iloc[kept].copy()
-        out["query_start"], out["query_end"] = [s for s, _ in new], [e for _, e in new]
-        return out
+            new[0].append(s)
+            new[1].append(e)
+        return kept, *new
 
-    return per_island(hits, fold)
+    return per_island(hits, fold, ["hit_id", "query_start", "query_end", *MODE_NEEDS[mode]], ("query_start", "query_end"))
 
 
 def excise(hits: DataFrame) -> DataFrame:
@@ -185,25 +217,29 @@ def merge_chains(hits: DataFrame, least_overlap: int = 33) -> DataFrame:
     """Neighbours of one family and strand that overlap by more than `least_overlap`, or touch, become one hit.
 
     The merged hit has the outer range, the best score, and the divergence weighted by length, an overlap counting for
-    the less diverged part.
+    the less diverged part. A null name is a name.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in pdf.sort_values(["query_start", "hit_id"], kind="stable").groupby(["subj_name", "orientation"], sort=True):
-            held = None
-            for r in g.to_dict("records"):
-                shared = held["query_end"] - r["query_start"] + 1 if held else -1
-                if held and (shared > least_overlap or shared == 0 or r["query_end"] <= held["query_end"]):
-                    a, b = held["query_end"] - held["query_start"] + 1, r["query_end"] - r["query_start"] + 1
-                    less, more = ((held["div_permille"], a), (r["div_permille"], b)) if held["div_permille"] <= r["div_permille"] else ((r["div_permille"], b), (held["div_permille"], a))
+    def fold(t: dict[str, list]) -> tuple[list[int], list, list, list]:
+        start, end, score, div = t["query_start"], t["query_end"], t["score"], t["div_permille"]
+        order = list(zip(start, t["hit_id"], strict=True))
+        families: defaultdict[tuple, list[int]] = defaultdict(list)
+        for i in sorted(range(len(order)), key=order.__getitem__):
+            families[t["subj_name"][i], t["orientation"][i]].append(i)
+        kept: list[int] = []
+        for members in families.values():
+            held = None  # the first of those that are one by now; it has their values
+            for i in members:
+                shared = end[held] - start[i] + 1 if held is not None else -1
+                if held is not None and (shared > least_overlap or shared == 0 or end[i] <= end[held]):
+                    a, b = (div[held], end[held] - start[held] + 1), (div[i], end[i] - start[i] + 1)
+                    less, more = (a, b) if a[0] <= b[0] else (b, a)
                     rest = max(0, more[1] - max(0, min(shared, more[1])))
-                    held |= {"div_permille": (less[0] * less[1] + more[0] * rest) // max(1, less[1] + rest), "query_end": max(held["query_end"], r["query_end"]), "score": max(held["score"], r["score"])}
+                    div[held] = (less[0] * less[1] + more[0] * rest) // max(1, less[1] + rest)
+                    end[held], score[held] = max(end[held], end[i]), max(score[held], score[i])
                 else:
-                    if held:
-                        out.append(held)
-                    held = dict(r)
-            out.append(held)
-        return pd.DataFrame(out, columns=pdf.columns)
+                    held = i
+                    kept.append(i)
+        return kept, *([v[i] for i in kept] for v in (end, score, div))
 
-    return per_island(hits, fold, gap=1)
+    return per_island(hits, fold, [*RANKED, "div_permille", "subj_name", "orientation"], ("query_end", "score", "div_permille"), gap=1)

@@ -172,13 +172,14 @@ def id_epochs(h):
     return chain.epochs(h, "query_name", [F.col("query_start"), F.col("hit_id")], "id").select("hit_id", "epoch", "new_id")
 
 
-# greedy filters: no SQL
+# greedy filters: no SQL; only what they need goes to Python
+RANGES = [*IDS, "query_start", "query_end"]
 for _value in (30, 80, 98):
-    QUERIES[f"mask_level_{_value}"] = ((lambda spark, sf_dir, v=_value: greedy.mask_level(hits(spark, sf_dir), v).select(*IDS, "score")), None)
-QUERIES["tail_level_80"] = (lambda spark, sf_dir: greedy.tail_level(hits(spark, sf_dir), 80).select(*IDS, "score"), None)
-QUERIES["arrival_level_80"] = (lambda spark, sf_dir: greedy.arrival_level(hits(spark, sf_dir), 80).select(*IDS, "score"), None)
+    QUERIES[f"mask_level_{_value}"] = ((lambda spark, sf_dir, v=_value: greedy.mask_level(hits(spark, sf_dir).select(*RANGES, "score"), v).select(*IDS, "score")), None)
+QUERIES["tail_level_80"] = (lambda spark, sf_dir: greedy.tail_level(hits(spark, sf_dir).select(*RANGES, "score"), 80).select(*IDS, "score"), None)
+QUERIES["arrival_level_80"] = (lambda spark, sf_dir: greedy.arrival_level(hits(spark, sf_dir).select(*RANGES, "score"), 80).select(*IDS, "score"), None)
 for _mode in greedy.MODES:
-    QUERIES[f"resolve_by_{_mode}"] = ((lambda spark, sf_dir, m=_mode: greedy.resolve_overlaps(hits(spark, sf_dir), m).select(*IDS, "query_start", "query_end")), None)
+    QUERIES[f"resolve_by_{_mode}"] = ((lambda spark, sf_dir, m=_mode: greedy.resolve_overlaps(hits(spark, sf_dir).select(*RANGES, *greedy.MODE_NEEDS[m]), m).select(*RANGES)), None)
 QUERIES["merge_chains"] = (lambda spark, sf_dir: greedy.merge_chains(hits(spark, sf_dir)).select(*IDS, "query_start", "query_end", "score", "div_permille"), None)
 
 

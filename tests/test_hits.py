@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.operators import chain, greedy, interval, report, sequence
 
@@ -118,3 +119,32 @@ def test_tail_level_on_a_long_island(spark):
             if all(100 * (max(0, c - a) + max(0, b - d)) >= (100 - value) * (b - a + 1) for _, c, d in kept if c <= b and d >= a):
                 kept.append((k, a, b))
         assert {x["hit_id"] for x in greedy.tail_level(df, value).collect()} == {k for k, _, _ in kept}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_islands_of_many_sequences_share_a_call(spark):
+    """No frame for each sequence, and the same rows where a batch ends within an island."""
+    r = random.Random(5)
+    rows = [(k, f"q{k % 40}", s, s + r.randrange(10, 60), r.randrange(100), r.randrange(300), f"f{k % 2}", "+") for k in range(800) for s in [r.randrange(1, 900)]]
+    df = spark.createDataFrame(rows, "hit_id long, query_name string, query_start long, query_end long, score long, div_permille long, subj_name string, orientation string").withColumn("subj_type", F.lit("LINE/L1"))
+    ways = {"mask": lambda h: greedy.mask_level(h, 80), "tail": lambda h: greedy.tail_level(h, 80), "arrival": lambda h: greedy.arrival_level(h, 80), "merge": greedy.merge_chains} | {m: lambda h, m=m: greedy.resolve_overlaps(h, m) for m in greedy.MODES}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    try:
+        for way in ways.values():
+            assert "FlatMapGroupsInPandas" not in plan_of(way(df))
+            whole = sorted(map(tuple, way(df).collect()))
+            spark.conf.set(key, 3)
+            assert sorted(map(tuple, way(df).collect())) == whole
+            spark.conf.set(key, held)
+    finally:
+        spark.conf.set(key, held)
+
+
+def test_a_null_family_is_merged_and_kept(spark):
+    rows = [(1, "q", 1, 100, 10, 50, None, "+"), (2, "q", 50, 150, 20, 50, None, "+"), (3, "q", 90, 200, 30, 50, "f", "+")]
+    df = spark.createDataFrame(rows, "hit_id long, query_name string, query_start long, query_end long, score long, div_permille long, subj_name string, orientation string")
+    assert sorted((x.hit_id, x.query_start, x.query_end, x.score) for x in greedy.merge_chains(df).collect()) == [(1, 1, 150, 20), (3, 90, 200, 30)]
