@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from typing import Any
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.operators import folds, interval
@@ -33,33 +31,27 @@ def kept_seeds(hits: DataFrame, most_div: float | None = None) -> DataFrame:
     return found if most_div is None else found.where(F.col("div") < most_div)
 
 
-def _absorb(t: pa.Table, state: Any) -> tuple[pa.Table, Any]:
+ABSORBED = ["query_start", "query_end", "reach", "begins", "place", "hit_id"]
+
+
+def _absorb(t: dict[str, list], state: Any) -> tuple[dict[str, list], Any]:
     """Each seed of a slice to the first open cluster that takes it, or to one of its own.
 
     A cluster is open while a seed may begin in reach of its last seed's end; its first seed sets the reach and the consensus
     place that all later seeds must lie behind. state: the open clusters, as lists of id, end, reach and place.
     """
-    t = t.sort_by("rank")
-    start, end, reach, begins, place, ids = (t.column(c).to_numpy() for c in ("query_start", "query_end", "reach", "begins", "place", "hit_id"))
-    held = state or [[], [], [], []]
-    n, most = len(held[0]), len(held[0]) + len(ids)
-    open_ = [np.array(h + [0] * (most - n), np.int64) for h in held]
-    of, ends, far, place_of = open_
-    out = np.empty(len(ids), np.int64)
-    for k in range(len(ids)):
-        live = start[k] - ends[:n] <= far[:n]
-        if not live.all():
-            for a in open_:
-                a[: live.sum()] = a[:n][live]
-            n = int(live.sum())
-        fits = begins[k] - place_of[:n] > -MOST_SHARED
-        at = int(fits.argmax()) if n else 0
-        if n and fits[at]:
-            ends[at], out[k] = end[k], of[at]
+    opened = [list(c) for c in zip(*state, strict=True)] if state else []
+    out = []
+    for start, end, reach, begins, place, seed in zip(*(t[c] for c in ABSORBED), strict=True):
+        opened = [c for c in opened if start - c[1] <= c[2]]
+        at = next((c for c in opened if begins - c[3] > -MOST_SHARED), None)
+        if at is None:
+            opened.append([seed, end, reach, place])
+            out.append(seed)
         else:
-            of[n], ends[n], far[n], place_of[n], out[k] = ids[k], end[k], reach[k], place[k], ids[k]
-            n += 1
-    return pa.table({"hit_id": t.column("hit_id"), "cluster": pa.array(out)}), [a[:n].tolist() for a in open_]
+            at[1] = end
+            out.append(at[0])
+    return {"hit_id": t["hit_id"], "cluster": out}, [list(x) for x in zip(*opened, strict=True)] or None
 
 
 def clustered(seeds: DataFrame, slice_rows: int = folds.SLICE_ROWS) -> DataFrame:
@@ -72,7 +64,7 @@ def clustered(seeds: DataFrame, slice_rows: int = folds.SLICE_ROWS) -> DataFrame
     )
     rows = rows.select("family", "hit_id", *[F.col(c).cast("long").alias(c) for c in ("query_start", "query_end", "reach", "begins", "place")])
     placed = folds.numbered_rows(rows, interval.by_position(), "family")
-    return folds.fold(folds.in_slices(placed, 0, slice_rows), _absorb, "hit_id long, cluster long", None, "family")
+    return folds.fold(folds.in_slices(placed, 0, slice_rows), _absorb, "hit_id long, cluster long", None, "family", ABSORBED)
 
 
 def clusters(seeds: DataFrame, slice_rows: int = folds.SLICE_ROWS) -> DataFrame:
