@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.functions import scalar as S
@@ -220,15 +219,14 @@ def class_filtered(hits: DataFrame, clade: str = "other", in_fragments: bool = F
     rows = decided(placed, clade, **options).where(F.col("slice") == F.col("__own"))
     needed = ["kind", "orientation", "query_end", "query_remaining", "rebased", "gaps", "moves", "skip", "own", "with_prev", "prev", "instead", "last"]
 
-    def step(t: pa.Table, state: dict | None) -> tuple[pa.Table, dict]:
+    def step(t: dict[str, list], state: dict | None) -> tuple[dict[str, list], dict]:
         walk, out = Walk(state), []
-        for row in t.sort_by("rank").select([*FIELDS, *needed]).to_pylist():
-            out += walk.take(row, clade, in_fragments)
-        columns = {c: pa.array([r.get(c) for r, _ in out], t.schema.field(c).type) for c in FIELDS}
-        return pa.table(columns | {"rule": pa.array([x for _, x in out], pa.int32())}), walk.s
+        for row in zip(*t.values(), strict=True):
+            out += walk.take(dict(zip(t, row, strict=True)), clade, in_fragments)
+        return {c: [r.get(c) for r, _ in out] for c in FIELDS} | {"rule": [x for _, x in out]}, walk.s
 
     kinds = {c: hits.schema[c].dataType.simpleString() for c in FIELDS}
-    found = folds.fold(rows.select("key", "slice", "rank", *FIELDS, *needed), step, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", rule int", None, "key")
+    found = folds.fold(rows.select("key", "slice", "rank", *FIELDS, *needed), step, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", rule int", None, "key", [*FIELDS, *needed])
     # a row may be met twice: as itself, and where the row after it made it go
     own = F.struct(F.col("subj_name").isNull().alias("later"), *FIELDS[1:])
     return found.groupBy("hit_id").agg(F.min("rule").alias("rule"), F.min(own).alias("x")).select("hit_id", "rule", *[F.col(f"x.{c}").alias(c) for c in FIELDS[1:]])
