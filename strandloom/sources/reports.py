@@ -23,8 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandloom.sources.readers import HIT_SCHEMA, parse_hit
 
-#: Bytes of a range; rows and letters of a batch.
-RANGE_BYTES, BATCH_ROWS, BATCH_LETTERS = 64 << 20, 1000, 4 << 20
+#: Ranges of a scan, but for those of the most bytes; bytes of a range; rows and letters of a batch.
+RANGES, RANGE_BYTES, BATCH_ROWS, BATCH_LETTERS = 512, 64 << 20, 1000, 4 << 20
 STOP = b"Score histogram:"
 #: Letters and their complements
 TURNED = str.maketrans("ACGTYRMKHBVD", "TGCARYKMDVBH")
@@ -121,13 +121,15 @@ class ReportReader(DataSourceReader):
         infos = [info] if info.is_file else system.get_file_info(fs.FileSelector(name, recursive=True))
         head = self.path[: len(self.path) - len(name)] if self.path.endswith(name) else ""
         parts = []
+        # small ranges of a large report would be more tasks than work
+        width = max(self.width, min(RANGE_BYTES, sum(i.size for i in infos if i.is_file) // RANGES))
         for i in infos:
             if not i.is_file or i.base_name.startswith(("_", ".")):
                 continue
             if i.base_name.endswith(".gz"):
                 parts.append(Range(head + i.path, 0, None))
             else:
-                parts += [Range(head + i.path, a, min(a + self.width, i.size)) for a in range(0, i.size, self.width)]
+                parts += [Range(head + i.path, a, min(a + width, i.size)) for a in range(0, i.size, width)]
         return parts
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
@@ -201,10 +203,11 @@ class ReportSource(DataSource):
 def alignments(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Hits of reports with their alignments, the file and the place in it; what follows a score histogram is none.
 
-    Where a histogram begins is asked first, by a scan that parses nothing, so that ranges behind it are known to be.
+    Where a histogram begins is asked first, by a scan that parses nothing, so that ranges behind it are known to be; that
+    is a row for each file with one, which goes to every task. Ranges grow with the report, from range_bytes on.
     """
     spark.dataSource.register(ReportSource)
     read = spark.read.format("hit_report").option("range_bytes", range_bytes)
     stops = read.option("stops", "true").load(path).groupBy(F.col("file").alias("__f")).agg(F.min("at").alias("__stop"))
     rows = spark.read.format("hit_report").option("range_bytes", range_bytes).load(path)
-    return rows.join(stops, F.col("file") == F.col("__f"), "left").where("__stop is null or at < __stop").drop("__f", "__stop")
+    return rows.join(F.broadcast(stops), F.col("file") == F.col("__f"), "left").where("__stop is null or at < __stop").drop("__f", "__stop")
