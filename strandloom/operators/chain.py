@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.operators.interval import by_position
 
 
-def ranked(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_name").orderBy(*by_position())))
+def ranked(hits: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_name").orderBy(*(order or by_position()))))
 
 
 def candidates(hits: DataFrame, ahead: int = 21, most_gap: int = 15_000) -> DataFrame:

@@ -206,11 +206,11 @@ def line_names_fit(pairs: DataFrame, allowed: DataFrame) -> DataFrame:
     """pairs with names_fit: equal names, or a row (name_a, name_b, threshold) of `allowed`, in either order, this one first.
 
     A threshold of 0 always allows, a positive one where the pair shares more of the query, a negative one never. `allowed`
-    has one row for a pair of names.
+    has one row for a pair of names, and goes to every task.
     """
     as_is = allowed.select(F.col("name_a").alias("l_name"), F.col("name_b").alias("r_name"), F.col("threshold").alias("__t1"))
     turned = allowed.select(F.col("name_b").alias("l_name"), F.col("name_a").alias("r_name"), F.col("threshold").alias("__t2"))
-    both = pairs.join(as_is, ["l_name", "r_name"], "left").join(turned, ["l_name", "r_name"], "left").withColumn("__t", F.coalesce("__t1", "__t2"))
+    both = pairs.join(F.broadcast(as_is), ["l_name", "r_name"], "left").join(F.broadcast(turned), ["l_name", "r_name"], "left").withColumn("__t", F.coalesce("__t1", "__t2"))
     listed = (F.col("__t") == 0) | ((F.col("__t") > 0) & (query_shared() > F.col("__t")))
     return both.withColumn("names_fit", F.coalesce((l("name") == r("name")) | listed, F.lit(False))).drop("__t", "__t1", "__t2")
 
@@ -222,14 +222,14 @@ SIDES = {
 }
 
 
-def pairs(hits: DataFrame, ahead: int = 4, sides: dict[str, str] = SIDES) -> DataFrame:
+def pairs(hits: DataFrame, ahead: int = 4, sides: dict[str, str] = SIDES, order: list[Column] | None = None) -> DataFrame:
     """Every hit with each of the next `ahead` ones of its sequence, as rows of both, with distance and ltr_distance.
 
     hits needs `div` (percent) and `masked` beside its other columns. A hit is in 2 * ahead pairs at most, whatever the
-    sequence's size. ltr_distance counts the steps over hits of LTR classes.
+    sequence's size. ltr_distance counts the steps over hits of LTR classes. `order`: of a sequence's hits, by_position() if not given.
     """
     so_far = Window.partitionBy("query_name").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranked(hits).withColumn("ltrs", F.count(F.when(F.col("subj_type").startswith("LTR"), 1)).over(so_far))
+    placed = ranked(hits, order).withColumn("ltrs", F.count(F.when(F.col("subj_type").startswith("LTR"), 1)).over(so_far))
     first = placed.select("query_name", "rank", "ltrs", *[F.col(c).alias(f"l_{k}") for k, c in sides.items()])
     second = placed.select("query_name", F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("distance"), F.col("rank").alias("__r"), F.col("ltrs").alias("__n"), *[F.col(c).alias(f"r_{k}") for k, c in sides.items()])
     second = second.withColumn("rank", F.col("__r") - F.col("distance")).where("rank > 0")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.operators import joining, pair_scores as P, report
+from strandloom.operators import folds, joining, pair_scores as P, report
 from strandloom.plans.pair_queries import named
 from strandloom.plans.views import HITS, hits
 
@@ -30,8 +30,8 @@ def allowed(spark: SparkSession) -> DataFrame:
 
 
 def line_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of LINE pieces among the next four hits and how well they fit."""
-    p = P.pairs(pieces(spark, sf_dir), sides=P.SIDES | {"query_remaining": "query_remaining"}).where("l_type LIKE 'LINE%' AND r_type LIKE 'LINE%'")
+    """Pairs of LINE pieces among the next four hits, in the order of chains (of equal ranges the better one first), and how well they fit."""
+    p = P.pairs(pieces(spark, sf_dir), sides=P.SIDES | {"query_remaining": "query_remaining"}, order=folds.order_of_hits()).where("l_type LIKE 'LINE%' AND r_type LIKE 'LINE%'")
     p = P.line_names_fit(p.withColumn("kin", P.line_kin()), allowed(spark))
     return p.select(F.col("l_id").alias("hit_id"), F.col("r_id").alias("partner_id"), P.line_score(F.col("distance"), F.col("kin")).alias("fit"))
 
