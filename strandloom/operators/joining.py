@@ -30,7 +30,7 @@ from strandloom.operators.chain import components
 
 # Elements ahead, bases of a gap, bases times gaps, bases of a piece that is not short
 AHEAD, LEAST_GAP, MOST_GAPS, SHORT = 21, 100, 10_000, 50
-SIDES = P.SIDES | {"query_remaining": "query_remaining", "rank": "rank", "nth": "nth", "gap_bp": "gap_bp", "gap_n": "gap_n"} | {c: c for c in ("internal", "stem", "plain", "alu_stem", "generic_stem", "ltr_stem", "ltr_first", "ltr_second")}
+SIDES = P.SIDES | {"query_remaining": "query_remaining", "rank": "rank", "gap_bp": "gap_bp", "gap_n": "gap_n"} | {c: c for c in ("internal", "stem", "plain", "alu_stem", "generic_stem", "ltr_stem", "ltr_first", "ltr_second")}
 
 
 def plain(kind: Column) -> Column:
@@ -66,34 +66,33 @@ def candidates(hits: DataFrame, allowed: DataFrame, slice_rows: int = folds.SLIC
     placed = placed.withColumn("__gap", F.when(gap >= LEAST_GAP, gap))
     placed = placed.withColumns({
         "gap_bp": F.coalesce(F.sum("__gap").over(so_far), F.lit(0)), "gap_n": F.count("__gap").over(so_far),
-        "nth": F.row_number().over(Window.partitionBy("query_name", "slice", "subj_type").orderBy("rank")),
     })
-    ahead = F.collect_list(F.struct(*[F.col(c).alias(f"r_{k}") for k, c in SIDES.items()])).over(along.rowsBetween(1, AHEAD))
+    # what goes by the hits between is told inside a row, so that only narrow rows of pairs are sorted
+    upto = lambda i: F.array_max(F.transform(F.slice("ahead", 1, i), lambda y: F.when(y["r_plain_class"], y["r_div"])))
+    ahead = F.collect_list(F.struct(*[F.col(c).alias(f"r_{k}") for k, c in SIDES.items()], plain(F.col("subj_type")).alias("r_plain_class"))).over(along.rowsBetween(1, AHEAD))
     left = placed.withColumn("ahead", ahead).where(~F.col("subj_type").rlike("(?i)^simple|low|dna"))
-    pairs = left.select("query_name", "slice", "own", *[F.col(c).alias(f"l_{k}") for k, c in SIDES.items()], F.inline("ahead"))
-    in_reach = (F.col("r_gap_bp") - F.col("l_gap_bp")) * (F.col("r_gap_n") - F.col("l_gap_n")) <= MOST_GAPS
-    of_left = Window.partitionBy("query_name", "slice", "l_rank")
-    upto = of_left.orderBy("r_rank").rowsBetween(Window.unboundedPreceding, -1)
-    most_div = F.coalesce(F.max(F.when(plain(F.col("r_type")), F.col("r_div"))).over(upto), F.lit(0.0))
-    size = lambda side: F.col(f"{side}_subj_end") - F.col(f"{side}_subj_start")
-    diverged = lambda side: (size(side) > SHORT) & S.too_diverged(F.col("most_div"), F.col(f"{side}_div"))
-    inside = F.col("r_internal")
-    in_class = lambda kind, what: F.when((F.col("l_type") == F.col("r_type")) & F.col("l_type").contains(kind), what)
-    pairs = pairs.withColumns({"ltr_names": in_class("LTR", P.ltr_names_fit(*((F.col(f"{x}_ltr_first"), F.col(f"{x}_ltr_second")) for x in "lr"), F.col("r_ltr_stem"))), "kin": in_class("LINE", F.col("l_plain").startswith(F.col("r_stem")))})
-    pairs = pairs.withColumn("most_div", most_div)
-    stop = ~in_reach | (~inside & ~F.col("l_type").contains("SINE") & diverged("l"))
-    pairs = pairs.withColumn("stop", F.min(F.when(stop, F.col("r_rank"))).over(of_left))
-    pairs = pairs.where("l_type = r_type")
-    pairs = pairs.withColumns({"distance": F.col("r_rank") - F.col("l_rank"), "ltr_distance": F.col("r_nth") - F.col("l_nth")})
+    left = left.withColumn("ahead", F.transform("ahead", lambda x, i: x.withField("most_div", F.coalesce(upto(i), F.lit(0.0)))))
+    beyond = lambda x: ~((x["r_gap_bp"] - F.col("gap_bp")) * (x["r_gap_n"] - F.col("gap_n")) <= MOST_GAPS)
+    bars = lambda x: ~x["r_internal"] & ~F.col("subj_type").contains("SINE") & (F.col("subj_end") - F.col("subj_start") > SHORT) & S.too_diverged(x["most_div"], F.col("div"))
+    left = left.withColumn("stop", F.array_min(F.transform(F.filter("ahead", lambda x: beyond(x) | bars(x)), lambda x: x["r_rank"])))
+    # the place among those of the class tells how many of the class lie from one to the other
+    in_class = F.posexplode(F.filter("ahead", lambda x: x["r_type"] == F.col("subj_type"))).alias("__at", "__r")
+    pairs = left.select("query_name", "slice", "own", "stop", *[F.col(c).alias(f"l_{k}") for k, c in SIDES.items()], in_class)
+    pairs = pairs.select("*", "__r.*").withColumn("class_distance", F.col("__at") + 1).drop("__r", "__at")
+    of = lambda kind, what: F.when(F.col("l_type").contains(kind), what)
+    distance = F.col("r_rank") - F.col("l_rank")
+    pairs = pairs.withColumns({
+        "ltr_names": of("LTR", P.ltr_names_fit(*((F.col(f"{x}_ltr_first"), F.col(f"{x}_ltr_second")) for x in "lr"), F.col("r_ltr_stem"))), "kin": of("LINE", F.col("l_plain").startswith(F.col("r_stem"))),
+        "distance": distance, "ltr_distance": distance,
+    })
     pairs = P.line_names_fit(pairs, allowed)
-    # rivals' scores, then their window, then scores: one projection of all of them would be too much code for one method
-    as_rival = fits(F.col("distance"), "ltr_distance", True)
-    pairs = pairs.withColumns({"class_distance": F.col("ltr_distance"), "ltr_distance": F.col("distance")}).withColumn("as_rival", as_rival)
+    # each score through a generator: one projection of both would be too much code for one method, and filters would work them out again
+    pairs = pairs.withColumn("as_rival", F.explode(F.array(fits(F.col("distance"), "ltr_distance", True)))).withColumn("ltr_distance", F.col("class_distance"))
+    diverged = (F.col("r_subj_end") - F.col("r_subj_start") > SHORT) & S.too_diverged(F.col("most_div"), F.col("r_div"))
+    able = F.col("own") & (F.col("stop").isNull() | (F.col("r_rank") < F.col("stop"))) & ~(~F.col("r_internal") & diverged)
+    pairs = pairs.withColumn("score", F.explode(F.array(F.when(able, fits(F.col("distance"), "class_distance", False)))))
     later = Window.partitionBy("query_name", "slice", "r_rank").orderBy(F.desc("l_rank")).rowsBetween(Window.unboundedPreceding, -1)
-    pairs = pairs.withColumn("best_rival", F.max("as_rival").over(later)).withColumn("ltr_distance", F.col("class_distance"))
-    able = F.col("own") & (F.col("stop").isNull() | (F.col("r_rank") < F.col("stop"))) & ~(~inside & diverged("r"))
-    # through a generator, so that the filter on scores doesn't work them out again
-    found = pairs.where(able).withColumn("score", F.explode(F.array(fits(F.col("distance"), "class_distance", False))))
+    found = pairs.select("query_name", "slice", "l_rank", "r_rank", "l_id", "r_id", "as_rival", "score").withColumn("best_rival", F.max("as_rival").over(later))
     found = found.where((F.col("score") > 0) & (F.col("best_rival").isNull() | (F.col("best_rival") < F.col("score"))))
     return found.select("query_name", "slice", F.col("l_rank").alias("i"), F.col("r_rank").alias("j"), "score", F.col("l_id").alias("hit_id"), F.col("r_id").alias("partner_id"))
 
@@ -101,9 +100,9 @@ def candidates(hits: DataFrame, allowed: DataFrame, slice_rows: int = folds.SLIC
 def links(found: DataFrame, slice_rows: int = folds.SLICE_ROWS) -> DataFrame:
     """(query_name, hit_id, partner_id, pair_score): of candidates those that are made, from left to right."""
 
-    def step(t: pa.Table, taken: list[int]) -> tuple[pa.Table, list[int]]:
+    def step(t: dict[str, list], taken: list[int]) -> tuple[dict[str, list], list[int]]:
         by_left = defaultdict(list)
-        for k, (i, j, score) in enumerate(zip(*(t.column(c).to_pylist() for c in ("i", "j", "score")), strict=True)):
+        for k, (i, j, score) in enumerate(zip(t["i"], t["j"], t["score"], strict=True)):
             by_left[i].append((j, score, k))
         held, made = set(taken), []
         for i in sorted(by_left):
@@ -114,11 +113,13 @@ def links(found: DataFrame, slice_rows: int = folds.SLICE_ROWS) -> DataFrame:
                 _, j, k = min(able)
                 held.add(j)
                 made.append(k)
-        end = (t.column("slice")[0].as_py() + 1) * slice_rows
-        return t.take(pa.array(made, pa.int64())).select(["query_name", "hit_id", "partner_id", "score"]).rename_columns(["query_name", "hit_id", "partner_id", "pair_score"]), sorted(x for x in held if x > end)
+        end = (t["slice"][0] + 1) * slice_rows
+        return {to: [t[c][k] for k in made] for to, c in zip(names, ("query_name", "hit_id", "partner_id", "score"), strict=True)}, sorted(x for x in held if x > end)
 
-    kinds = {c: found.schema[c].dataType.simpleString() for c in ("query_name", "hit_id", "partner_id")}
-    return folds.fold(found, step, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", pair_score double", [])
+    names = ["query_name", "hit_id", "partner_id", "pair_score"]
+    kinds = {c: found.schema[c].dataType.simpleString() for c in names[:3]}
+    columns = [c for c in found.columns if c != "rank"]
+    return folds.fold(found.withColumn("rank", F.col("i")), step, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", pair_score double", [], plain=columns)
 
 
 def joined_links(hits: DataFrame, allowed: DataFrame, slice_rows: int = folds.SLICE_ROWS) -> DataFrame:
