@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.functions.scalar import revcomp
@@ -68,12 +72,22 @@ def extracted(seqs: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def kmer_hits(seqs: DataFrame, pattern: list[int], seeds: DataFrame) -> DataFrame:
-    """(seq_id, n): places whose letters at the pattern's offsets are one of the seeds (column `seed`)."""
+    """(seq_id, n): places whose letters at the pattern's offsets are one of the seeds (column `seed`); a sequence's equal places are counted before they meet the seeds."""
     span = max(pattern) + 1
-    letters = seqs.where(F.length("sequence") >= span).select("seq_id", F.split("sequence", "").alias("c"))
-    gram = lambda i: F.concat(*[F.get("c", i + o) for o in pattern])
-    each = letters.select("seq_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - span), gram)).alias("seed"))
-    return each.join(seeds, "seed", "left_semi").groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, seeds, ns = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = Counter(map("".join, zip(*(text[o : len(text) - span + 1 + o] for o in pattern), strict=True)))
+                ids += [i] * len(found)
+                seeds += found.keys()
+                ns += found.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(seeds, pa.string()), pa.array(ns, pa.int64())], ["seq_id", "seed", "n"])
+
+    long = seqs.where(F.length("sequence") >= span).select("seq_id", "sequence")
+    each = long.mapInArrow(counted, f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, seed string, n long")
+    return each.join(seeds, "seed", "left_semi").groupBy("seq_id").agg(F.sum("n").alias("n"))
 
 
 def substring_checked(seqs: DataFrame, offset: int, length: int) -> DataFrame:

@@ -101,7 +101,7 @@ def hit_regions(spark, sf_dir):
 @query(f"WITH {SEQUENCES}, k AS (SELECT seq_id, sequence, unnest(range(1, greatest(1, length(sequence) - 3))) AS p FROM seqs WHERE length(sequence) >= 5) SELECT seq_id, count(*) AS n FROM k WHERE sequence[p] || sequence[p + 1] || sequence[p + 4] IN ('THN', 'ANT', 'REE') GROUP BY 1")
 def seed_pattern_hits(spark, sf_dir):
     seeds = spark.createDataFrame([("THN",), ("ANT",), ("REE",)], "seed string")
-    return sequence.kmer_hits(sequences(spark, sf_dir), [0, 1, 4], seeds)
+    return sequence.kmer_hits(sequences(spark, sf_dir), [0, 1, 4], F.broadcast(seeds))
 
 
 @query(f"WITH {SEQUENCES} SELECT seq_id, length(sequence) >= 140 AS ok, CASE WHEN length(sequence) >= 140 THEN substr(sequence, 101, 40) END AS part FROM seqs")
@@ -128,9 +128,11 @@ def contaminant_passages(spark, sf_dir):
     def grams(df, key):
         w = df.select(key, F.split("text", " ").alias("w")).where(F.size("w") >= 8)
         at = w.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - 7)).alias("i"))
-        return at.select(key, F.array_join(F.slice("w", F.col("i"), F.lit(8)), " ").alias("g")).distinct()
+        return at.select(key, F.array_join(F.slice("w", F.col("i"), F.lit(8)), " ").alias("g"))
 
-    return grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    # what the benchmark doesn't hold goes before anything is dealt
+    met = grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id").distinct(), "g").distinct()
+    return met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # families and taxa
