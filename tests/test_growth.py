@@ -86,3 +86,10 @@ def test_places_are_counted_within_a_sequence(spark):
         n = sum(v for g, v in Counter(s[k] + s[k + 1] + s[k + 3] for k in range(len(s or "") - 3)).items() if g in ("THN", "ANT", "A\x00T")) if s else 0
         want |= {i: n} if n else {}
     assert {x.seq_id: x.n for x in found.collect()} == want
+
+
+def test_streams_are_not_held_by_the_driver(spark):
+    from strandloom.plans import format_queries
+
+    found = format_queries.stream_sessions(spark, SF)
+    assert "LocalTableScan" not in plan_of(found)[1] and "FileScan parquet" in plan_of(found)[1]
