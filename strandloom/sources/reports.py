@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from strandloom.sources.readers import HIT_SCHEMA, parse_hit
 
 #: Ranges of a scan, but for those of the most bytes; bytes of a range; rows and letters of a batch.
-RANGES, RANGE_BYTES, BATCH_ROWS, BATCH_LETTERS = 512, 64 << 20, 1000, 4 << 20
+RANGES, RANGE_BYTES, BATCH_ROWS, BATCH_LETTERS = 64, 64 << 20, 1000, 4 << 20
 STOP = b"Score histogram:"
 #: Letters and their complements
 TURNED = str.maketrans("ACGTYRMKHBVD", "TGCARYKMDVBH")
